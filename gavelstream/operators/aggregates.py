@@ -39,51 +39,58 @@ class MergeableAggregate:
 
 
 HELD_STATES = 100_000
-MERGE_FAN_IN = 64
 
 
 def aggregate_with(df: DataFrame, keys: Sequence[str], function: MergeableAggregate) -> DataFrame:
     """Apply a user-defined aggregate per key with map-side combining.
 
-    A task folds its rows batch by batch into states and never holds more than a bounded
-    number of them. States are merged twice, first within a salted share of each key, so
-    that no group is ever gathered whole.
+    A task folds its rows batch by batch into states and holds a bounded number of them,
+    so a key sends about one state per task through the shuffle. The states arrive sorted
+    by key and are folded as they come: no group is ever gathered whole.
     """
     keys = list(keys)
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
     state_ddl = f"{key_ddl}, {function.state}"
 
-    def merged(states: pd.DataFrame) -> pd.DataFrame:
-        return function.merge(states.groupby(keys, sort=False, dropna=False)).reset_index()
+    def merged(states: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(states, ignore_index=True)
+        return function.merge(rows.groupby(keys, sort=False, dropna=False)).reset_index()
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        rows = 0
+        count = 0
         for batch in batches:
             if batch.empty:
                 continue
-            states = function.add(batch.groupby(keys, sort=False, dropna=False)).reset_index()
-            held.append(states)
-            rows += len(states)
-            if rows > HELD_STATES:
-                folded = merged(pd.concat(held, ignore_index=True))
-                held, rows = [folded], len(folded)
-                if rows > HELD_STATES // 2:
-                    yield folded
-                    held, rows = [], 0
+            held.append(function.add(batch.groupby(keys, sort=False, dropna=False)).reset_index())
+            count += len(held[-1])
+            if count > HELD_STATES:
+                held = [merged(held)]
+                count = len(held[0])
+                if count > HELD_STATES // 2:
+                    yield held.pop()
+                    count = 0
         if held:
-            yield merged(pd.concat(held, ignore_index=True))
+            yield merged(held)
 
-    partial = df.mapInPandas(combine, state_ddl)
-    salted = partial.withColumn("_salt", F.spark_partition_id() % MERGE_FAN_IN)
-    once = salted.groupBy(*keys, "_salt").applyInPandas(
-        lambda states: merged(states.drop(columns="_salt")), state_ddl)
+    def result(states: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([states[keys], function.finish(states)], axis=1)
 
-    def finish(states: pd.DataFrame) -> pd.DataFrame:
-        whole = merged(states)
-        return pd.concat([whole[keys], function.finish(whole)], axis=1)
-
-    return once.groupBy(*keys).applyInPandas(finish, f"{key_ddl}, {function.result}")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_key: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            states = merged([*open_key, batch])
+            # The last key of a sorted batch may go on in the next one.
+            open_key = [states.tail(1)]
+            if len(states) > 1:
+                yield result(states.head(-1))
+        if open_key:
+            yield result(open_key[0])
+
+    by_key = df.mapInPandas(combine, state_ddl).repartition(*keys).sortWithinPartitions(*keys)
+    return by_key.mapInPandas(fold, f"{key_ddl}, {function.result}")
 
 
 def process_windows(aggregated: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],

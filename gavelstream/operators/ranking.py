@@ -39,7 +39,8 @@ def best_with_ties(df: DataFrame, keys: Sequence[str], measure: str, rescan: boo
     maxima are computed first, and if they are few the rows are never shuffled at all.
     """
     best = df.groupBy(*keys).agg(F.max(measure).alias(measure))
-    return df.join(small_side(best) if rescan else best, [*keys, measure], "left_semi")
+    joined = df.join(small_side(best) if rescan else best, [*keys, measure], "left_semi")
+    return joined.select(*df.columns)
 
 
 def ranked_with_ties(df: DataFrame, keys: Sequence[str], measure: str, k: int) -> DataFrame:

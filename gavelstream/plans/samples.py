@@ -25,7 +25,7 @@ def samples(events: DataFrame) -> DataFrame:
         F.window("ts", EVERY)["end"].alias("ts")).agg(
         F.count("*").alias("events"), F.max(F.floor("value")).alias("cpu_pct"))
     times = (counted.select("topic", "ts").distinct()
-             .withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(WORKERS - 1))).cast("bigint")))
+             .withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(WORKERS - 1)).cast("array<bigint>"))))
     filled = times.join(counted, ["topic", "worker", "ts"], "left").fillna(0, ["events", "cpu_pct"])
     so_far = Window.partitionBy("topic", "worker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return filled.select("topic", "worker", "ts", F.sum("events").over(so_far).alias("offset"), "cpu_pct")

@@ -35,7 +35,8 @@ def parsed(df: DataFrame, entity: str, *, time_encoding: str = "iso", grain: str
     schema = ENTITIES[entity]
     record = F.from_json(F.col(RAW), _text_schema(schema),
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = df.withColumn("_r", record)
+    # As a generated column the record is parsed once: a filter on it stays above the parse.
+    rows = df.select(F.col(RAW), F.explode_outer(F.array(record)).alias("_r"))
     loose = set(ID_COLUMNS[entity]) if lenient_ids else set()
     columns, broken = [], F.lit(False)
     for field in schema.fields:
