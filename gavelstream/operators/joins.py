@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, written
 
 
 def _slot(time: str | Column, width: str) -> Column:
@@ -81,9 +81,9 @@ def merged_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str,
     maximum over the key's slots.
     """
     keys = list(keys)
-    starts = (df.where(F.col(start) <= F.col(end))
-              .groupBy(*keys, start).agg(F.max(end).alias(end))
-              .withColumn("_slot", _slot(start, slot)))
+    starts = written(df.where(F.col(start) <= F.col(end))
+                     .groupBy(*keys, start).agg(F.max(end).alias(end))
+                     .withColumn("_slot", _slot(start, slot)))
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
     earlier = by_slot.rowsBetween(Window.unboundedPreceding, -1)
     slots = (starts.groupBy(*keys, "_slot").agg(F.max(end).alias("_reach"))

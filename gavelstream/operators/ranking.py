@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
+from ..session import small_side, written
 
 # Up to this k Spark itself keeps only k rows per group and task before the shuffle.
 GROUP_LIMIT = 1000
@@ -30,23 +30,24 @@ def _first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
-def best_with_ties(df: DataFrame, keys: Sequence[str], measure: str, rescan: bool = False) -> DataFrame:
+def best_with_ties(df: DataFrame, keys: Sequence[str], measure: str, from_scan: bool = False) -> DataFrame:
     """Rows whose measure is the largest of their group, all ties kept: rank() = 1.
 
     The maxima are aggregated before the shuffle and joined back, so no task ever holds
-    a whole group, not even one made of ties. For rows that came out of a shuffle the
-    planner reads that shuffle twice. With ``rescan`` (rows straight from a scan) the
-    maxima are computed first, and if they are few the rows are never shuffled at all.
+    a whole group, not even one made of ties, and few maxima mean that the rows are not
+    shuffled for it. Rows that a shuffle made are written once for the two readings;
+    ``from_scan`` says they come straight from a scan, which is then read twice.
     """
-    best = df.groupBy(*keys).agg(F.max(measure).alias(measure))
-    joined = df.join(small_side(best) if rescan else best, [*keys, measure], "left_semi")
-    return joined.select(*df.columns)
+    rows = df if from_scan else written(df)
+    best = rows.groupBy(*keys).agg(F.max(measure).alias(measure))
+    return rows.join(small_side(best), [*keys, measure], "left_semi").select(*df.columns)
 
 
 def ranked_with_ties(df: DataFrame, keys: Sequence[str], measure: str, k: int) -> DataFrame:
     """rank() <= k by descending measure: all rows not below the group's k-th value."""
     if k == 1:
         return best_with_ties(df, keys, measure)
+    df = written(df)
     kept = top_k_per_group(df.select(*keys, measure), keys, [F.desc(measure)], k)
     floor = kept.groupBy(*keys).agg(F.min(measure).alias("_floor"))
     joined = df.join(small_side(floor), list(keys))

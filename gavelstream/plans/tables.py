@@ -9,6 +9,7 @@ from ..operators.joins import between_join, window_join
 from ..operators.aggregates import two_level
 from ..operators.ranking import best_with_ties, top_k_per_group
 from ..operators.windows import distinct_per_window, hop, tumble, window_bounds, window_count
+from ..session import spread
 
 
 def hot_users(events: DataFrame) -> DataFrame:
@@ -20,13 +21,14 @@ def hot_users(events: DataFrame) -> DataFrame:
 def highest_value(events: DataFrame) -> DataFrame:
     """Events of the highest value of each 10-hour window, equal ones once."""
     valued = events.select("user_id", "event_type", "value", tumble("ts", "10 hours"))
-    best = best_with_ties(valued, ["window"], "value", rescan=True)
+    best = best_with_ties(valued, ["window"], "value", from_scan=True)
     return window_bounds(best.distinct())
 
 
 def hot_parts(lineitem: DataFrame) -> DataFrame:
     """Parts shipped most often in each 10-day window, every 2 days."""
-    counts = window_count(lineitem, ["l_partkey"], hop("l_shipdate", "2 days", "10 days"), "line_count")
+    shipped = spread(lineitem.select("l_partkey", "l_shipdate"))
+    counts = window_count(shipped, ["l_partkey"], hop("l_shipdate", "2 days", "10 days"), "line_count")
     return window_bounds(best_with_ties(counts, ["window"], "line_count"))
 
 

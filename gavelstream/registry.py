@@ -15,6 +15,7 @@ from .operators.windows import distinct_per_window, tumble, window_bounds, windo
 from .plans import auctions as plan
 from .plans import samples, tables
 from .schemas import AUCTION, BID, PERSON
+from .schemas import TABLES as SCHEMAS
 from .sinks import json_records, keyed_records
 from .sources import derive, records, routing
 from .sources.tables import as_stream, from_time, table_stream
@@ -24,18 +25,26 @@ from .streaming import closing, delivery
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 class Tables:
     """The three derived entities and the given tables, static or streaming."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @property
+    def events(self) -> DataFrame:
+        return self._read("events")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._read("orders")
+
+    @property
+    def lineitem(self) -> DataFrame:
+        return self._read("lineitem")
 
     @property
     def numbered(self) -> DataFrame:
@@ -165,7 +174,7 @@ def tumbling_counts(t: Tables) -> DataFrame:
 BATCH: dict[str, Query] = {
     # derived entities
     "nx_split_counts": batch(lambda t: derive.split_counts(t.numbered)),
-    "hash_id": batch(lambda t: t.numbered.select("n", hash_id(F.col("n")).alias("hash_id"))),
+    "hash_id": batch(lambda t: t.numbered.select("n", F.expr(hash_id()).alias("hash_id"))),
     "nx_person": batch(lambda t: t.person),
     "nx_auction": batch(lambda t: t.auction),
     "nx_bid": batch(lambda t: t.bid),

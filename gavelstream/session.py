@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast side must hold no more rows than this; its rows are a few longs wide.
@@ -52,12 +52,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write to the shared folder; return what was written and its row count."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = new_path(spark, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get.get("rows", 0)
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """A frame that several steps read, computed once: a table in the shared folder.
+
+    It survives the loss of executors and cuts the lineage of what follows.
+    """
+    return _write(df, name)[0]
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -66,5 +74,17 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     Above the bound the caller's join stays a shuffled one, which the adaptive
     planner splits where a key is skewed.
     """
-    side = written(df, "side")
-    return F.broadcast(side) if side.count() <= max_rows else side
+    side, rows = _write(df, "side")
+    return F.broadcast(side) if rows <= max_rows else side
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a scan has fewer splits than there are cores.
+
+    Meant for narrow rows before costly work. A large table has more splits than cores
+    and is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

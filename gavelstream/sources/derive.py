@@ -6,10 +6,11 @@ no shuffle, no state, and Catalyst drops the digests of columns nobody reads.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digest_long, hash_id, letters, pick
+from ..session import spread
 
 # Fixed values of the workload.
 FIRST_NAMES = ["Peter", "Paul", "Luke", "John", "Saul", "Vicky", "Kate", "Julie", "Sarah",
@@ -32,116 +33,116 @@ HOT_EVERY = 100
 START = "2024-01-01 00:00:00"
 EVENTS_PER_SECOND = 100
 
+PLACE = f"n % {CYCLE}"
+IS_PERSON = f"{PLACE} < {PERSONS}"
+IS_BID = f"{PLACE} >= {PERSONS + AUCTIONS}"
+IS_AUCTION = f"NOT ({IS_PERSON}) AND NOT ({IS_BID})"
+LAST_PERSON = f"{hash_id(f'n - {PLACE}')} % {ID_RANGE}"
+LAST_AUCTION = f"{hash_id(f'n - {PLACE} + {PERSONS + AUCTIONS - 1}')} % {ID_RANGE}"
+
 
 def numbers(spark: SparkSession, count: int, first: int = 0, partitions: int | None = None) -> DataFrame:
     """A bounded run of event numbers, split over ``partitions`` tasks."""
-    ids = spark.range(first, first + count, 1, partitions) if partitions else spark.range(first, first + count)
-    return ids.withColumnRenamed("id", "n")
+    return spark.range(first, first + count, 1, partitions).withColumnRenamed("id", "n")
 
 
 def from_events(events: DataFrame) -> DataFrame:
-    """The dense ``event_id`` of the events table as event number."""
-    return events.select(F.col("event_id").alias("n"))
-
+    """The dense ``event_id`` of the events table as event number.
 
-def kind_of(n: Column) -> Column:
-    place = n % CYCLE
-    return (F.when(place < PERSONS, "person")
-            .when(place < PERSONS + AUCTIONS, "auction")
-            .otherwise("bid"))
+    Digests cost more than reading, so few splits are spread over all cores.
+    """
+    return spread(events.select(F.col("event_id").alias("n")))
 
 
-def event_time(n: Column, start: str = START, rate: int = EVENTS_PER_SECOND, shift_ms: int = 0) -> Column:
+def event_time(start: str = START, rate: int = EVENTS_PER_SECOND, shift_ms: int = 0) -> str:
     """Time of event ``n`` at ``rate`` events per second, to the millisecond."""
-    millis = F.floor(n * 1000 / rate) if 1000 % rate else n * (1000 // rate)
-    return F.timestamp_add("MILLISECOND", millis + shift_ms, F.expr(f"timestamp_ntz'{start}'"))
+    return f"timestampadd(MILLISECOND, n * 1000 div {rate} + {shift_ms}, timestamp_ntz'{start}')"
 
 
-def _below(n: Column, salt: str, bound: int | Column) -> Column:
-    return digest_long(n, salt) % bound
+def _below(salt: str, bound: int | str) -> str:
+    return f"{digest_long(salt)} % {bound}"
 
 
-def _usually(n: Column, salt: str) -> Column:
+def _usually(salt: str) -> str:
     """True for all but one in ``HOT_EVERY`` events."""
-    return _below(n, salt, HOT_EVERY) > 0
-
-
-def _last_person(n: Column) -> Column:
-    return hash_id(n - n % CYCLE) % ID_RANGE
-
-
-def _last_auction(n: Column) -> Column:
-    return hash_id(n - n % CYCLE + PERSONS + AUCTIONS - 1) % ID_RANGE
+    return f"{_below(salt, HOT_EVERY)} > 0"
 
 
-def _floor_hundred(value: Column) -> Column:
-    return value - value % HOT_EVERY
+def _columns(df: DataFrame, shared: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """Project ``columns``; values that several of them use are named first, and so computed once."""
+    named = df.selectExpr("n", *[f"{sql} AS {name}" for name, sql in shared.items()])
+    return named.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def person(numbered: DataFrame, **clock) -> DataFrame:
-    n = F.col("n")
-    first = pick(FIRST_NAMES, _below(n, "fn", len(FIRST_NAMES)))
-    last = pick(LAST_NAMES, _below(n, "ln", len(LAST_NAMES)))
-    american = _below(n, "au", 10) < 9
-    us, au = _below(n, "st", len(US_CITIES)), _below(n, "st", len(AU_CITIES))
-    card = [(_below(n, f"cc{i}", 9000) + 1000).cast("string") for i in range(4)]
-    return numbered.where(n % CYCLE < PERSONS).select(
-        (hash_id(n) % ID_RANGE + FIRST_ID).alias("id"),
-        F.concat_ws(" ", first, last).alias("name"),
-        F.concat(F.lower(first), F.lower(last), F.lit("@"),
-                 pick(MAIL_HOSTS, _below(n, "em", len(MAIL_HOSTS)))).alias("email_address"),
-        F.concat(*card).alias("credit_card"),
-        F.when(american, pick(US_CITIES, us)).otherwise(pick(AU_CITIES, au)).alias("city"),
-        F.when(american, pick(US_STATES, us)).otherwise(pick(AU_STATES, au)).alias("state"),
-        event_time(n, **clock).alias("date_time"),
-        letters(n, "ex", 25).alias("extra"),
-    )
+    card = ", ".join(f"1000 + {_below(f'cc{i}', 9000)}" for i in range(4))
+    shared = {
+        "first": pick(FIRST_NAMES, _below("fn", len(FIRST_NAMES))),
+        "last": pick(LAST_NAMES, _below("ln", len(LAST_NAMES))),
+        "american": f"{_below('au', 10)} < 9",
+        "spot": digest_long("st"),
+    }
+
+    def local(american: list[str], australian: list[str]) -> str:
+        return (f"CASE WHEN american THEN {pick(american, f'spot % {len(american)}')} "
+                f"ELSE {pick(australian, f'spot % {len(australian)}')} END")
+
+    return _columns(numbered.where(IS_PERSON), shared, {
+        "id": f"{FIRST_ID} + {hash_id()} % {ID_RANGE}",
+        "name": "concat(first, ' ', last)",
+        "email_address": f"concat(lower(first), lower(last), '@', {pick(MAIL_HOSTS, _below('em', len(MAIL_HOSTS)))})",
+        "credit_card": f"concat({card})",
+        "city": local(US_CITIES, AU_CITIES),
+        "state": local(US_STATES, AU_STATES),
+        "date_time": event_time(**clock),
+        "extra": letters("ex", 25),
+    })
 
 
 def auction(numbered: DataFrame, **clock) -> DataFrame:
-    n = F.col("n")
-    place = n % CYCLE
-    item = F.concat(F.lit("item-"), _below(n, "it", 1001).cast("string"))
-    opening = _below(n, "ib", 9901) + 100
-    opened = event_time(n, **clock)
-    seller = (F.when(_usually(n, "hs"), _below(n, "se", ID_RANGE))
-              .otherwise(_floor_hundred(_last_person(n))) + FIRST_ID)
-    return numbered.where((place >= PERSONS) & (place < PERSONS + AUCTIONS)).select(
-        (hash_id(n) % ID_RANGE + FIRST_ID).alias("id"),
-        item.alias("item_name"),
-        F.concat(F.lit("Description for "), item, F.lit(": "), letters(n, "de", 50)).alias("description"),
-        opening.alias("initial_bid"),
-        (opening + _below(n, "re", 9901) + 100).alias("reserve"),
-        opened.alias("date_time"),
-        F.timestamp_add("DAY", _below(n, "x", 7) + 1, opened).alias("expires"),
-        seller.alias("seller"),
-        (_below(n, "c", CATEGORIES) + FIRST_CATEGORY).alias("category"),
-        letters(n, "ex", 25).alias("extra"),
-    )
+    shared = {
+        "item": f"concat('item-', {_below('it', 1001)})",
+        "opening": f"100 + {_below('ib', 9901)}",
+        "opened": event_time(**clock),
+        "newest": LAST_PERSON,
+    }
+    return _columns(numbered.where(IS_AUCTION), shared, {
+        "id": f"{FIRST_ID} + {hash_id()} % {ID_RANGE}",
+        "item_name": "item",
+        "description": f"concat('Description for ', item, ': ', {letters('de', 50)})",
+        "initial_bid": "opening",
+        "reserve": f"opening + 100 + {_below('re', 9901)}",
+        "date_time": "opened",
+        "expires": f"timestampadd(DAY, 1 + {_below('x', 7)}, opened)",
+        "seller": f"{FIRST_ID} + CASE WHEN {_usually('hs')} THEN {_below('se', ID_RANGE)} "
+                  f"ELSE newest - newest % {HOT_EVERY} END",
+        "category": f"{FIRST_CATEGORY} + {_below('c', CATEGORIES)}",
+        "extra": letters("ex", 25),
+    })
 
 
 def bid(numbered: DataFrame, **clock) -> DataFrame:
-    n = F.col("n")
-    newest = _last_auction(n)
-    oldest = F.greatest(F.lit(0), newest - IN_FLIGHT)
-    target = (F.when(_usually(n, "ha"), oldest + _below(n, "a", newest - oldest + 1))
-              .otherwise(_floor_hundred(newest)) + FIRST_ID)
-    bidder = (F.when(_usually(n, "hb"), _below(n, "b", ID_RANGE))
-              .otherwise(_floor_hundred(_last_person(n)) + 1) + FIRST_ID)
-    uniform = (_below(n, "p", 1_000_000) + 1) / F.lit(1_000_000)
-    hot = _below(n, "ch", 2) == 1
-    name = pick(HOT_CHANNELS, _below(n, "hc", len(HOT_CHANNELS)))
-    number = (_below(n, "ci", 9001) + 1000).cast("string")
-    return numbered.where(n % CYCLE >= PERSONS + AUCTIONS).select(
-        target.alias("auction"),
-        bidder.alias("bidder"),
-        F.floor(100 * (1 - 10 * F.ln(uniform))).alias("price"),
-        F.when(hot, name).otherwise(F.concat(F.lit("channel-"), number)).alias("channel"),
-        F.when(hot, F.concat(F.lit("https://"), F.lower(name), F.lit(".com")))
-        .otherwise(F.concat(F.lit("https://channel"), number, F.lit(".com"))).alias("url"),
-        event_time(n, **clock).alias("date_time"),
-        letters(n, "ex", 25).alias("extra"),
-    )
+    shared = {
+        "newest": LAST_AUCTION,
+        "hot": f"{_below('ch', 2)} = 1",
+        "famous": pick(HOT_CHANNELS, _below("hc", len(HOT_CHANNELS))),
+        "number": f"1000 + {_below('ci', 9001)}",
+    }
+    oldest = f"greatest(0, newest - {IN_FLIGHT})"
+    active = _below("a", f"(newest - {oldest} + 1)")
+    last_person = LAST_PERSON
+    return _columns(numbered.where(IS_BID), shared, {
+        "auction": f"{FIRST_ID} + CASE WHEN {_usually('ha')} THEN {oldest} + {active} "
+                   f"ELSE newest - newest % {HOT_EVERY} END",
+        "bidder": f"{FIRST_ID} + CASE WHEN {_usually('hb')} THEN {_below('b', ID_RANGE)} "
+                  f"ELSE 1 + ({last_person}) div {HOT_EVERY} * {HOT_EVERY} END",
+        "price": f"floor(100 * (1 - 10 * ln((1 + {_below('p', 1000000)}) / 1000000.0D)))",
+        "channel": "CASE WHEN hot THEN famous ELSE concat('channel-', number) END",
+        "url": "CASE WHEN hot THEN concat('https://', lower(famous), '.com') "
+               "ELSE concat('https://channel', number, '.com') END",
+        "date_time": event_time(**clock),
+        "extra": letters("ex", 25),
+    })
 
 
 DERIVATIONS = {"person": person, "auction": auction, "bid": bid}
@@ -149,4 +150,5 @@ DERIVATIONS = {"person": person, "auction": auction, "bid": bid}
 
 def split_counts(numbered: DataFrame) -> DataFrame:
     """How many events of each kind the numbers hold."""
-    return numbered.groupBy(kind_of(F.col("n")).alias("kind")).agg(F.count("*").alias("events"))
+    kind = f"CASE WHEN {IS_PERSON} THEN 'person' WHEN {IS_BID} THEN 'bid' ELSE 'auction' END"
+    return numbered.groupBy(F.expr(kind).alias("kind")).agg(F.count("*").alias("events"))

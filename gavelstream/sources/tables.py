@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schemas import ENTITIES
+from ..schemas import ENTITIES, TABLES
 from .records import decode
 
 LATENESS = "5 seconds"
@@ -81,9 +81,9 @@ def parquet_files(spark: SparkSession, entity: str, path: str, *, streaming: boo
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """One of the given Parquet tables as a stream with the table's own schema."""
+    """One of the given Parquet tables as a stream with its declared schema."""
     path = f"{sf_dir}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(TABLES[name])
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path + "*")

@@ -63,7 +63,7 @@ def best_of_closed_windows(windowed: DataFrame, measure: str, name: str) -> Data
     closes it, so ranking the micro-batch ranks whole windows.
     """
     def best(batch: DataFrame) -> DataFrame:
-        return window_bounds(best_with_ties(batch, [WINDOW], measure))
+        return window_bounds(best_with_ties(batch, [WINDOW], measure, from_scan=True))
 
     return to_batches(windowed, best, _bounded(windowed.schema), name).drop(BATCH)
 
