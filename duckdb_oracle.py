@@ -321,6 +321,13 @@ def oracle() -> dict[str, str]:
         "json_encode": _with(b) + f"""SELECT json_object('auction', auction, 'bid_count', bid_count,
             'window_start', strftime(window_start, '{ISO}'), 'window_end', strftime(window_end, '{ISO}'))::varchar AS value
             FROM ({HOT})""",
+        "json_hot_items_text_times": _with(b) + f"""SELECT json_object('auction', auction, 'bid_count', bid_count,
+            'window_start', strftime(window_start, '%Y-%m-%dT%H:%M:%S'),
+            'window_end', strftime(window_end, '%Y-%m-%dT%H:%M:%S'))::varchar AS value FROM ({HOT})""",
+        "json_single_highest": _with(b) + f"""SELECT json_object('auction', auction, 'bidder', bidder,
+            'price', price, 'window_end', epoch_ms(window_end))::varchar AS value FROM ({SINGLE})""",
+        "json_one_name": _with(p, a) + f"""SELECT json_object('person_id', person_id, 'name', name,
+            'seller_id', seller_id, 'window_end', epoch_ms(window_end))::varchar AS value FROM ({ONE_NAME})""",
         "json_upsert_records": _with(a, b, CLOSING) + f"""SELECT
             json_object('auction', auction, 'category', category)::varchar AS key,
             json_object('auction', auction, 'category', category, 'final', final,

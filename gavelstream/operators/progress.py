@@ -32,16 +32,18 @@ def topic_throughput(offsets: DataFrame) -> DataFrame:
             .withColumn("events_per_sec", F.col("events") / F.col("seconds")))
 
 
+def readers(query_topics: dict[str, Sequence[str]]) -> Column:
+    """The queries that use a row's topic, as an array."""
+    queries = F.lit(None).cast("array<string>")
+    for topic in sorted({t for topics in query_topics.values() for t in topics}):
+        using = F.array(*[F.lit(q) for q, topics in query_topics.items() if topic in topics])
+        queries = F.when(F.col("topic") == topic, using).otherwise(queries)
+    return queries
+
+
 def query_throughput(throughput: DataFrame, query_topics: dict[str, Sequence[str]]) -> DataFrame:
-    """A query's input rate: the sum over the topics it reads."""
-    uses: dict[str, list[str]] = {}
-    for query, topics in query_topics.items():
-        for topic in topics:
-            uses.setdefault(topic, []).append(query)
-    readers = F.lit(None).cast("array<string>")
-    for topic, queries in uses.items():
-        readers = F.when(F.col("topic") == topic, F.array(*[F.lit(q) for q in queries])).otherwise(readers)
-    return (throughput.withColumn("query", F.explode(readers))
+    """A query's rate: the sum over the topics it uses."""
+    return (throughput.withColumn("query", F.explode(readers(query_topics)))
             .groupBy("query", "ts")
             .agg(F.sum("events").alias("events"), F.max("seconds").alias("seconds"))
             .withColumn("events_per_sec", F.col("events") / F.col("seconds")))

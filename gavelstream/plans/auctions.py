@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import inside_intervals, interval_join, merged_intervals, window_join
 from ..operators.ranking import arg_max, best_with_ties, first_value, top_k_per_group
-from ..operators.windows import distinct_per_window, hop, tumble, window_bounds, window_count
+from ..operators.windows import distinct_per_window, hop_count, tumble, window_bounds
 from ..sources.tables import second_grain
 
 # Fixed values of the workload.
@@ -80,7 +80,7 @@ def average_price_by_category(auctions: DataFrame, bids: DataFrame, grain: str =
 
 def bid_counts(bids: DataFrame) -> DataFrame:
     """Bids per auction and hopping window."""
-    return window_count(bids, ["auction"], hop("date_time", SLIDE, SIZE), "bid_count")
+    return hop_count(bids, ["auction"], "date_time", SLIDE, SIZE, "bid_count")
 
 
 def hot_items(bids: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import progress
+from ..session import written
 
 WORKERS = 9
 EVERY = "6 hours"
@@ -20,52 +21,40 @@ def samples(events: DataFrame) -> DataFrame:
     Events are counted per sample before anything is ordered; the running sum goes over
     sample times only. A topic's missing samples of single workers are filled in.
     """
-    counted = events.groupBy(
+    counted = written(events.groupBy(
         F.col("event_type").alias("topic"), (F.col("user_id") % WORKERS).alias("worker"),
         F.window("ts", EVERY)["end"].alias("ts")).agg(
-        F.count("*").alias("events"), F.max(F.floor("value")).alias("cpu_pct"))
-    times = (counted.select("topic", "ts").distinct()
-             .withColumn("worker", F.explode(F.sequence(F.lit(0), F.lit(WORKERS - 1)).cast("array<bigint>"))))
+        F.count("*").alias("events"), F.max(F.floor("value")).alias("cpu_pct")))
+    workers = F.sequence(F.lit(0), F.lit(WORKERS - 1)).cast("array<bigint>")
+    times = counted.select("topic", "ts").distinct().withColumn("worker", F.explode(workers))
     filled = times.join(counted, ["topic", "worker", "ts"], "left").fillna(0, ["events", "cpu_pct"])
     so_far = Window.partitionBy("topic", "worker").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     return filled.select("topic", "worker", "ts", F.sum("events").over(so_far).alias("offset"), "cpu_pct")
 
 
-def offsets(events: DataFrame) -> DataFrame:
-    return progress.topic_offsets(samples(events))
+def throughput(sampled: DataFrame) -> DataFrame:
+    return progress.topic_throughput(progress.topic_offsets(sampled))
 
 
-def throughput(events: DataFrame) -> DataFrame:
-    return progress.topic_throughput(offsets(events))
+def input_rates(sampled: DataFrame) -> DataFrame:
+    return progress.query_throughput(throughput(sampled), READS)
 
 
-def input_rates(events: DataFrame) -> DataFrame:
-    return progress.query_throughput(throughput(events), READS)
+def output_rates(sampled: DataFrame) -> DataFrame:
+    return progress.query_throughput(throughput(sampled), WRITES)
 
 
-def output_rates(events: DataFrame) -> DataFrame:
-    return progress.query_throughput(throughput(events), WRITES)
-
-
-def stats(events: DataFrame) -> DataFrame:
+def stats(sampled: DataFrame) -> DataFrame:
     """Per topic, over the ten days after a two-day warm-up."""
-    measured = progress.after_warmup(throughput(events), F.expr("timestamp_ntz'2024-01-01 00:00:00'"),
+    measured = progress.after_warmup(throughput(sampled), F.expr("timestamp_ntz'2024-01-01 00:00:00'"),
                                      "2 days", "10 days")
     return progress.sample_stats(measured, "events", ["topic"])
 
 
-def query_samples(events: DataFrame) -> DataFrame:
-    """Each topic's samples for every query that reads it."""
-    readers = F.lit(None).cast("array<string>")
-    for topic in sorted({t for topics in READS.values() for t in topics}):
-        queries = F.array(*[F.lit(q) for q, topics in READS.items() if topic in topics])
-        readers = F.when(F.col("topic") == topic, queries).otherwise(readers)
-    return samples(events).withColumn("query", F.explode(readers))
-
-
-def core_seconds(events: DataFrame) -> DataFrame:
-    return progress.core_seconds(query_samples(events), ["query"])
+def core_seconds(sampled: DataFrame) -> DataFrame:
+    """Processor time of the workers while each query's topics were fed."""
+    return progress.core_seconds(sampled.withColumn("query", F.explode(progress.readers(READS))), ["query"])
 
 
-def summary(events: DataFrame) -> DataFrame:
-    return progress.summary(input_rates(events), output_rates(events), core_seconds(events))
+def summary(sampled: DataFrame) -> DataFrame:
+    return progress.summary(input_rates(sampled), output_rates(sampled), core_seconds(sampled))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import epoch_millis, hash_id, iso_millis, json_row
+from .functions import epoch_millis, hash_id, iso_millis, iso_seconds, json_row
+from .operators import progress
 from .operators.aggregates import MergeableAggregate, aggregate_with, process_windows
 from .operators.changes import changelog, changelog_records, upsert_latest
 from .operators.ranking import top_k_per_group
@@ -153,6 +154,24 @@ def category_changes(t: Tables) -> DataFrame:
         F.col("before.max_date_time").alias("before_time"), F.col("after.max_date_time").alias("after_time"))
 
 
+def hot_items_text(t: Tables) -> DataFrame:
+    """q5 records with window times as text of whole seconds."""
+    hot = plan.hot_items(t.bid)
+    return json_records(hot.withColumns({c: iso_seconds(F.col(c)) for c in ("window_start", "window_end")}))
+
+
+def single_highest_text(t: Tables) -> DataFrame:
+    """q7 records with the window's end in epoch milliseconds."""
+    one = plan.single_highest_bid(t.bid)
+    return json_records(one.select("auction", "bidder", "price", epoch_millis(F.col("window_end")).alias("window_end")))
+
+
+def one_name_text(t: Tables) -> DataFrame:
+    """q8 records with the window's end in epoch milliseconds."""
+    sellers = plan.new_sellers_one_name(t.person, t.auction)
+    return json_records(sellers.withColumn("window_end", epoch_millis(F.col("window_end"))))
+
+
 def latest_bid(t: Tables) -> DataFrame:
     rows = t.bid.select("auction", "date_time", "bidder", "price")
     return upsert_latest(rows, ["auction"], ["date_time"])
@@ -214,6 +233,9 @@ BATCH: dict[str, Query] = {
     "udf_window_process": batch(window_levels),
     # sinks
     "json_encode": batch(lambda t: json_records(plan.hot_items(t.bid))),
+    "json_hot_items_text_times": batch(hot_items_text),
+    "json_single_highest": batch(single_highest_text),
+    "json_one_name": batch(one_name_text),
     "json_upsert_records": batch(lambda t: keyed_records(
         plan.closing_price(plan.bid_in_auction(t.auction, t.bid)), ["auction", "category"])),
     "json_changelog": batch(lambda t: changelog_records(changelog(
@@ -228,12 +250,12 @@ BATCH: dict[str, Query] = {
     "hot_parts_hop": batch(lambda t: tables.hot_parts(t.lineitem)),
     "customer_order_window_join": batch(lambda t: tables.urgent_and_other(t.orders)),
     # measurement
-    "topic_offsets": batch(lambda t: samples.offsets(t.events)),
-    "topic_throughput": batch(lambda t: samples.throughput(t.events)),
-    "query_throughput": batch(lambda t: samples.input_rates(t.events)),
-    "sample_stats": batch(lambda t: samples.stats(t.events)),
-    "core_seconds": batch(lambda t: samples.core_seconds(t.events)),
-    "bench_summary": batch(lambda t: samples.summary(t.events)),
+    "topic_offsets": batch(lambda t: progress.topic_offsets(samples.samples(t.events))),
+    "topic_throughput": batch(lambda t: samples.throughput(samples.samples(t.events))),
+    "query_throughput": batch(lambda t: samples.input_rates(samples.samples(t.events))),
+    "sample_stats": batch(lambda t: samples.stats(samples.samples(t.events))),
+    "core_seconds": batch(lambda t: samples.core_seconds(samples.samples(t.events))),
+    "bench_summary": batch(lambda t: samples.summary(samples.samples(t.events))),
 }
 
 

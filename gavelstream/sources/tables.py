@@ -89,6 +89,12 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return reader.parquet(path + "*")
 
 
+def register(**entities: DataFrame) -> None:
+    """Name frames for SQL: ``register(bid=bids)`` and then ``SELECT ... FROM bid``."""
+    for name, df in entities.items():
+        df.createOrReplaceTempView(name)
+
+
 def as_stream(df: DataFrame, time: str = "date_time", lateness: str | None = LATENESS) -> DataFrame:
     """Zone-free times as TIMESTAMP, which watermarks need, with the watermark set."""
     zoned = df.withColumns({f.name: F.col(f.name).cast("timestamp")

@@ -17,8 +17,7 @@ BATCH = "batch_id"
 def finish(query: StreamingQuery) -> list[dict]:
     """Wait until all available input is done; return the progress of every micro-batch."""
     query.awaitTermination()
-    return [dict(p) if isinstance(p, dict) else p.jsonValue if hasattr(p, "jsonValue") else p
-            for p in query.recentProgress]
+    return list(query.recentProgress)
 
 
 def start_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

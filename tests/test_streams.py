@@ -8,10 +8,11 @@ from gavelstream.plans import auctions as plan
 from gavelstream.registry import Tables, late_rows
 from gavelstream.sinks import discard, stream_json
 from gavelstream.sources import derive
-from gavelstream.sources.tables import as_stream, parquet_files, zone_free
+from gavelstream.sources.tables import as_stream, parquet_files, register, zone_free
 from gavelstream.streaming import auctions as live
 from gavelstream.streaming import closing, delivery
-from gavelstream.streaming.run import dropped_as_late
+from gavelstream.streaming.measure import measured
+from gavelstream.streaming.run import dropped_as_late, to_files
 
 EVENTS, PARTS = 6000, 4
 
@@ -149,3 +150,18 @@ def test_stream_of_no_rows(spark, tmp_path, bids):
 def test_given_tables_are_read_as_streams(spark):
     t = Tables(spark, SF_DIR)
     assert t.stream("bid").isStreaming and as_stream(t.bid).schema["date_time"].dataType.typeName() == "timestamp"
+
+
+def test_progress_is_measured_and_the_query_stopped(spark, stream, static):
+    progress = measured(plan.selection(stream("bid")), "measured", warmup=0, seconds=4, every="200 milliseconds")
+    assert progress.agg(F.sum("input_rows")).first()[0] == static("bid").count()
+    assert progress.columns == ["query", "batch_id", "ts", "input_rows", "input_rows_per_sec",
+                                "processed_rows_per_sec"]
+    assert not spark.streams.active
+
+
+def test_sql_over_registered_streams_and_tables(spark, static, stream):
+    register(bid=static("bid"), live_bid=stream("bid"))
+    sql = "SELECT auction, price, date_time FROM {} WHERE auction IN (1007, 1020, 2001, 2019, 2087)"
+    assert rows(spark.sql(sql.format("bid"))) == rows(plan.selection(static("bid")))
+    assert rows(to_files(spark.sql(sql.format("live_bid")), "sql")) == rows(plan.selection(static("bid")))
