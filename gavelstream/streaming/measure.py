@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import new_path
+from .run import state_partitions
 
 PROGRESS = ("query string, batch_id bigint, ts timestamp_ntz, input_rows bigint, "
             "input_rows_per_sec double, processed_rows_per_sec double")
@@ -44,9 +45,10 @@ def measured(df: DataFrame, name: str, warmup: float = 30.0, seconds: float = 12
     Returns the progress of the measured span; warm-up micro-batches are left out.
     """
     spark = df.sparkSession
-    query = (df.writeStream.queryName(name).format("noop").outputMode("append")
-             .option("checkpointLocation", new_path(spark, f"{name}-checkpoint"))
-             .trigger(processingTime=every).start())
+    with state_partitions(spark):
+        query = (df.writeStream.queryName(name).format("noop").outputMode("append")
+                 .option("checkpointLocation", new_path(spark, f"{name}-checkpoint"))
+                 .trigger(processingTime=every).start())
     try:
         if not wait_until_running(query):
             raise RuntimeError(f"query {name} did not start: {query.exception()}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +13,24 @@ from ..session import new_path
 from ..sources.tables import zone_free
 
 BATCH = "batch_id"
+PARTITIONS, UNTOUCHED = "spark.sql.shuffle.partitions", "200"
+ADAPTIVE = "spark.sql.adaptive.enabled"
+
+
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Start a stream with one state partition per core, unless the session sets a number.
+
+    A checkpoint keeps the number it was started with.
+    """
+    if spark.conf.get(PARTITIONS) != UNTOUCHED or spark.sparkContext.getConf().contains(PARTITIONS):
+        yield
+        return
+    spark.conf.set(PARTITIONS, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS, UNTOUCHED)
 
 
 def finish(query: StreamingQuery) -> list[dict]:
@@ -22,9 +41,10 @@ def finish(query: StreamingQuery) -> list[dict]:
 
 def start_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append to Parquet files, exactly once per checkpoint."""
-    return (df.writeStream.format("parquet").outputMode("append")
-            .option("path", out).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    with state_partitions(df.sparkSession):
+        return (df.writeStream.format("parquet").outputMode("append")
+                .option("path", out).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
 
 
 def to_files(df: DataFrame, name: str) -> DataFrame:
@@ -46,16 +66,27 @@ def read_batches(spark: SparkSession, root: str, schema: StructType) -> DataFram
 
 def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
                   mode: str = "append") -> StreamingQuery:
-    """Call ``each`` with every micro-batch, computed once and held while it runs."""
+    """Call ``each`` with every micro-batch, computed once and held while it runs.
+
+    A stream turns adaptive planning off for its own plan. The rows of a micro-batch are
+    settled by then, so the jobs over them plan as the session does.
+    """
+    adaptive = df.sparkSession.conf.get(ADAPTIVE)
+
     def held(batch: DataFrame, batch_id: int) -> None:
+        conf = batch.sparkSession.conf
+        streaming = conf.get(ADAPTIVE)
         batch.persist()
+        conf.set(ADAPTIVE, adaptive)
         try:
             each(batch, batch_id)
         finally:
+            conf.set(ADAPTIVE, streaming)
             batch.unpersist()
 
-    return (df.writeStream.foreachBatch(held).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with state_partitions(df.sparkSession):
+        return (df.writeStream.foreachBatch(held).outputMode(mode)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def to_batches(df: DataFrame, transform: Callable[[DataFrame], DataFrame], schema: StructType,
