@@ -14,6 +14,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from bench import READS, cpu_seconds
 from gavelstream.operators.windows import hop, hop_count, tumble, window_count
 from gavelstream.plans import auctions as plan
 from gavelstream.session import build_session
@@ -65,11 +66,14 @@ def main(count: int, kind: str, names: list[str]) -> None:
         df.write.parquet(f"{root}/{name}")
         tables.append(parquet_files(spark, name, f"{root}/{name}"))
     for name in names or QUERIES:
-        began = time.perf_counter()
         discard(QUERIES[name](*tables))
-        took = time.perf_counter() - began
+        used, began = cpu_seconds(spark), time.perf_counter()
+        discard(QUERIES[name](*tables))
+        took, cores = time.perf_counter() - began, cpu_seconds(spark) - used
+        read = count * READS.get(name.split("_")[0], 1)
         print(json.dumps({"query": name, "kind": kind, "events": count, "sec": round(took, 2),
-                          "events_per_sec": round(count / took)}), flush=True)
+                          "events_per_sec": round(read / took), "core_seconds": round(cores, 1),
+                          "events_per_core_sec": round(read / cores)}), flush=True)
 
 
 if __name__ == "__main__":

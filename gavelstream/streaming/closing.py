@@ -5,7 +5,8 @@ Every micro-batch is a batch job over its own rows and a small carried state:
 - ``live``: disjoint open pieces per (auction id, category), gone once the watermark passes;
 - ``pending``: bids newer than the watermark, since their auction may still arrive;
 - ``closing``: highest prices, written per micro-batch and folded now and then;
-- ``average`` and ``changes``: the result and its change rows.
+- ``average`` and ``changes``: the result and its change rows;
+- ``released``, on request: the matched bids that the watermark has passed.
 
 All of it is written under the micro-batch number, so a repeated micro-batch writes the
 same folders again.
@@ -35,85 +36,86 @@ CHANGES = f"before struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, " \
 
 
 def mixed(auctions: DataFrame, bids: DataFrame) -> DataFrame:
-    """Both streams in one; a bid has no category."""
-    opened = auctions.select("id", "category", F.lit(None).cast("bigint").alias("price"), "date_time", "expires")
-    made = bids.select(F.col("auction").alias("id"), F.lit(None).cast("bigint").alias("category"), "price",
-                       "date_time", F.lit(None).cast("timestamp").alias("expires"))
+    """Both streams in one, with a flag that tells them apart."""
+    opened = auctions.select(F.lit(False).alias("is_bid"), "id", "category", "date_time", "expires",
+                             F.lit(None).cast("bigint").alias("price"))
+    made = bids.select(F.lit(True).alias("is_bid"), F.col("auction").alias("id"),
+                       F.lit(None).cast("bigint").alias("category"), "date_time",
+                       F.lit(None).cast("timestamp").alias("expires"), "price")
     return opened.unionByName(made)
 
 
+TABLES = {"live": PIECES, "pending": BIDS, "closing": CLOSINGS, "average": AVERAGES, "changes": CHANGES,
+          "released": RELEASED}
+
+
 class ClosingPrices:
     """The carried state below ``root`` and one step per micro-batch."""
 
-    def __init__(self, spark: SparkSession, root: str, lateness: str = LATENESS):
-        self.spark, self.root, self.lateness = spark, root, lateness
-        for table, schema in self._tables().items():
-            self._empty(schema).write.mode("ignore").parquet(self._path(table, -1))
+    def __init__(self, spark: SparkSession, root: str, lateness: str = LATENESS, release: bool = False):
+        self.spark, self.root, self.release = spark, root, release
+        self.behind = F.expr(f"INTERVAL {lateness}")
+        for table in ("average", "changes", "released"):
+            self._empty(table).write.mode("ignore").parquet(self._path(table, -1))
 
-    @staticmethod
-    def _tables() -> dict[str, str]:
-        return {"live": PIECES, "pending": BIDS, "closing": CLOSINGS, "average": AVERAGES,
-                "changes": CHANGES, "released": RELEASED}
-
-    def _empty(self, schema: str) -> DataFrame:
-        return self.spark.createDataFrame([], schema)
+    def _empty(self, table: str) -> DataFrame:
+        return self.spark.createDataFrame([], TABLES[table])
 
     def _path(self, table: str, batch_id: int) -> str:
         return batch_path(f"{self.root}/{table}", batch_id)
 
     def _read(self, table: str, *batch_ids: int) -> DataFrame:
-        paths = [self._path(table, i) for i in batch_ids]
-        return self.spark.read.schema(self._tables()[table]).parquet(*paths)
+        paths = [self._path(table, i) for i in batch_ids if i >= 0]
+        return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self._empty(table)
 
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._path(table, batch_id))
 
-    def _closing_batches(self, batch_id: int) -> list[int]:
-        """A batch number divisible by ``FOLD_EVERY`` holds everything before it too."""
-        return list(range(batch_id - batch_id % FOLD_EVERY, batch_id + 1)) if batch_id >= 0 else [-1]
-
     def closings(self, batch_id: int) -> DataFrame:
-        return _highest(self._read("closing", *self._closing_batches(batch_id)))
+        """A batch number divisible by ``FOLD_EVERY`` holds everything before it too."""
+        first = batch_id - batch_id % FOLD_EVERY
+        return _highest(self._read("closing", *range(first, batch_id + 1)))
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
-        behind = F.expr(f"INTERVAL {self.lateness}")
+        made = batch.where("is_bid").select(F.col("id").alias("auction"), "price", "date_time")
         pending = self._read("pending", batch_id - 1)
-        # Pending bids hold the newest time seen; anything behind it by more is late.
-        seen = pending.agg((F.max("date_time") - behind).alias("t")).first()["t"]
-        on_time = batch if seen is None else batch.where(F.col("date_time") >= F.lit(seen))
-        auctions = on_time.where(F.col("category").isNotNull()).select("id", "category", "date_time", "expires")
-        bids = (on_time.where(F.col("category").isNull())
-                .select(F.col("id").alias("auction"), "price", "date_time").unionByName(pending))
-        watermark = bids.agg((F.max("date_time") - behind).alias("t")).first()["t"]
-
-        pieces = merged_intervals(self._read("live", batch_id - 1).unionByName(auctions),
+        # Pending bids hold the newest time seen so far; rows further behind it are late.
+        newest = (pending.select("date_time", F.lit(True).alias("earlier"))
+                  .unionByName(made.select("date_time", F.lit(False).alias("earlier")))
+                  .agg((F.max(F.when(F.col("earlier"), F.col("date_time"))) - self.behind).alias("seen"),
+                       (F.max("date_time") - self.behind).alias("watermark"))).first()
+        seen, watermark = newest["seen"], newest["watermark"]
+        on_time = F.lit(True) if seen is None else F.col("date_time") >= F.lit(seen)
+        opened = batch.where("NOT is_bid").where(on_time).select("id", "category", "date_time", "expires")
+        bids = made.where(on_time).unionByName(pending)
+
+        pieces = merged_intervals(self._read("live", batch_id - 1).unionByName(opened),
                                   ["id", "category"], "date_time", "expires")
-        matched = inside_intervals(bids, pieces, {"auction": "id"}, "date_time", "date_time", "expires").persist()
+        matched = inside_intervals(bids, pieces, {"auction": "id"}, "date_time", "date_time", "expires")
+        passed = F.lit(False) if watermark is None else F.col("date_time") < F.lit(watermark)
+        if self.release:
+            matched = matched.persist()
+            self._write(matched.where(passed), "released", batch_id)
         highest = plan.closing_price(matched)
         if batch_id % FOLD_EVERY == 0:
             highest = _highest(highest.unionByName(self.closings(batch_id - 1)))
         self._write(highest, "closing", batch_id)
+        if self.release:
+            matched.unpersist()
 
-        done = F.lit(False) if watermark is None else F.col("date_time") < F.lit(watermark)
-        self._write(matched.where(done).select("auction", "price", "date_time", "category"), "released", batch_id)
-        self._write(bids.where(~done), "pending", batch_id)
+        self._write(bids.where(~passed), "pending", batch_id)
         still = F.lit(True) if watermark is None else F.col("expires") >= F.lit(watermark)
         self._write(pieces.where(still), "live", batch_id)
-        matched.unpersist()
-
         self._write(plan.category_average(self.closings(batch_id)), "average", batch_id)
         changes = changelog(self._read("average", batch_id - 1), self._read("average", batch_id), ["category"])
         self._write(changes, "changes", batch_id)
 
     def all_batches(self, table: str) -> DataFrame:
-        schema = self._empty(self._tables()[table]).schema
-        return read_batches(self.spark, f"{self.root}/{table}", schema)
+        return read_batches(self.spark, f"{self.root}/{table}", self._empty(table).schema)
 
     def last_batch(self) -> int:
-        return self.all_batches("average").select(F.max("batch_id")).first()[0] if self._ran() else -1
-
-    def _ran(self) -> bool:
-        return self.all_batches("average").limit(1).count() > 0
+        """The newest micro-batch with an average, -1 before any."""
+        return self.all_batches("average").agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
 
 
 def _highest(closings: DataFrame) -> DataFrame:
@@ -121,18 +123,18 @@ def _highest(closings: DataFrame) -> DataFrame:
         F.max("final").alias("final"), F.max("max_bid_time").alias("max_bid_time"))
 
 
-def run(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> ClosingPrices:
+def run(auctions: DataFrame, bids: DataFrame, root: str | None = None, release: bool = False) -> ClosingPrices:
     """Run over all input there is; a second run on the same ``root`` goes on from there."""
     spark = auctions.sparkSession
     root = root or new_path(spark, "q4")
-    prices = ClosingPrices(spark, root)
+    prices = ClosingPrices(spark, root, release=release)
     start_batches(mixed(auctions, bids), prices.step, f"{root}/checkpoint").awaitTermination()
     return prices
 
 
 def bid_in_auction(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     """Matched bids, each emitted once, when the watermark has passed it."""
-    return zone_free(run(auctions, bids).all_batches("released").drop("batch_id"))
+    return zone_free(run(auctions, bids, release=True).all_batches("released").drop("batch_id"))
 
 
 def closing_price(auctions: DataFrame, bids: DataFrame) -> DataFrame:
