@@ -22,7 +22,8 @@ def _text_schema(schema: StructType) -> StructType:
 def _whole(text: Column) -> Column:
     """A bigint from integral number text: ``1345`` and ``1345.0``, but not ``12.5``."""
     exact = text.try_cast("decimal(38,9)")
-    return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
+    # Plain digits, the usual case, need no decimal arithmetic.
+    return F.coalesce(text.try_cast("bigint"), F.when(exact == F.floor(exact), exact.try_cast("bigint")))
 
 
 def parsed(df: DataFrame, entity: str, *, time_encoding: str = "iso", grain: str = "ms",

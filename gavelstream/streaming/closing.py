@@ -71,6 +71,12 @@ class ClosingPrices:
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._path(table, batch_id))
 
+    def _outdated(self, table: str, batch_id: int) -> None:
+        """Remove a carried table that no repeated micro-batch can read any more."""
+        if batch_id >= 0:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, batch_id))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def closings(self, batch_id: int) -> DataFrame:
         """A batch number divisible by ``FOLD_EVERY`` holds everything before it too."""
         first = batch_id - batch_id % FOLD_EVERY
@@ -109,6 +115,9 @@ class ClosingPrices:
         self._write(plan.category_average(self.closings(batch_id)), "average", batch_id)
         changes = changelog(self._read("average", batch_id - 1), self._read("average", batch_id), ["category"])
         self._write(changes, "changes", batch_id)
+        # Micro-batch b reads what b - 1 carried, and starts only after b - 1 is committed.
+        for table in ("live", "pending"):
+            self._outdated(table, batch_id - 2)
 
     def all_batches(self, table: str) -> DataFrame:
         return read_batches(self.spark, f"{self.root}/{table}", self._empty(table).schema)
