@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def two_level(df: DataFrame, inner_keys: Sequence[str], inner: Sequence[Column],
