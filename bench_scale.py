@@ -1,8 +1,9 @@
 """Larger and skewed runs: python bench_scale.py [EVENTS] [plain|hot] [query ...]
 
 Derives persons, auctions and bids to Parquet in a new scratch folder, then times the
-queries over those files. ``hot`` puts a third of all bids on one auction and bidder and
-makes another third copies of one another, and gives one seller a third of the auctions.
+queries over those files, in a second run. ``hot`` puts two thirds of the bids on one auction
+and bidder, makes half of those alike in all but the hour, and gives one seller a third of the
+auctions.
 """
 
 from __future__ import annotations
