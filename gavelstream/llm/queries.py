@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lines, mixing, simhash
+from . import ann, bpe, embedding_dedup, language, licenses, lines, mixing, quality, secrets, simhash
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents, ids_only=True).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language.held_out(F.col("doc_id"))
@@ -56,9 +60,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex",
+                        F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"),
+                        secrets.as_text(F.col("spans")).alias("spans"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the held-out quarter are not learned from, so that the scores there can be judged."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(documents, table(spark, sf_dir, "labels"), lambda id: ~language.held_out(id))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash, "op3_language_id": op3_language_id, "op4_line_dedup": op4_line_dedup,
-    "op7_bpe": op7_bpe, "op8_mixing": op8_mixing,
+    "op1_simhash": op1_simhash, "op2_nn_descent": op2_nn_descent, "op3_language_id": op3_language_id,
+    "op4_line_dedup": op4_line_dedup, "op5_embedding_dedup": op5_embedding_dedup, "op6_licenses": op6_licenses, "op7_bpe": op7_bpe, "op8_mixing": op8_mixing, "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 LINE_DEDUP_SQL = """
