@@ -21,7 +21,7 @@ from .components import components
 from .neighbours import SEED, build, edges, packed, quantised, usable
 
 K, ROUNDS, TREES = 12, 4, 8
-ENLARGEMENTS = 3  # beyond lists of 96 places the exact comparison of components takes over
+ENLARGEMENTS = 2  # beyond lists of 48 places the exact comparison of components takes over
 MARGIN = 0.03  # of squared distance between bytes, so that no true link is lost to rounding
 TILE = 1024
 AUDITED, WANTED, PASSES = 128, 0.99, 3
@@ -46,7 +46,7 @@ def _enlarged(codes: DataFrame, lists: DataFrame, k: int, threshold: float, stag
         if part.isEmpty():
             break
         k *= 2
-        lists = build(part, k, 2, staged, trees=2, seed=SEED + 100 + step, key=f"lists{step}")
+        lists = build(part, k, 1, staged, trees=2, seed=SEED + 100 + step, key=f"lists{step}")
         found.append(lists)
     return found
 
