@@ -7,17 +7,28 @@ comparison worth something.
 
 from __future__ import annotations
 
+from gavelstream.sources.derive import (
+    AU_CITIES,
+    AU_STATES,
+    FIRST_NAMES,
+    HOT_CHANNELS,
+    LAST_NAMES,
+    MAIL_HOSTS,
+    US_CITIES,
+    US_STATES,
+)
+
 
 def _h(salt: str = "", n: str = "n") -> str:
     text = f"({n})::varchar" + (f" || '{salt}'" if salt else "")
     return f"('0x' || substr(md5({text}), 1, 8))::bigint"
 
 
-def _list(values: str) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values.split("|")) + "]"
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _pick(values: str, index: str) -> str:
+def _pick(values: list[str], index: str) -> str:
     return f"({_list(values)})[1 + ({index})]"
 
 
@@ -27,14 +38,7 @@ def _text(salt: str, low: int, pieces: int) -> str:
             f"({low} + {_h(salt)} % {low + 1})::int)")
 
 
-FIRST = "Peter|Paul|Luke|John|Saul|Vicky|Kate|Julie|Sarah|Deiter|Johann"
-LAST = "Shultz|Abrams|Spencer|White|Bartels|Walton|Smith|Jones|Noris"
-US_CITY = "Phoenix|Los Angeles|San Francisco|Boise|Portland|Bend|Redmond|Seattle|Kent|Spokane"
-US_STATE = "az|ca|ca|id|or|or|wa|wa|wa|wa"
-AU_CITY = "Sydney|Melbourne|Brisbane|Perth|Adelaide"
-AU_STATE = "nsw|vic|qld|wa|sa"
-CHANNEL = "Google|Facebook|Baidu|Apple"
-FIRST_P, LAST_P = _pick(FIRST, _h("fn") + " % 11"), _pick(LAST, _h("ln") + " % 9")
+FIRST_P, LAST_P = _pick(FIRST_NAMES, _h("fn") + " % 11"), _pick(LAST_NAMES, _h("ln") + " % 9")
 TIME = "TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(n * 10)"
 LAST_AUCTION = f"({_h('', 'n - n % 50 + 3')} % 1000)"
 LAST_PERSON = f"({_h('', 'n - n % 50')} % 1000)"
@@ -42,10 +46,10 @@ LAST_PERSON = f"({_h('', 'n - n % 50')} % 1000)"
 PERSON = f"""person AS (
   SELECT 1000 + {_h()} % 1000 AS id,
          {FIRST_P} || ' ' || {LAST_P} AS name,
-         lower({FIRST_P}) || lower({LAST_P}) || '@' || {_pick('gmail.com|yahoo.com|hotmail.com', _h('em') + ' % 3')} AS email_address,
+         lower({FIRST_P}) || lower({LAST_P}) || '@' || {_pick(MAIL_HOSTS, _h('em') + ' % 3')} AS email_address,
          {" || ".join(f"(1000 + {_h(f'cc{i}')} % 9000)::varchar" for i in range(4))} AS credit_card,
-         CASE WHEN {_h('au')} % 10 < 9 THEN {_pick(US_CITY, _h('st') + ' % 10')} ELSE {_pick(AU_CITY, _h('st') + ' % 5')} END AS city,
-         CASE WHEN {_h('au')} % 10 < 9 THEN {_pick(US_STATE, _h('st') + ' % 10')} ELSE {_pick(AU_STATE, _h('st') + ' % 5')} END AS state,
+         CASE WHEN {_h('au')} % 10 < 9 THEN {_pick(US_CITIES, _h('st') + ' % 10')} ELSE {_pick(AU_CITIES, _h('st') + ' % 5')} END AS city,
+         CASE WHEN {_h('au')} % 10 < 9 THEN {_pick(US_STATES, _h('st') + ' % 10')} ELSE {_pick(AU_STATES, _h('st') + ' % 5')} END AS state,
          {TIME} AS date_time,
          {_text('ex', 25, 2)} AS extra
   FROM (SELECT event_id AS n FROM events) WHERE n % 50 = 0)"""
@@ -72,9 +76,9 @@ BID = f"""bid AS (
          CASE WHEN {_h('hb')} % 100 > 0 THEN 1000 + {_h('b')} % 1000
               ELSE 1001 + ({LAST_PERSON} // 100) * 100 END AS bidder,
          floor(100 * (1 - 10 * ln((1 + {_h('p')} % 1000000) / 1000000.0::double)))::bigint AS price,
-         CASE WHEN {_h('ch')} % 2 = 1 THEN {_pick(CHANNEL, _h('hc') + ' % 4')}
+         CASE WHEN {_h('ch')} % 2 = 1 THEN {_pick(HOT_CHANNELS, _h('hc') + ' % 4')}
               ELSE 'channel-' || (1000 + {_h('ci')} % 9001)::varchar END AS channel,
-         CASE WHEN {_h('ch')} % 2 = 1 THEN 'https://' || lower({_pick(CHANNEL, _h('hc') + ' % 4')}) || '.com'
+         CASE WHEN {_h('ch')} % 2 = 1 THEN 'https://' || lower({_pick(HOT_CHANNELS, _h('hc') + ' % 4')}) || '.com'
               ELSE 'https://channel' || (1000 + {_h('ci')} % 9001)::varchar || '.com' END AS url,
          {TIME} AS date_time,
          {_text('ex', 25, 2)} AS extra
@@ -384,9 +388,11 @@ def oracle() -> dict[str, str]:
         "stream_q2_selection": _with(b) + Q2,
         "stream_q3_local_item_suggestion": _with(p, a) + Q3,
         "stream_q4_bid_in_auction": _with(a, b, IN_AUCTION) + """SELECT * FROM inside
-            WHERE date_time < (SELECT max(date_time) FROM bid) - INTERVAL 5 SECOND""",
+            WHERE date_time < (SELECT least(max(b.date_time), (SELECT max(date_time) FROM auction)) FROM bid b)
+                              - INTERVAL 5 SECOND""",
         "stream_q4_closing_price": _with(a, b, CLOSING) + "SELECT * FROM closing",
         "stream_q4_category_avg": _with(a, b, CLOSING) + _average("closing"),
+        "stream_q4_lagging_auctions": _with(a, b, CLOSING) + _average("closing"),
         "stream_q5_bid_counts": _with(b) + _closed(counts),
         "stream_q5_hot_items": _with(b) + _closed(HOT),
         "stream_q6_last10_avg": _with(b) + Q6,

@@ -108,10 +108,9 @@ def highest_bid(bids: DataFrame) -> DataFrame:
 def single_highest_bid(bids: DataFrame) -> DataFrame:
     """q7 with one bid per window: the earliest of the highest, then the lowest ids."""
     priced = bids.select("auction", "bidder", "price", "date_time", tumble("date_time", SIZE))
-    best = best_with_ties(priced, ["window"], "price", from_scan=True)
     negated_time = -F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"),
                                      F.col("date_time").cast("timestamp_ntz"))
-    one = arg_max(best, ["window"], ["auction", "bidder", "price"],
+    one = arg_max(priced, ["window"], ["auction", "bidder", "price"],
                   ["price", negated_time, -F.col("auction"), -F.col("bidder")])
     return window_bounds(one)
 

@@ -302,6 +302,14 @@ def in_runs(parts: Callable) -> Callable[[Tables], DataFrame]:
     return run
 
 
+def lagging_auctions(t: Tables) -> DataFrame:
+    """Averages where the auctions of each half come a restart after its bids."""
+    half = t.numbered.agg((F.max("n") + 1).alias("n")).first()["n"] // 2
+    early, late = t.numbered.where(F.col("n") < half), t.numbered.where(F.col("n") >= half)
+    return delivery.averages_in_runs(t.spark, [
+        (None, derive.bid(early)), (derive.auction(early), derive.bid(late)), (derive.auction(late), None)])
+
+
 STREAMS: dict[str, Query] = {
     "stream_source_epoch_ms": batch(epoch_stream),
     "stream_q1_currency_conversion": batch(lambda t: live.currency_conversion(t.stream("bid"))),
@@ -311,6 +319,7 @@ STREAMS: dict[str, Query] = {
     "stream_q4_bid_in_auction": batch(lambda t: closing.bid_in_auction(t.stream("auction"), t.stream("bid"))),
     "stream_q4_closing_price": batch(lambda t: closing.closing_price(t.stream("auction"), t.stream("bid"))),
     "stream_q4_category_avg": batch(lambda t: closing.category_average(t.stream("auction"), t.stream("bid"))),
+    "stream_q4_lagging_auctions": batch(lagging_auctions),
     "stream_q5_bid_counts": batch(lambda t: live.bid_counts(t.stream("bid"))),
     "stream_q5_hot_items": batch(lambda t: live.hot_items(t.stream("bid"))),
     "stream_q6_last10_avg": batch(lambda t: live.last_bids_average(t.stream("bid"))),

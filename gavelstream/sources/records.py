@@ -31,7 +31,8 @@ def parsed(df: DataFrame, entity: str, *, time_encoding: str = "iso", grain: str
     """``value`` text to the entity's columns, with ``reject_reason`` set on bad rows.
 
     Fields that the schema does not name are ignored. A record is bad if it is no
-    JSON object, lacks a readable event time, or holds a number that is not whole.
+    JSON object, lacks a readable event time, holds another time that cannot be read, or a
+    number that is not whole. ``time_encoding='number'`` keeps epoch times as whole numbers.
     """
     schema = ENTITIES[entity]
     record = F.from_json(F.col(RAW), _text_schema(schema),
@@ -39,7 +40,7 @@ def parsed(df: DataFrame, entity: str, *, time_encoding: str = "iso", grain: str
     # As a generated column the record is parsed once: a filter on it stays above the parse.
     rows = df.select(F.col(RAW), F.explode_outer(F.array(record)).alias("_r"))
     loose = set(ID_COLUMNS[entity]) if lenient_ids else set()
-    columns, broken = [], F.lit(False)
+    columns, broken, no_other_time = [], F.lit(False), F.lit(False)
     for field in schema.fields:
         text = F.col(f"_r.{field.name}")
         if isinstance(field.dataType, LongType):
@@ -47,6 +48,8 @@ def parsed(df: DataFrame, entity: str, *, time_encoding: str = "iso", grain: str
             broken = broken | (text.isNotNull() & value.isNull())
         elif isinstance(field.dataType, TimestampNTZType):
             value = _time(text, time_encoding, grain, time_shift_ms)
+            if field.name != "date_time":
+                no_other_time = no_other_time | (text.isNotNull() & value.isNull())
         else:
             value = text
         columns.append(value.alias(field.name))
@@ -54,16 +57,19 @@ def parsed(df: DataFrame, entity: str, *, time_encoding: str = "iso", grain: str
     reason = (F.when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
                      | (F.trim(F.col(RAW)) == ""), "not an object")
               .when(no_time, "no event time")
+              .when(no_other_time, "unreadable time")
               .when(broken, "not a whole number"))
     return rows.select(F.col(RAW), *columns, reason.alias(REASON))
 
 
 def _time(text: Column, encoding: str, grain: str, shift_ms: int) -> Column:
+    if encoding == "number":
+        return _whole(text)
     if encoding == "epoch_ms":
         millis = text.try_cast("bigint") + shift_ms
         return from_epoch_seconds(millis) if grain == "second" else from_epoch_millis(millis)
     if encoding != "iso":
-        raise ValueError(f"time_encoding must be iso or epoch_ms, not {encoding!r}")
+        raise ValueError(f"time_encoding must be iso, epoch_ms or number, not {encoding!r}")
     # ISO text only: a bare number would be read as a year.
     iso = F.when(text.contains("T"), text.try_cast("timestamp_ntz"))
     if shift_ms:
@@ -95,16 +101,14 @@ def with_epoch_times(df: DataFrame, times: dict[str, str]) -> DataFrame:
     return df.withColumns({new: from_epoch_seconds(F.col(old)) for old, new in times.items()})
 
 
-def epoch_table(df: DataFrame, entity: str) -> DataFrame:
+def epoch_table(df: DataFrame, entity: str, *, bad_data: str = "fail") -> DataFrame:
     """JSON with epoch-ms times to a table that keeps the numbers and adds computed times.
 
-    Rows without an event time are left out.
+    Ids may have a zero fraction, and bad records stop the job or are left out, as in ``decode``;
+    ``rejects(..., time_encoding='number')`` returns them.
     """
-    schema = StructType([
-        StructField(f.name, LongType() if isinstance(f.dataType, TimestampNTZType) else f.dataType)
-        for f in ENTITIES[entity].fields])
-    rows = df.select(F.from_json(F.col(RAW), schema).alias("_r")).select("_r.*")
+    rows = decode(df, entity, time_encoding="number", bad_data=bad_data)
     times = {"date_time": "event_time"}
-    if "expires" in schema.fieldNames():
+    if "expires" in rows.columns:
         times["expires"] = "expires_time"
-    return with_epoch_times(rows.where(F.col("date_time").isNotNull()), times)
+    return with_epoch_times(rows, times)

@@ -2,8 +2,12 @@
 
 Every micro-batch is a batch job over its own rows and a small carried state:
 
-- ``live``: disjoint open pieces per (auction id, category), gone once the watermark passes;
+- ``marks``: the newest time of each input. The watermark is the lesser of the two, less the
+  lateness, so bids wait for auctions that lag behind them, but no longer than the retention;
+- ``live``: disjoint open pieces per (auction id, category), gone once the watermark passes
+  their end. No auction is late while it is open, whenever it began;
 - ``pending``: bids newer than the watermark, since their auction may still arrive;
+- ``dropped``: how many bids came behind the watermark, and how many waited out the retention;
 - ``closing``: highest prices, written per micro-batch and folded now and then;
 - ``average`` and ``changes``: the result and its change rows;
 - ``released``, on request: the matched bids that the watermark has passed.
@@ -25,11 +29,14 @@ from ..sources.tables import LATENESS, zone_free
 from .run import batch_path, read_batches, start_batches
 
 FOLD_EVERY = 16
+RETENTION = "1 day"  # how long bids wait for an auction
 
 PIECES = "id bigint, category bigint, date_time timestamp, expires timestamp"
 BIDS = "auction bigint, price bigint, date_time timestamp"
 CLOSINGS = "auction bigint, category bigint, final bigint, max_bid_time timestamp"
 AVERAGES = "category bigint, avg_price double, max_date_time timestamp"
+MARKS = "newest_bid timestamp, newest_auction timestamp"
+DROPPED = "late_bids bigint, expired_bids bigint"
 RELEASED = "auction bigint, price bigint, date_time timestamp, category bigint"
 CHANGES = f"before struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, " \
           f"after struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, op string"
@@ -46,16 +53,17 @@ def mixed(auctions: DataFrame, bids: DataFrame) -> DataFrame:
 
 
 TABLES = {"live": PIECES, "pending": BIDS, "closing": CLOSINGS, "average": AVERAGES, "changes": CHANGES,
-          "released": RELEASED}
+          "released": RELEASED, "marks": MARKS, "dropped": DROPPED}
 
 
 class ClosingPrices:
     """The carried state below ``root`` and one step per micro-batch."""
 
-    def __init__(self, spark: SparkSession, root: str, lateness: str = LATENESS, release: bool = False):
+    def __init__(self, spark: SparkSession, root: str, lateness: str = LATENESS, release: bool = False,
+                 retention: str = RETENTION):
         self.spark, self.root, self.release = spark, root, release
-        self.behind = F.expr(f"INTERVAL {lateness}")
-        for table in ("average", "changes", "released"):
+        self.behind, self.retention = F.expr(f"INTERVAL {lateness}"), F.expr(f"INTERVAL {retention}")
+        for table in ("average", "changes", "released", "dropped"):
             self._empty(table).write.mode("ignore").parquet(self._path(table, -1))
 
     def _empty(self, table: str) -> DataFrame:
@@ -82,18 +90,35 @@ class ClosingPrices:
         first = batch_id - batch_id % FOLD_EVERY
         return _highest(self._read("closing", *range(first, batch_id + 1)))
 
+    def _watermark(self, marks: DataFrame):
+        """Up to where bids are done, and up to where both inputs have come."""
+        lesser = F.when(F.col("newest_bid").isNotNull() & F.col("newest_auction").isNotNull(), F.least("newest_bid", "newest_auction"))
+        # Bids wait for auctions; where there are none yet, only the retention ends their wait.
+        both = (lesser - self.behind).alias("both")
+        out = (F.col("newest_bid") - self.retention).alias("out")
+        row = marks.select(both, F.greatest(both, out).alias("watermark")).first()
+        return (row["watermark"], row["both"]) if row else (None, None)
+
     def step(self, batch: DataFrame, batch_id: int) -> None:
         made = batch.where("is_bid").select(F.col("id").alias("auction"), "price", "date_time")
+        earlier = self._read("marks", batch_id - 1)
+        newest = earlier.unionByName(batch.agg(
+            F.max(F.when(F.col("is_bid"), F.col("date_time"))).alias("newest_bid"),
+            F.max(F.when(~F.col("is_bid"), F.col("date_time"))).alias("newest_auction")))
+        self._write(newest.agg(F.max("newest_bid").alias("newest_bid"), F.max("newest_auction").alias("newest_auction")),
+                    "marks", batch_id)
+        seen, _ = self._watermark(earlier)
+        watermark, both = self._watermark(self._read("marks", batch_id))
+        late = F.lit(False) if seen is None else F.col("date_time") < F.lit(seen)
+        opened = batch.where("NOT is_bid").select("id", "category", "date_time", "expires")
         pending = self._read("pending", batch_id - 1)
-        # Pending bids hold the newest time seen so far; rows further behind it are late.
-        newest = (pending.select("date_time", F.lit(True).alias("earlier"))
-                  .unionByName(made.select("date_time", F.lit(False).alias("earlier")))
-                  .agg((F.max(F.when(F.col("earlier"), F.col("date_time"))) - self.behind).alias("seen"),
-                       (F.max("date_time") - self.behind).alias("watermark"))).first()
-        seen, watermark = newest["seen"], newest["watermark"]
-        on_time = F.lit(True) if seen is None else F.col("date_time") >= F.lit(seen)
-        opened = batch.where("NOT is_bid").where(on_time).select("id", "category", "date_time", "expires")
-        bids = made.where(on_time).unionByName(pending)
+        bids = made.where(~late).unionByName(pending)
+        outwaited = F.lit(False) if watermark is None else F.col("date_time") < F.lit(watermark)
+        if both is not None:
+            outwaited = outwaited & (F.col("date_time") >= F.lit(both))
+        counted = made.select(late.alias("late"), F.lit(False).alias("out")).unionByName(
+            bids.select(F.lit(False).alias("late"), outwaited.alias("out")))
+        self._write(counted.agg(F.count_if("late").alias("late_bids"), F.count_if("out").alias("expired_bids")), "dropped", batch_id)
 
         pieces = merged_intervals(self._read("live", batch_id - 1).unionByName(opened),
                                   ["id", "category"], "date_time", "expires")
@@ -116,7 +141,7 @@ class ClosingPrices:
         changes = changelog(self._read("average", batch_id - 1), self._read("average", batch_id), ["category"])
         self._write(changes, "changes", batch_id)
         # Micro-batch b reads what b - 1 carried, and starts only after b - 1 is committed.
-        for table in ("live", "pending"):
+        for table in ("live", "pending", "marks"):
             self._outdated(table, batch_id - 2)
 
     def all_batches(self, table: str) -> DataFrame:
@@ -151,10 +176,14 @@ def closing_price(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     return zone_free(prices.closings(prices.last_batch()))
 
 
-def category_average(auctions: DataFrame, bids: DataFrame) -> DataFrame:
+def current_average(prices: ClosingPrices) -> DataFrame:
     """The current average per category, read off the change rows."""
-    changes = run(auctions, bids).all_batches("changes")
     latest = upsert_latest(
-        changes.select(F.coalesce("after.category", "before.category").alias("category"), "batch_id", "after"),
+        prices.all_batches("changes").select(
+            F.coalesce("after.category", "before.category").alias("category"), "batch_id", "after"),
         ["category"], ["batch_id"])
     return zone_free(latest.where(F.col("after").isNotNull()).select("after.*"))
+
+
+def category_average(auctions: DataFrame, bids: DataFrame) -> DataFrame:
+    return current_average(run(auctions, bids))

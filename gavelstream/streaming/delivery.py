@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.windows import tumble, window_bounds, window_count
+from ..schemas import ENTITIES
 from ..session import new_path
-from ..sources.tables import as_stream, zone_free
+from ..sources.tables import as_stream, parquet_files, zone_free
+from . import closing
 from .run import finish, start_files
 
 
@@ -27,5 +29,18 @@ def counted_in_runs(spark: SparkSession, parts: list[DataFrame],
         raw = spark.readStream.schema(part.schema).parquet(f"{incoming}/part=*")
         rows = as_stream(to_rows(raw))
         counts = window_bounds(window_count(rows, [], tumble("date_time", size), "events"))
-        progress += finish(start_files(counts, out, checkpoint))
+        progress += finish(spark, lambda: start_files(counts, out, checkpoint))  # noqa: B023
     return zone_free(spark.read.schema(counts.schema).parquet(out)), progress
+
+
+def averages_in_runs(spark: SparkSession, parts: list[tuple[DataFrame | None, DataFrame | None]]) -> DataFrame:
+    """Streamed q4 over (auctions, bids) that arrive part by part, a restart between them."""
+    root = new_path(spark, "q4-runs")
+    prices = None
+    for part in parts:
+        for name, rows in zip(("auction", "bid"), part, strict=True):
+            # An empty part still makes a folder that the stream can read.
+            (spark.createDataFrame([], ENTITIES[name]) if rows is None else rows).write.mode("append").parquet(f"{root}/{name}")
+        streams = [parquet_files(spark, name, f"{root}/{name}", streaming=True) for name in ("auction", "bid")]
+        prices = closing.run(*streams, root=f"{root}/state")
+    return closing.current_average(prices)

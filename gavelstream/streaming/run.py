@@ -2,49 +2,76 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import new_path
 from ..sources.tables import zone_free
 
 BATCH = "batch_id"
-PARTITIONS, UNTOUCHED = "spark.sql.shuffle.partitions", "200"
 ADAPTIVE = "spark.sql.adaptive.enabled"
 
 
-@contextmanager
-def state_partitions(spark: SparkSession) -> Iterator[None]:
-    """Start a stream with one state partition per core, unless the session sets a number.
+class ProgressLog(StreamingQueryListener):
+    """The progress of every micro-batch of all queries that run meanwhile; a query itself keeps only the newest."""
 
-    A checkpoint keeps the number it was started with.
-    """
-    if spark.conf.get(PARTITIONS) != UNTOUCHED or spark.sparkContext.getConf().contains(PARTITIONS):
-        yield
-        return
-    spark.conf.set(PARTITIONS, str(spark.sparkContext.defaultParallelism))
+    def __init__(self) -> None:
+        self.rows: dict[str, list[dict]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows.setdefault(str(event.progress.runId), []).append(json.loads(event.progress.json))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, timeout: float = 60.0) -> list[dict]:
+        """The progress of a query that has ended; events come in order, its end last."""
+        until = time.monotonic() + timeout
+        while str(query.runId) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.rows.get(str(query.runId), [])
+
+
+@contextmanager
+def progress_log(spark: SparkSession) -> Iterator[ProgressLog]:
+    log = ProgressLog()
+    spark.streams.addListener(log)
     try:
-        yield
+        yield log
     finally:
-        spark.conf.set(PARTITIONS, UNTOUCHED)
+        spark.streams.removeListener(log)
 
 
-def finish(query: StreamingQuery) -> list[dict]:
-    """Wait until all available input is done; return the progress of every micro-batch."""
-    query.awaitTermination()
-    return list(query.recentProgress)
+def finish(spark: SparkSession, start: Callable[[], StreamingQuery]) -> list[dict]:
+    """Start a query, wait until all available input is done, return the progress of every micro-batch."""
+    with progress_log(spark) as log:
+        query = start()
+        query.awaitTermination()
+        return log.of(query)
 
 
 def start_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append to Parquet files, exactly once per checkpoint."""
-    with state_partitions(df.sparkSession):
-        return (df.writeStream.format("parquet").outputMode("append")
-                .option("path", out).option("checkpointLocation", checkpoint)
-                .trigger(availableNow=True).start())
+    """Append to Parquet files, exactly once per checkpoint.
+
+    State has as many partitions as ``spark.sql.shuffle.partitions`` says at the first start;
+    the checkpoint keeps that number.
+    """
+    return (df.writeStream.format("parquet").outputMode("append")
+            .option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 def to_files(df: DataFrame, name: str) -> DataFrame:
@@ -84,9 +111,8 @@ def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
             conf.set(ADAPTIVE, streaming)
             batch.unpersist()
 
-    with state_partitions(df.sparkSession):
-        return (df.writeStream.foreachBatch(held).outputMode(mode)
-                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (df.writeStream.foreachBatch(held).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def to_batches(df: DataFrame, transform: Callable[[DataFrame], DataFrame], schema: StructType,

@@ -122,3 +122,22 @@ def test_derivation_mix_and_bounds(spark):
     # Any share of the numbers gives the same rows, in whatever order.
     part = derive.bid(derive.numbers(spark, 1000, first=2000))
     assert rows(part) == [r for r in rows(b) if at(20) <= r[5] < at(30)]
+
+
+def test_unreadable_expires_is_a_reject(spark):
+    good = '{"id":1345.0,"item_name":"i","description":"d","initial_bid":1,"reserve":2,"date_time":1704067200000,' \
+           '"expires":1704067300000,"seller":1200.0,"category":10,"extra":"e"}'
+    bad = good.replace("1704067300000", '"junk"')
+    iso = good.replace("1704067200000", '"2024-01-01T00:00:00.000"').replace("1704067300000", '"junk"')
+    table = records.epoch_table(texts(spark, good), "auction").first()
+    assert (table["id"], table["seller"], table["expires"], table["event_time"]) == (1345, 1200, 1704067300000, at(0))
+    assert records.epoch_table(texts(spark, good, bad, "junk"), "auction", bad_data="drop").count() == 1
+    for broken in (bad, "junk"):
+        with pytest.raises(Exception, match="bad auction record"):
+            records.epoch_table(texts(spark, broken), "auction").collect()
+    assert [r["reject_reason"] for r in records.rejects(texts(spark, iso), "auction").collect()] == ["unreadable time"]
+    with pytest.raises(Exception, match="unreadable time"):
+        records.decode(texts(spark, iso), "auction").collect()
+    person = '{"id":1,"name":"n","email_address":"e","credit_card":"c","city":"x","state":"or","date_time":"2024-01-01T00:00:01.000","extra":""}'
+    assert records.decode(texts(spark, person), "person").first()["date_time"] == at(1)
+    assert records.rejects(texts(spark, person.replace("2024-01-01T", "soon ")), "person").count() == 1
