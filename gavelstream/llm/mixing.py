@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Staged, quoted, without
 
-TEMPER = 0.8
+TEMPER, LIFT = 0.8, 1.5
 ROUNDS = 12
 ROUNDS_AT_ONCE = 3
 DIGITS = 12  # hex digits of a row's place in the unit interval
@@ -34,10 +34,17 @@ def topic(text: Column, tokens: Column) -> Column:
 
 
 def tempered(cells: DataFrame, dimension: str, exponent: float) -> DataFrame:
-    """Shares of the levels of a dimension, evened out: in proportion to tokens to a power below one."""
+    """Shares of the levels of a dimension, evened out: in proportion to tokens to a power below one.
+
+    No level gets more than ``LIFT`` times its share, or a rare one would set the size of the sample.
+    """
     levels = cells.groupBy(dimension).agg(F.sum("tokens").alias("_n"))
-    whole = levels.agg(F.sum(F.pow(F.col("_n"), exponent)).alias("s")).first()["s"] or 1.0
-    return levels.select(dimension, (F.pow(F.col("_n"), exponent) / F.lit(float(whole))).alias("share"))
+    sums = levels.agg(F.sum(F.pow(F.col("_n"), exponent)).alias("powers"), F.sum("_n").alias("all")).first()
+    powers, whole = float(sums["powers"] or 1), float(sums["all"] or 1)
+    bounded = F.least(F.pow(F.col("_n"), exponent) / F.lit(powers), F.lit(LIFT) * F.col("_n") / F.lit(whole))
+    levels = levels.select(dimension, bounded.alias("share"))
+    held = float(levels.agg(F.sum("share").alias("s")).first()["s"] or 1)
+    return levels.select(dimension, (F.col("share") / F.lit(held)).alias("share"))
 
 
 def given(cells: DataFrame, dimension: str, shares: Mapping[str | None, float]) -> DataFrame:

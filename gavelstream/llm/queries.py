@@ -116,7 +116,9 @@ def _mixing_sql() -> str:
             ELSE 'prose' END AS topic FROM counted)""",
         "sums AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM kinds GROUP BY ALL HAVING sum(n_tokens) > 0)"]
     for n in names:
-        parts.append(f"level_{n} AS (SELECT {n}, pow(sum(tokens), {mixing.TEMPER}) AS p FROM sums GROUP BY {n})")
+        parts.append(f"power_{n} AS (SELECT {n}, sum(tokens) AS n, pow(sum(tokens), {mixing.TEMPER}) AS p FROM sums GROUP BY {n})")
+        parts.append(f"level_{n} AS (SELECT {n}, least(p / (SELECT sum(p) FROM power_{n}), {mixing.LIFT} * n / "
+                     f"(SELECT sum(n) FROM power_{n})) AS p FROM power_{n})")
         parts.append(f"to_{n} AS (SELECT {n}, p / (SELECT sum(p) FROM level_{n}) AS share FROM level_{n})")
     joins = " ".join(f"JOIN to_{n} ON s.{n} IS NOT DISTINCT FROM to_{n}.{n}" for n in names)
     shares = ", ".join(f"to_{n}.share AS share_{n}" for n in names)
