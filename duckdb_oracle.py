@@ -187,6 +187,32 @@ PAIRS = """SELECT o_orderkey, o_orderpriority, o_orderdate, l_shipdate, l_quanti
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 WHERE l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY"""
 
+SPREAD = f"""SELECT auction, {_tumble('date_time', '10 SECOND')} + INTERVAL 10 SECOND AS window_end,
+    max(price) - min(price) AS spread, count(*) AS bids FROM bid GROUP BY ALL"""
+TEN_HOURS = f"{_tumble('ts', '10 HOUR')} AS window_start, {_tumble('ts', '10 HOUR')} + INTERVAL 10 HOUR AS window_end"
+
+# Queries over the given events and orders.
+EVENTS = {
+    "events_hop_hot_users": f"""SELECT user_id, event_count, window_start, window_end
+        FROM {_hopped('events', 'user_id', 'ts', '2 HOUR', '10 HOUR', 5, 'event_count')}
+        QUALIFY rank() OVER (PARTITION BY window_start ORDER BY event_count DESC) = 1""",
+    "events_highest_value": f"""SELECT DISTINCT user_id, event_type, value, {TEN_HOURS}
+        FROM events QUALIFY rank() OVER (PARTITION BY {_tumble('ts', '10 HOUR')} ORDER BY value DESC) = 1""",
+    "events_purchases": """SELECT event_id, user_id, value * 0.89::DOUBLE AS value_euros, ts
+        FROM events WHERE event_type = 'purchase'""",
+    "segment_urgent_orders": """SELECT o_orderkey, o_orderdate, c_custkey, c_name, c_nationkey
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        WHERE o_orderpriority = '1-URGENT' AND c_mktsegment = 'BUILDING'""",
+    "events_single_highest": f"""SELECT event_id, user_id, event_type, value, {TEN_HOURS} FROM events
+        QUALIFY row_number() OVER (PARTITION BY {_tumble('ts', '10 HOUR')} ORDER BY value DESC, event_id) = 1""",
+    "events_last10_value": """SELECT user_id, avg(value) AS avg_value FROM (
+        SELECT user_id, floor(value)::BIGINT AS value FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10) GROUP BY user_id""",
+    "events_active_users": f"SELECT DISTINCT user_id, event_type, {TEN_HOURS} FROM events",
+    "events_value_spread": f"""SELECT user_id, {_tumble('ts', '10 HOUR')} + INTERVAL 10 HOUR AS window_end,
+        max(floor(value)::BIGINT) - min(floor(value)::BIGINT) AS spread, count(*) AS bids FROM events GROUP BY ALL""",
+}
+
 # Damaged bid records: the text that the price's last digits call for.
 DAMAGED = f"""damaged AS (
   SELECT CASE price % 20
@@ -319,8 +345,7 @@ def oracle() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY auction ORDER BY price DESC, date_time, bidder) <= 3""",
         "upsert_latest": _with(b) + """SELECT auction, date_time, bidder, price FROM bid
             QUALIFY row_number() OVER (PARTITION BY auction ORDER BY date_time DESC, bidder DESC, price DESC) = 1""",
-        "window_udaf": _with(b) + f"""SELECT auction, {_tumble('date_time', '10 SECOND')} + INTERVAL 10 SECOND AS window_end,
-            max(price) - min(price) AS spread, count(*) AS bids FROM bid GROUP BY ALL""",
+        "window_udaf": _with(b) + SPREAD,
         "udf_window_process": _with(b) + LEVELS,
         "json_encode": _with(b) + f"""SELECT json_object('auction', auction, 'bid_count', bid_count,
             'window_start', strftime(window_start, '{ISO}'), 'window_end', strftime(window_end, '{ISO}'))::varchar AS value
@@ -345,12 +370,6 @@ def oracle() -> dict[str, str]:
                    'op', CASE WHEN x.final IS NULL THEN 'c' ELSE 'u' END)::varchar AS value
             FROM closing y LEFT JOIN before_closing x USING (auction, category)
             WHERE x.final IS DISTINCT FROM y.final OR x.max_bid_time IS DISTINCT FROM y.max_bid_time""",
-        "events_hop_hot_users": f"""SELECT user_id, event_count, window_start, window_end
-            FROM {_hopped('events', 'user_id', 'ts', '2 HOUR', '10 HOUR', 5, 'event_count')}
-            QUALIFY rank() OVER (PARTITION BY window_start ORDER BY event_count DESC) = 1""",
-        "events_highest_value": f"""SELECT DISTINCT user_id, event_type, value,
-            {_tumble('ts', '10 HOUR')} AS window_start, {_tumble('ts', '10 HOUR')} + INTERVAL 10 HOUR AS window_end
-            FROM events QUALIFY rank() OVER (PARTITION BY {_tumble('ts', '10 HOUR')} ORDER BY value DESC) = 1""",
         "orders_interval_lineitem": f"""SELECT o_orderpriority, avg(largest) AS avg_largest, max(latest) AS max_shipdate
             FROM (SELECT o_orderkey, o_orderpriority, max(quantity) AS largest, max(l_shipdate) AS latest
                   FROM ({PAIRS}) GROUP BY ALL) GROUP BY o_orderpriority""",
@@ -367,6 +386,7 @@ def oracle() -> dict[str, str]:
                   WHERE o_orderpriority = '1-URGENT') u
             JOIN (SELECT DISTINCT o_custkey, {_tumble('o_orderdate', '10 DAY')} AS w FROM orders
                   WHERE o_orderpriority <> '1-URGENT') r USING (o_custkey, w)""",
+        **{name: sql for name, sql in EVENTS.items()},
         "topic_offsets": _with(SAMPLES) + "SELECT * FROM offsets",
         "topic_throughput": _with(SAMPLES) + "SELECT * FROM rates",
         "query_throughput": _with(SAMPLES) + "SELECT * FROM inputs",
@@ -393,6 +413,11 @@ def oracle() -> dict[str, str]:
         "stream_q4_closing_price": _with(a, b, CLOSING) + "SELECT * FROM closing",
         "stream_q4_category_avg": _with(a, b, CLOSING) + _average("closing"),
         "stream_q4_lagging_auctions": _with(a, b, CLOSING) + _average("closing"),
+        "stream_q4_changelog": _with(a, b, CLOSING) + _average("closing"),
+        "stream_window_udaf": _with(b) + _closed(SPREAD),
+        **{f"stream_{name}": EVENTS[name] for name in ("events_purchases", "segment_urgent_orders", "events_last10_value")},
+        **{f"stream_{name}": _closed(EVENTS[name], "(SELECT max(ts) FROM events)") for name in (
+            "events_hop_hot_users", "events_highest_value", "events_single_highest", "events_value_spread")},
         "stream_q5_bid_counts": _with(b) + _closed(counts),
         "stream_q5_hot_items": _with(b) + _closed(HOT),
         "stream_q6_last10_avg": _with(b) + Q6,

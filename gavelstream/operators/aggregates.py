@@ -40,20 +40,19 @@ class MergeableAggregate:
 HELD_STATES = 100_000
 
 
-def aggregate_with(df: DataFrame, keys: Sequence[str], function: MergeableAggregate) -> DataFrame:
-    """Apply a user-defined aggregate per key with map-side combining.
+def _key_ddl(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
 
-    A task folds its rows batch by batch into states and holds a bounded number of them,
-    so a key sends about one state per task through the shuffle. The states arrive sorted
-    by key and are folded as they come: no group is ever gathered whole.
-    """
-    keys = list(keys)
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    state_ddl = f"{key_ddl}, {function.state}"
 
-    def merged(states: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(states, ignore_index=True)
-        return function.merge(rows.groupby(keys, sort=False, dropna=False)).reset_index()
+def _merge(states: list[pd.DataFrame], keys: list[str], function: MergeableAggregate) -> pd.DataFrame:
+    rows = pd.concat(states, ignore_index=True)
+    return function.merge(rows.groupby(keys, sort=False, dropna=False)).reset_index()
+
+
+def partial_states(df: DataFrame, keys: Sequence[str], function: MergeableAggregate) -> DataFrame:
+    """Keys and states, about one per key and task: a task folds its rows batch by batch and holds a
+    bounded number of states."""
+    keys = list(keys)
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -64,32 +63,53 @@ def aggregate_with(df: DataFrame, keys: Sequence[str], function: MergeableAggreg
             held.append(function.add(batch.groupby(keys, sort=False, dropna=False)).reset_index())
             count += len(held[-1])
             if count > HELD_STATES:
-                held = [merged(held)]
+                held = [_merge(held, keys, function)]
                 count = len(held[0])
                 if count > HELD_STATES // 2:
                     yield held.pop()
                     count = 0
         if held:
-            yield merged(held)
+            yield _merge(held, keys, function)
+
+    return df.mapInPandas(combine, f"{_key_ddl(df, keys)}, {function.state}")
 
-    def result(states: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([states[keys], function.finish(states)], axis=1)
+
+def merged_states(states: DataFrame, keys: Sequence[str], function: MergeableAggregate) -> DataFrame:
+    """One state per key. States arrive sorted by key and are folded as they come: no group is gathered whole."""
+    keys = list(keys)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key: list[pd.DataFrame] = []
         for batch in batches:
             if batch.empty:
                 continue
-            states = merged([*open_key, batch])
+            states = _merge([*open_key, batch], keys, function)
             # The last key of a sorted batch may go on in the next one.
             open_key = [states.tail(1)]
             if len(states) > 1:
-                yield result(states.head(-1))
+                yield states.head(-1)
         if open_key:
-            yield result(open_key[0])
+            yield open_key[0]
 
-    by_key = df.mapInPandas(combine, state_ddl).repartition(*keys).sortWithinPartitions(*keys)
-    return by_key.mapInPandas(fold, f"{key_ddl}, {function.result}")
+    by_key = states.repartition(*keys).sortWithinPartitions(*keys)
+    return by_key.mapInPandas(fold, f"{_key_ddl(states, keys)}, {function.state}")
+
+
+def finished(states: DataFrame, keys: Sequence[str], function: MergeableAggregate) -> DataFrame:
+    """The result of each state."""
+    keys = list(keys)
+
+    def result(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield pd.concat([batch[keys], function.finish(batch)], axis=1)
+
+    return states.mapInPandas(result, f"{_key_ddl(states, keys)}, {function.result}")
+
+
+def aggregate_with(df: DataFrame, keys: Sequence[str], function: MergeableAggregate) -> DataFrame:
+    """Apply a user-defined aggregate per key: states per task, one shuffle of them, results."""
+    return finished(merged_states(partial_states(df, keys, function), keys, function), keys, function)
 
 
 def process_windows(aggregated: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],

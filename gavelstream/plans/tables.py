@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import between_join, window_join
 from ..operators.aggregates import two_level
-from ..operators.ranking import best_with_ties, top_k_per_group
+from ..operators.ranking import arg_max, best_with_ties, top_k_per_group
 from ..operators.windows import distinct_per_window, hop, tumble, window_bounds, window_count
 from ..session import spread
 
@@ -70,3 +70,41 @@ def urgent_and_other(orders: DataFrame) -> DataFrame:
     joined = window_join(customers(orders.where(urgent), "custkey"),
                          customers(orders.where(~urgent), "_other"), {"custkey": "_other"})
     return window_bounds(joined.drop("_other"))
+
+
+def purchases(events: DataFrame, rate: float = 0.89) -> DataFrame:
+    """Purchases with their value at another rate: a filter and a projection."""
+    return events.where(F.col("event_type") == "purchase").select(
+        "event_id", "user_id", (F.col("value") * F.lit(rate)).alias("value_euros"), "ts")
+
+
+def orders_of_segment(orders: DataFrame, customers: DataFrame, segment: str = "BUILDING") -> DataFrame:
+    """Urgent orders of one market segment's customers; a customer key occurs once, so the result is linear."""
+    some = customers.where(F.col("c_mktsegment") == segment).select("c_custkey", "c_name", "c_nationkey")
+    urgent = orders.where(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_custkey", "o_orderdate")
+    return urgent.join(some, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+
+
+def highest_event(events: DataFrame) -> DataFrame:
+    """One event of the highest value of each 10-hour window, of equal ones that of the smallest id."""
+    return arg_max(events, [tumble("ts", "10 hours")], ["event_id", "user_id", "event_type", "value"],
+                   [F.col("value"), -F.col("event_id")])
+
+
+def whole_values(events: DataFrame) -> DataFrame:
+    return events.select("user_id", "event_id", F.floor("value").cast("bigint").alias("value"), "ts")
+
+
+def newest_first() -> list:
+    return [F.desc("ts"), F.desc("event_id")]
+
+
+def last_values(events: DataFrame, last: int = 10) -> DataFrame:
+    """Average whole value of each user's last events."""
+    recent = top_k_per_group(whole_values(events), ["user_id"], newest_first(), last)
+    return recent.groupBy("user_id").agg(F.avg("value").alias("avg_value"))
+
+
+def active_users(events: DataFrame) -> DataFrame:
+    """Distinct users and kinds of event of each 10-hour window."""
+    return window_bounds(distinct_per_window(events, ["user_id", "event_type"], tumble("ts", "10 hours")))

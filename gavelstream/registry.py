@@ -20,9 +20,10 @@ from .schemas import AUCTION, BID, PERSON
 from .schemas import TABLES as SCHEMAS
 from .sinks import json_records, keyed_records
 from .sources import derive, records, routing
-from .sources.tables import as_stream, from_time, table_stream
+from .sources.tables import LATENESS, as_stream, from_time, table_stream
 from .streaming import auctions as live
 from .streaming import closing, delivery
+from .streaming import tables as live_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,10 @@ class Tables:
     def lineitem(self) -> DataFrame:
         return self._read("lineitem")
 
+    @property
+    def customer(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
+
     @property
     def numbered(self) -> DataFrame:
         return derive.from_events(self.events)
@@ -132,6 +137,12 @@ def price_spread(t: Tables) -> DataFrame:
     return aggregate_with(flat, ["auction", "window_end"], PriceSpread())
 
 
+def value_spread(t: Tables) -> DataFrame:
+    """The same aggregate over the whole values of a user's events."""
+    valued = tables.whole_values(t.events).select("user_id", F.col("value").alias("price"), tumble("ts", "10 hours"))
+    return aggregate_with(window_bounds(valued).select("user_id", "window_end", "price"), ["user_id", "window_end"], PriceSpread())
+
+
 def window_levels(t: Tables) -> DataFrame:
     return process_windows(window_bounds(plan.bid_counts(t.bid)), live.busy_levels, live.SHARE_SCHEMA)
 
@@ -250,6 +261,12 @@ BATCH: dict[str, Query] = {
     "customer_last10_orders": batch(lambda t: tables.last_orders(t.orders)),
     "hot_parts_hop": batch(lambda t: tables.hot_parts(t.lineitem)),
     "customer_order_window_join": batch(lambda t: tables.urgent_and_other(t.orders)),
+    "events_purchases": batch(lambda t: tables.purchases(t.events)),
+    "segment_urgent_orders": batch(lambda t: tables.orders_of_segment(t.orders, t.customer)),
+    "events_single_highest": batch(lambda t: window_bounds(tables.highest_event(t.events))),
+    "events_last10_value": batch(lambda t: tables.last_values(t.events)),
+    "events_active_users": batch(lambda t: tables.active_users(t.events)),
+    "events_value_spread": batch(value_spread),
     # measurement
     "topic_offsets": batch(lambda t: progress.topic_offsets(samples.samples(t.events))),
     "topic_throughput": batch(lambda t: samples.throughput(samples.samples(t.events))),
@@ -310,22 +327,63 @@ def lagging_auctions(t: Tables) -> DataFrame:
         (None, derive.bid(early)), (derive.auction(early), derive.bid(late)), (derive.auction(late), None)])
 
 
+PARTS = 4
+
+
+def in_order(df: DataFrame, column: str, parts: int = PARTS) -> list[DataFrame]:
+    """The rows in ranges of a column, nulls in the first: as they would arrive one after another."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return [df]
+    kind, value = df.schema[column].dataType, F.col(column)
+    cuts = [F.lit(low + (high - low) * i / parts).cast(kind) for i in range(1, parts)]
+    below = [(value < cut) | value.isNull() for cut in cuts[:1]] + [value < cut for cut in cuts[1:]] + [value >= cuts[-1]]
+    return [df.where(below[i] if i in (0, parts - 1) else below[i] & (value >= cuts[i - 1])) for i in range(parts)]
+
+
+def arriving(run: Callable[..., DataFrame], *entities: str) -> Query:
+    """A streamed query over entities that come in four parts, restarted from its checkpoint for each."""
+    def query(t: Tables) -> DataFrame:
+        parts = [{e: derive.DERIVATIONS[e](part) for e in entities} for part in in_order(t.numbered, "n")]
+        return delivery.in_parts(t.spark, parts, dict.fromkeys(entities, "date_time"),
+                                 lambda streams, root: run(*[streams[e] for e in entities], root=root), LATENESS)
+
+    return batch(query)
+
+
+def events_arriving(run: Callable[..., DataFrame]) -> Query:
+    """The same over the given events."""
+    return batch(lambda t: delivery.in_parts(
+        t.spark, [{"events": part} for part in in_order(t.events, "ts")], {"events": "ts"},
+        lambda streams, root: run(streams["events"], root=root), LATENESS))
+
+
+def orders_arriving(t: Tables) -> DataFrame:
+    return delivery.in_parts(
+        t.spark, [{"orders": part} for part in in_order(t.orders, "o_orderdate")], {"orders": "o_orderdate"},
+        lambda streams, root: live_tables.orders_of_segment(streams["orders"], t.customer, root), LATENESS)
+
+
+def spread_stream(bids: DataFrame, root: str) -> DataFrame:
+    return live.window_aggregate(bids, "auction bigint", PriceSpread(), plan.SIZE, root).drop("window_start")
+
+
 STREAMS: dict[str, Query] = {
     "stream_source_epoch_ms": batch(epoch_stream),
     "stream_q1_currency_conversion": batch(lambda t: live.currency_conversion(t.stream("bid"))),
     "stream_q2_selection": batch(lambda t: live.selection(t.stream("bid"))),
-    "stream_q3_local_item_suggestion": batch(
-        lambda t: live.local_item_suggestion(t.stream("person"), t.stream("auction"))),
+    "stream_q3_local_item_suggestion": arriving(live.local_item_suggestion, "person", "auction"),
     "stream_q4_bid_in_auction": batch(lambda t: closing.bid_in_auction(t.stream("auction"), t.stream("bid"))),
     "stream_q4_closing_price": batch(lambda t: closing.closing_price(t.stream("auction"), t.stream("bid"))),
     "stream_q4_category_avg": batch(lambda t: closing.category_average(t.stream("auction"), t.stream("bid"))),
     "stream_q4_lagging_auctions": batch(lagging_auctions),
+    "stream_q4_changelog": arriving(closing.category_changelog, "auction", "bid"),
     "stream_q5_bid_counts": batch(lambda t: live.bid_counts(t.stream("bid"))),
-    "stream_q5_hot_items": batch(lambda t: live.hot_items(t.stream("bid"))),
-    "stream_q6_last10_avg": batch(lambda t: live.last_bids_average(t.stream("bid"))),
-    "stream_q7_highest_bid": batch(lambda t: live.highest_bid(t.stream("bid"))),
+    "stream_q5_hot_items": arriving(live.hot_items, "bid"),
+    "stream_q6_last10_avg": arriving(live.last_bids_average, "bid"),
+    "stream_q7_highest_bid": arriving(live.highest_bid, "bid"),
     "stream_q7_single_highest": batch(lambda t: live.single_highest_bid(t.stream("bid"))),
-    "stream_q8_new_sellers": batch(lambda t: live.new_sellers(t.stream("person"), t.stream("auction"))),
+    "stream_q8_new_sellers": arriving(live.new_sellers, "person", "auction"),
     "stream_q8_one_name": batch(lambda t: live.new_sellers_one_name(t.stream("person"), t.stream("auction"))),
     "stream_interval_join": batch(
         lambda t: live.auctions_after_registration(t.stream("person"), t.stream("auction"))),
@@ -333,7 +391,16 @@ STREAMS: dict[str, Query] = {
     "stream_distinct_per_window": batch(lambda t: live.distinct_bids(t.stream("bid"))),
     "stream_tumble_count": batch(lambda t: live.tumble_count(t.stream("bid"))),
     "stream_udf_window_process": batch(lambda t: live.window_levels(t.stream("bid"))),
-    "stream_upsert_latest": batch(lambda t: live.latest_bid_totals(t.stream("bid"))),
+    "stream_upsert_latest": arriving(live.latest_bid_totals, "bid"),
+    "stream_window_udaf": arriving(spread_stream, "bid"),
+    "stream_events_purchases": events_arriving(live_tables.purchases),
+    "stream_segment_urgent_orders": batch(orders_arriving),
+    "stream_events_hop_hot_users": events_arriving(live_tables.hot_users),
+    "stream_events_highest_value": events_arriving(live_tables.highest_value),
+    "stream_events_single_highest": events_arriving(live_tables.single_highest),
+    "stream_events_last10_value": events_arriving(live_tables.last_values),
+    "stream_events_value_spread": events_arriving(
+        lambda events, root: live_tables.value_spread(events, PriceSpread(), root)),
     "stream_late_data": batch(in_runs(late_rows)),
     "stream_restart": batch(in_runs(halves)),
 }

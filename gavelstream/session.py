@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side must hold no more rows than this; its rows are a few longs wide.
-BROADCAST_ROWS = 2_000_000
+# A broadcast side must hold no more rows and no more bytes than this, as counted while it is written.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64_000_000
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,12 +52,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Write to the shared folder; return what was written and its row count."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library wrote below the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: text by its length, nested columns by their JSON, 8 for any other."""
+    total = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("array", "map", "struct"):
+            column = F.octet_length(F.to_json(F.struct(column)))
+        else:
+            column = F.octet_length(column) if kind in ("string", "binary") else F.lit(0)
+        total = total + F.coalesce(column, F.lit(0)) + 8
+    return total
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """Write to the shared folder; return what was written, its row count and about its bytes."""
     spark = df.sparkSession
     path, seen = new_path(spark, name), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get.get("rows", 0)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes"))
+    counted.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get.get("rows") or 0, seen.get.get("bytes") or 0
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -69,13 +89,13 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a join side once and broadcast it only if its counted rows allow.
+    """Compute a join side once and broadcast it only if its counted rows and bytes allow.
 
     Above the bound the caller's join stays a shuffled one, which the adaptive
     planner splits where a key is skewed.
     """
-    side, rows = _write(df, "side")
-    return F.broadcast(side) if rows <= max_rows else side
+    side, rows, size = _write(df, "side")
+    return F.broadcast(side) if rows <= max_rows and size <= BROADCAST_BYTES else side
 
 
 def spread(df: DataFrame) -> DataFrame:

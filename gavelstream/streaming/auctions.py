@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..operators.aggregates import process_windows
-from ..operators.changes import upsert_latest
+from ..operators.aggregates import MergeableAggregate, finished, merged_states, partial_states, process_windows
 from ..operators.joins import interval_join
-from ..operators.ranking import arg_max, best_with_ties
+from ..operators.ranking import arg_max, best_with_ties, top_k_per_group
 from ..operators.windows import WINDOW, distinct_per_window, tumble, window_bounds, window_count
 from ..plans import auctions as plan
-from .run import BATCH, to_batches, to_files
+from ..session import new_path
+from ..sources.tables import zone_free
+from .carried import VERSION, ClosingWindows, Folded, upserts
+from .run import BATCH, start_batches, to_batches, to_files
 
 
 def currency_conversion(bids: DataFrame) -> DataFrame:
@@ -41,8 +40,9 @@ def local_item_suggestion_stream(persons: DataFrame, auctions: DataFrame,
     return joined.select("name", "city", "state", "id", "date_time")
 
 
-def local_item_suggestion(persons: DataFrame, auctions: DataFrame, state_ttl: str | None = None) -> DataFrame:
-    return to_files(local_item_suggestion_stream(persons, auctions, state_ttl), "q3")
+def local_item_suggestion(persons: DataFrame, auctions: DataFrame, state_ttl: str | None = None,
+                          root: str | None = None) -> DataFrame:
+    return to_files(local_item_suggestion_stream(persons, auctions, state_ttl), "q3", root)
 
 
 def bid_counts(bids: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def _bounded(schema: StructType) -> StructType:
     return StructType(fields).add("window_start", bounds["start"]).add("window_end", bounds["end"])
 
 
-def best_of_closed_windows(windowed: DataFrame, measure: str, name: str) -> DataFrame:
+def best_of_closed_windows(windowed: DataFrame, measure: str, name: str, root: str | None = None) -> DataFrame:
     """Rows with the largest measure of each window, ties kept.
 
     In append mode all rows of a window leave the aggregation in the micro-batch that
@@ -65,18 +65,57 @@ def best_of_closed_windows(windowed: DataFrame, measure: str, name: str) -> Data
     def best(batch: DataFrame) -> DataFrame:
         return window_bounds(best_with_ties(batch, [WINDOW], measure, from_scan=True))
 
-    return to_batches(windowed, best, _bounded(windowed.schema), name).drop(BATCH)
+    return to_batches(windowed, best, _bounded(windowed.schema), name, root=root).drop(BATCH)
 
 
-def hot_items(bids: DataFrame) -> DataFrame:
+def hot_items(bids: DataFrame, root: str | None = None) -> DataFrame:
     """q5 as a stream."""
-    return best_of_closed_windows(plan.bid_counts(bids), "bid_count", "q5")
+    return best_of_closed_windows(plan.bid_counts(bids), "bid_count", "q5", root)
+
+
+def best_per_window(rows: DataFrame, columns: str, measure: str, size: str, time: str = "date_time",
+                    root: str | None = None, lateness: str = "5 seconds") -> DataFrame:
+    """Distinct rows with the largest measure of each tumbling window, ties kept, emitted when it closes.
+
+    ``columns`` are the DDL of the rows wanted. State is the best rows so far of the open windows.
+    """
+    spark = rows.sparkSession
+    root = root or new_path(spark, "best")
+    schema = f"{columns}, window_start timestamp, window_end timestamp"
+    names = spark.createDataFrame([], schema).columns
 
+    def best(some: DataFrame) -> DataFrame:
+        return best_with_ties(some.select(*names), ["window_start", "window_end"], measure, from_scan=True).distinct()
 
-def highest_bid(bids: DataFrame) -> DataFrame:
-    """q7 as a stream: equal bids of a window merge in the aggregation."""
-    distinct = window_count(bids, ["auction", "bidder", "price"], tumble("date_time", plan.SIZE), "_copies")
-    return best_of_closed_windows(distinct, "price", "q7").drop("_copies")
+    states = ClosingWindows(spark, f"{root}/state", schema, schema, best, best, lambda done: done, time, lateness)
+    windowed = window_bounds(rows.select("*", tumble(time, size)))
+    start_batches(windowed, states.step, f"{root}/checkpoint").awaitTermination()
+    return zone_free(states.emitted())
+
+
+def highest_bid(bids: DataFrame, root: str | None = None) -> DataFrame:
+    """q7 as a stream."""
+    return best_per_window(bids.select("auction", "bidder", "price", "date_time"),
+                           "auction bigint, bidder bigint, price bigint", "price", plan.SIZE, root=root)
+
+
+def window_aggregate(rows: DataFrame, keys: str, function: MergeableAggregate, size: str, root: str | None = None) -> DataFrame:
+    """A user aggregate per key and tumbling window as a stream, emitted when the window closes.
+
+    ``keys`` are the DDL of the key columns. Rows become states in their micro-batch; states of
+    open windows are carried and merged, one per key and window.
+    """
+    spark = rows.sparkSession
+    root = root or new_path(spark, "udaf")
+    ddl = f"{keys}, window_start timestamp, window_end timestamp"
+    by = spark.createDataFrame([], ddl).columns
+    states = ClosingWindows(
+        spark, f"{root}/state", f"{ddl}, {function.state}", f"{ddl}, {function.result}",
+        lambda some: partial_states(some, by, function), lambda some: merged_states(some, by, function),
+        lambda done: finished(done, by, function))
+    windowed = window_bounds(rows.select("*", tumble("date_time", size)))
+    start_batches(windowed, states.step, f"{root}/checkpoint").awaitTermination()
+    return zone_free(states.emitted())
 
 
 def single_highest_bid(bids: DataFrame) -> DataFrame:
@@ -108,12 +147,12 @@ def _grouped_sellers(auctions: DataFrame) -> DataFrame:
     return window_count(renamed, ["seller_id"], tumble("date_time", plan.SIZE), "_rows").drop("_rows")
 
 
-def new_sellers(persons: DataFrame, auctions: DataFrame) -> DataFrame:
+def new_sellers(persons: DataFrame, auctions: DataFrame, root: str | None = None) -> DataFrame:
     """q8 as a stream: two windowed aggregations joined on key and window."""
     right = _grouped_sellers(auctions).withColumnRenamed(WINDOW, "_seller_window")
     joined = _grouped_persons(persons).join(
         right, (F.col("person_id") == F.col("seller_id")) & (F.col(WINDOW) == F.col("_seller_window")))
-    return to_files(window_bounds(joined.drop("_seller_window")), "q8")
+    return to_files(window_bounds(joined.drop("_seller_window")), "q8", root)
 
 
 def new_sellers_one_name(persons: DataFrame, auctions: DataFrame) -> DataFrame:
@@ -132,55 +171,55 @@ def auctions_after_registration(persons: DataFrame, auctions: DataFrame) -> Data
     return to_files(joined.select("person_id", "name", "auction", "registered", "opened"), "interval-join")
 
 
-# --- last bids per bidder: keyed state of a few rows ---
+# --- last bids per bidder, and latest rows per key: carried tables that fold ---
 
-_BID_COLUMNS = ["bidder", "time", "auction", "price"]
+def last_rows_average(rows: DataFrame, key: str, order: list, value: str, columns: str, last: int,
+                      root: str | None = None) -> DataFrame:
+    """Average ``value`` of each key's ``last`` rows, kept current by upserts.
 
+    A micro-batch is cut to ``last`` rows per key before the shuffle; these, and those carried for
+    the same keys, give the new average. ``columns`` are the DDL of the rows carried.
+    """
+    spark = rows.sparkSession
+    root = root or new_path(spark, "last-rows")
 
-def _newest(bids: pd.DataFrame, last: int) -> pd.DataFrame:
-    ordered = bids.sort_values(["time", "auction", "price"], ascending=[False, True, True])
-    return ordered.groupby("bidder", sort=False).head(last)
+    def newest(some: DataFrame) -> DataFrame:
+        return top_k_per_group(some, [key], order, last)
 
+    carried = Folded(spark, f"{root}/rows", columns, [key], newest)
+    names = carried._empty().columns
+    kind = carried._empty().schema[key].dataType.simpleString()
+    averages = upserts(spark, f"{root}/averages", f"{key} {kind}, avg_{value} double", [key])
 
-def last_bids_average_stream(bids: DataFrame, last: int = plan.LAST_BIDS) -> DataFrame:
-    """q6 as an updating stream of (bidder, avg_price).
+    def step(batch: DataFrame, batch_id: int) -> None:
+        own = carried.add(newest(batch.select(*names)), batch_id)
+        now = carried.read(batch_id, only=own.select(key).distinct())
+        averages.add(now.groupBy(key).agg(F.avg(value).alias(f"avg_{value}")).withColumn(VERSION, F.lit(batch_id).cast("bigint")),
+                     batch_id)
 
-    Each task first keeps only the newest bids of a bidder per Arrow batch, so a hot
-    bidder sends a few rows per batch through the shuffle; the state is ``last`` rows.
-    """
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield _newest(batch, last)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(columns=_BID_COLUMNS).astype("int64")
-        if state.exists:
-            times, auctions, prices = state.get
-            held = pd.DataFrame({"bidder": key[0], "time": times, "auction": auctions, "price": prices})
-        for batch in batches:
-            held = _newest(pd.concat([held, batch[_BID_COLUMNS]], ignore_index=True), last)
-        state.update((held["time"].tolist(), held["auction"].tolist(), held["price"].tolist()))
-        yield pd.DataFrame({"bidder": [key[0]], "avg_price": [held["price"].sum() / len(held)]})
-
-    rows = bids.select("bidder", F.unix_micros("date_time").alias("time"), "auction", "price")
-    thinned = rows.mapInPandas(thin, "bidder bigint, time bigint, auction bigint, price bigint")
-    return thinned.groupBy("bidder").applyInPandasWithState(
-        update, "bidder bigint, avg_price double",
-        "times array<bigint>, auctions array<bigint>, prices array<bigint>",
-        "update", GroupStateTimeout.NoTimeout)
-
-
-def last_bids_average(bids: DataFrame) -> DataFrame:
-    updates = last_bids_average_stream(bids)
-    written = to_batches(updates, lambda batch: batch, updates.schema, "q6", "update")
-    return upsert_latest(written, ["bidder"], [BATCH]).drop(BATCH)
-
-
-def latest_bid_totals(bids: DataFrame) -> DataFrame:
+    start_batches(rows, step, f"{root}/checkpoint").awaitTermination()
+    return averages.read(averages.last()).drop(VERSION)
+
+
+def last_bids_average(bids: DataFrame, last: int = plan.LAST_BIDS, root: str | None = None) -> DataFrame:
+    """q6 as an updating stream of (bidder, avg_price)."""
+    order = [F.desc("date_time"), F.asc("auction"), F.asc("price")]
+    return last_rows_average(bids, "bidder", order, "price",
+                             "bidder bigint, date_time timestamp, auction bigint, price bigint", last, root)
+
+
+def latest_bid_totals(bids: DataFrame, root: str | None = None) -> DataFrame:
     """Bids and highest price per auction, kept current by upserts."""
+    spark = bids.sparkSession
+    root = root or new_path(spark, "upserts")
     totals = bids.groupBy("auction").agg(F.count("*").alias("bids"), F.max("price").alias("highest"))
-    written = to_batches(totals, lambda batch: batch, totals.schema, "upserts", "update")
-    return upsert_latest(written, ["auction"], [BATCH]).drop(BATCH)
+    latest = upserts(spark, f"{root}/latest", "auction bigint, bids bigint, highest bigint", ["auction"])
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        latest.add(batch.withColumn(VERSION, F.lit(batch_id).cast("bigint")), batch_id)
+
+    start_batches(totals, step, f"{root}/checkpoint", "update").awaitTermination()
+    return latest.read(latest.last()).drop(VERSION)
 
 
 # --- a user function over closed windows ---

@@ -9,7 +9,8 @@ Every micro-batch is a batch job over its own rows and a small carried state:
 - ``pending``: bids newer than the watermark, since their auction may still arrive;
 - ``dropped``: how many bids came behind the watermark, and how many waited out the retention;
 - ``closing``: highest prices, written per micro-batch and folded now and then;
-- ``average`` and ``changes``: the result and its change rows;
+- ``sums`` and ``average``: per category, moved on by what the micro-batch changed;
+- ``changes`` and ``records``: the change rows, and the same as JSON text;
 - ``released``, on request: the matched bids that the watermark has passed.
 
 All of it is written under the micro-batch number, so a repeated micro-batch writes the
@@ -21,14 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changes import changelog, upsert_latest
+from ..operators.changes import changelog, changelog_records, upsert_latest
 from ..operators.joins import inside_intervals, merged_intervals
 from ..plans import auctions as plan
-from ..session import new_path
+from ..session import new_path, remove
 from ..sources.tables import LATENESS, zone_free
+from .carried import Folded
 from .run import batch_path, read_batches, start_batches
 
-FOLD_EVERY = 16
 RETENTION = "1 day"  # how long bids wait for an auction
 
 PIECES = "id bigint, category bigint, date_time timestamp, expires timestamp"
@@ -37,6 +38,7 @@ CLOSINGS = "auction bigint, category bigint, final bigint, max_bid_time timestam
 AVERAGES = "category bigint, avg_price double, max_date_time timestamp"
 MARKS = "newest_bid timestamp, newest_auction timestamp"
 DROPPED = "late_bids bigint, expired_bids bigint"
+SUMS = "category bigint, total bigint, n bigint, max_date_time timestamp"
 RELEASED = "auction bigint, price bigint, date_time timestamp, category bigint"
 CHANGES = f"before struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, " \
           f"after struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, op string"
@@ -52,8 +54,8 @@ def mixed(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     return opened.unionByName(made)
 
 
-TABLES = {"live": PIECES, "pending": BIDS, "closing": CLOSINGS, "average": AVERAGES, "changes": CHANGES,
-          "released": RELEASED, "marks": MARKS, "dropped": DROPPED}
+TABLES = {"live": PIECES, "pending": BIDS, "sums": SUMS, "average": AVERAGES, "changes": CHANGES,
+          "records": "value string", "released": RELEASED, "marks": MARKS, "dropped": DROPPED}
 
 
 class ClosingPrices:
@@ -63,8 +65,9 @@ class ClosingPrices:
                  retention: str = RETENTION):
         self.spark, self.root, self.release = spark, root, release
         self.behind, self.retention = F.expr(f"INTERVAL {lateness}"), F.expr(f"INTERVAL {retention}")
-        for table in ("average", "changes", "released", "dropped"):
+        for table in ("average", "changes", "records", "released", "dropped"):
             self._empty(table).write.mode("ignore").parquet(self._path(table, -1))
+        self.closing = Folded(spark, f"{root}/closing", CLOSINGS, ["auction", "category"], _highest)
 
     def _empty(self, table: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[table])
@@ -82,13 +85,19 @@ class ClosingPrices:
     def _outdated(self, table: str, batch_id: int) -> None:
         """Remove a carried table that no repeated micro-batch can read any more."""
         if batch_id >= 0:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, batch_id))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self._path(table, batch_id))
 
-    def closings(self, batch_id: int) -> DataFrame:
-        """A batch number divisible by ``FOLD_EVERY`` holds everything before it too."""
-        first = batch_id - batch_id % FOLD_EVERY
-        return _highest(self._read("closing", *range(first, batch_id + 1)))
+    def _moved_sums(self, matched: DataFrame, batch_id: int) -> DataFrame:
+        """Sums per category after this micro-batch, from those before and the closing prices it changed."""
+        before = self.closing.read(batch_id - 1, only=(own := self.closing.add(plan.closing_price(matched), batch_id)))
+        now = _highest(own.unionByName(before))
+
+        def parts(closings: DataFrame, sign: int) -> DataFrame:
+            return closings.select("category", (sign * F.col("final")).alias("total"), F.lit(sign).cast("bigint").alias("n"),
+                                   F.col("max_bid_time").alias("max_date_time"))
+
+        moved = self._read("sums", batch_id - 1).unionByName(parts(now, 1)).unionByName(parts(before, -1))
+        return moved.groupBy("category").agg(*[F.sum(c).alias(c) for c in ("total", "n")], F.max("max_date_time").alias("max_date_time"))
 
     def _watermark(self, marks: DataFrame):
         """Up to where bids are done, and up to where both inputs have come."""
@@ -127,21 +136,20 @@ class ClosingPrices:
         if self.release:
             matched = matched.persist()
             self._write(matched.where(passed), "released", batch_id)
-        highest = plan.closing_price(matched)
-        if batch_id % FOLD_EVERY == 0:
-            highest = _highest(highest.unionByName(self.closings(batch_id - 1)))
-        self._write(highest, "closing", batch_id)
+        self._write(self._moved_sums(matched, batch_id), "sums", batch_id)
         if self.release:
             matched.unpersist()
 
         self._write(bids.where(~passed), "pending", batch_id)
         still = F.lit(True) if watermark is None else F.col("expires") >= F.lit(watermark)
         self._write(pieces.where(still), "live", batch_id)
-        self._write(plan.category_average(self.closings(batch_id)), "average", batch_id)
+        averages = self._read("sums", batch_id).select("category", (F.col("total") / F.col("n")).alias("avg_price"), "max_date_time")
+        self._write(averages, "average", batch_id)
         changes = changelog(self._read("average", batch_id - 1), self._read("average", batch_id), ["category"])
         self._write(changes, "changes", batch_id)
+        self._write(changelog_records(self._read("changes", batch_id)), "records", batch_id)
         # Micro-batch b reads what b - 1 carried, and starts only after b - 1 is committed.
-        for table in ("live", "pending", "marks"):
+        for table in ("live", "pending", "marks", "sums", "average"):
             self._outdated(table, batch_id - 2)
 
     def all_batches(self, table: str) -> DataFrame:
@@ -173,7 +181,7 @@ def bid_in_auction(auctions: DataFrame, bids: DataFrame) -> DataFrame:
 
 def closing_price(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     prices = run(auctions, bids)
-    return zone_free(prices.closings(prices.last_batch()))
+    return zone_free(prices.closing.read(prices.closing.last()))
 
 
 def current_average(prices: ClosingPrices) -> DataFrame:
@@ -185,5 +193,18 @@ def current_average(prices: ClosingPrices) -> DataFrame:
     return zone_free(latest.where(F.col("after").isNotNull()).select("after.*"))
 
 
-def category_average(auctions: DataFrame, bids: DataFrame) -> DataFrame:
-    return current_average(run(auctions, bids))
+def replayed_average(prices: ClosingPrices) -> DataFrame:
+    """The current average per category, read off the JSON change records alone."""
+    change = F.from_json("value", CHANGES).alias("c")
+    rows = prices.all_batches("records").select("batch_id", change).select("batch_id", "c.*")
+    latest = upsert_latest(rows.select(F.coalesce("after.category", "before.category").alias("category"), "batch_id", "after"),
+                           ["category"], ["batch_id"])
+    return zone_free(latest.where(F.col("after").isNotNull()).select("after.*"))
+
+
+def category_average(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:
+    return current_average(run(auctions, bids, root))
+
+
+def category_changelog(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:
+    return replayed_average(run(auctions, bids, root))

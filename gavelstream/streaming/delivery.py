@@ -1,4 +1,4 @@
-"""Late rows and restarts: the same windowed count fed in two runs on one checkpoint."""
+"""Late rows, lagging inputs and restarts: input that arrives in parts, one run on the same checkpoint for each."""
 
 from __future__ import annotations
 
@@ -44,3 +44,21 @@ def averages_in_runs(spark: SparkSession, parts: list[tuple[DataFrame | None, Da
         streams = [parquet_files(spark, name, f"{root}/{name}", streaming=True) for name in ("auction", "bid")]
         prices = closing.run(*streams, root=f"{root}/state")
     return closing.current_average(prices)
+
+
+def in_parts(spark: SparkSession, parts: list[dict[str, DataFrame]], times: dict[str, str],
+             run: Callable[[dict[str, DataFrame], str], DataFrame], lateness: str) -> DataFrame:
+    """Run a query over inputs that arrive part by part, a restart from its checkpoint between them.
+
+    ``parts`` are named inputs, ``times`` their event-time columns. ``run`` gets the streams and the
+    folder it keeps its state in; what it returns after the last part is the result.
+    """
+    root = new_path(spark, "parts")
+    result = None
+    for part in parts:
+        for name, rows in part.items():
+            rows.write.mode("append").parquet(f"{root}/in/{name}")
+        streams = {name: as_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in/{name}"), times[name], lateness)
+                   for name, rows in part.items()}
+        result = run(streams, f"{root}/run")
+    return result

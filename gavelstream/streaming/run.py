@@ -74,11 +74,15 @@ def start_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             .trigger(availableNow=True).start())
 
 
-def to_files(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all input there is and return what it appended."""
+def to_files(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Run a stream over all input there is and return what it appended.
+
+    With ``root``, a folder of the shared kind, a further run goes on from there.
+    """
     spark = df.sparkSession
-    out = new_path(spark, name)
-    start_files(df, out, new_path(spark, f"{name}-checkpoint")).awaitTermination()
+    root = root or new_path(spark, name)
+    out = f"{root}/out"
+    start_files(df, out, f"{root}/checkpoint").awaitTermination()
     return zone_free(spark.read.schema(df.schema).parquet(out))
 
 
@@ -116,21 +120,21 @@ def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
 
 
 def to_batches(df: DataFrame, transform: Callable[[DataFrame], DataFrame], schema: StructType,
-               name: str, mode: str = "append") -> DataFrame:
+               name: str, mode: str = "append", root: str | None = None) -> DataFrame:
     """Write a batch transformation of every micro-batch under its number.
 
     A repeated micro-batch overwrites its own folder, so a restart adds nothing twice.
     """
     spark = df.sparkSession
-    root = new_path(spark, name)
+    root = root or new_path(spark, name)
     # An empty folder keeps the result readable when no micro-batch ran.
-    spark.createDataFrame([], schema).write.parquet(batch_path(root, -1))
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(batch_path(f"{root}/out", -1))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(batch_path(root, batch_id))
+        transform(batch).write.mode("overwrite").parquet(batch_path(f"{root}/out", batch_id))
 
-    start_batches(df, each, new_path(spark, f"{name}-checkpoint"), mode).awaitTermination()
-    return zone_free(read_batches(spark, root, schema))
+    start_batches(df, each, f"{root}/checkpoint", mode).awaitTermination()
+    return zone_free(read_batches(spark, f"{root}/out", schema))
 
 
 def dropped_as_late(progress: list[dict]) -> int:

@@ -12,7 +12,7 @@ from gavelstream.sinks import discard, stream_json
 from gavelstream.sources import derive
 from gavelstream.sources.tables import as_stream, parquet_files, register, zone_free
 from gavelstream.streaming import auctions as live
-from gavelstream.streaming import closing, delivery
+from gavelstream.streaming import carried, closing, delivery
 from gavelstream.streaming.measure import measured
 from gavelstream.streaming.run import dropped_as_late, finish, start_files, to_files
 
@@ -74,7 +74,7 @@ def test_local_items_over_micro_batches(stream, static):
 
 
 def test_category_averages_over_micro_batches(stream, static, monkeypatch):
-    monkeypatch.setattr(closing, "FOLD_EVERY", 2)
+    monkeypatch.setattr(carried, "FOLD_EVERY", 2)
     expected = plan.average_price_by_category(static("auction"), static("bid"))
     prices = closing.run(stream("auction"), stream("bid"), release=True)
     assert prices.last_batch() == PARTS - 1
