@@ -7,6 +7,7 @@ comparison worth something.
 
 from __future__ import annotations
 
+from gavelstream.sources.damage import CASES, DAMAGE, DECIDES
 from gavelstream.sources.derive import (
     AU_CITIES,
     AU_STATES,
@@ -102,12 +103,12 @@ def _hopped(source: str, keys: str, time: str, slide: str, size: str, copies: in
             f"count(*) AS {name} FROM {source}, range({copies}) t(k) GROUP BY ALL)")
 
 
-def _json(fields: str) -> str:
-    """json_object text of 'a b c' columns; date_time and expires as ISO text."""
+def _json(fields: str, epoch: bool = False) -> str:
+    """json_object text of 'a b c' columns; date_time and expires as ISO text or epoch milliseconds."""
     parts = []
     for name in fields.split():
         if name in ("date_time", "expires"):
-            parts.append(f"'{name}', strftime({name}, '{ISO}')")
+            parts.append(f"'{name}', epoch_ms({name})" if epoch else f"'{name}', strftime({name}, '{ISO}')")
         else:
             parts.append(f"'{name}', {name}")
     return f"json_object({', '.join(parts)})::varchar"
@@ -208,39 +209,82 @@ EVENTS = {
     "events_last10_value": """SELECT user_id, avg(value) AS avg_value FROM (
         SELECT user_id, floor(value)::BIGINT AS value FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10) GROUP BY user_id""",
+    "events_tumble_count": f"SELECT event_type, {TEN_HOURS}, count(*) AS event_count FROM events GROUP BY ALL",
+    "events_top_values": """SELECT user_id, event_id, value FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 3""",
+    "events_upsert_latest": """SELECT user_id, ts, event_id, event_type FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+    "events_first_type": """SELECT user_id, event_type FROM events
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) = 1""",
+    "events_json_changelog": """
+        SELECT json_object('before', CASE WHEN x.events IS NULL THEN NULL ELSE
+                 json_object('event_type', event_type, 'events', x.events, 'total', x.total) END,
+               'after', json_object('event_type', event_type, 'events', y.events, 'total', y.total),
+               'op', CASE WHEN x.events IS NULL THEN 'c' ELSE 'u' END)::varchar AS value
+        FROM (SELECT event_type, count(*) AS events, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL) y
+        LEFT JOIN (SELECT event_type, count(*) AS events, sum(floor(value)::BIGINT)::BIGINT AS total FROM events
+                   WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL) x USING (event_type)
+        WHERE x.events IS DISTINCT FROM y.events OR x.total IS DISTINCT FROM y.total""",
+    "events_json_records": f"""SELECT json_object('user_id', user_id, 'event_id', event_id,
+        'value', floor(value)::BIGINT, 'ts', strftime(ts, '{ISO}'))::varchar AS value FROM events""",
+    "events_errors_in_reach": """SELECT p.event_id AS purchase_id, p.user_id, p.ts, e.event_id AS error_id, e.ts AS error_ts
+        FROM events p JOIN events e ON p.user_id = e.user_id
+        WHERE p.event_type = 'purchase' AND e.event_type = 'error'
+          AND e.ts BETWEEN p.ts AND p.ts + to_hours(floor(p.value)::BIGINT)""",
+    "orders_followed_up": """SELECT u.o_custkey, u.o_orderkey AS urgent_order, u.o_orderdate AS urgent_date,
+        o.o_orderkey, o.o_orderdate FROM orders u JOIN orders o ON u.o_custkey = o.o_custkey
+        WHERE u.o_orderpriority = '1-URGENT' AND o.o_orderpriority <> '1-URGENT'
+          AND o.o_orderdate BETWEEN u.o_orderdate AND u.o_orderdate + INTERVAL 10 DAY""",
+    "lineitem_selection": """SELECT l_partkey, l_orderkey, l_linenumber, l_shipdate FROM lineitem
+        WHERE l_partkey = 7 OR l_partkey = 20 OR l_partkey = 101 OR l_partkey = 119 OR l_partkey = 187""",
     "events_active_users": f"SELECT DISTINCT user_id, event_type, {TEN_HOURS} FROM events",
     "events_value_spread": f"""SELECT user_id, {_tumble('ts', '10 HOUR')} + INTERVAL 10 HOUR AS window_end,
         max(floor(value)::BIGINT) - min(floor(value)::BIGINT) AS spread, count(*) AS bids FROM events GROUP BY ALL""",
 }
 
-# Damaged bid records: the text that the price's last digits call for.
-DAMAGED = f"""damaged AS (
-  SELECT CASE price % 20
-           WHEN 0 THEN 'junk'
-           WHEN 1 THEN regexp_replace(v, '"auction":([0-9]+)', '"auction":\\1.0')
-           WHEN 2 THEN regexp_replace(v, '"auction":([0-9]+)', '"auction":\\1.5')
-           WHEN 3 THEN regexp_replace(v, '"date_time":"[^"]*"', '"date_time":null')
-           WHEN 4 THEN regexp_replace(v, '^[{{]', '{{"unknown":1,')
-           WHEN 5 THEN regexp_replace(v, '"channel":"[^"]*",', '')
-           ELSE v END AS value
-  FROM (SELECT price, {_json(BID_F)} AS v FROM bid)),
+FIELDS = {"person": PERSON_F, "auction": AUCTION_F, "bid": BID_F}
+LENIENT = {"person": {"id"}, "auction": {"id", "seller"}, "bid": {"auction", "bidder"}}
+STRICT = {"initial_bid", "reserve", "category", "price"}
+
+
+def _judged(kind: str) -> str:
+    """Records damaged as their case calls for, read field by field, each with the reason to reject it."""
+    entity = kind.removeprefix("epoch ")
+    names, epoch = FIELDS[entity].split(), entity != kind
+    cases = " ".join(f"WHEN {n} THEN regexp_replace(v, '{pattern}', '{by.replace('$', chr(92))}')"
+                     for n, (pattern, by) in DAMAGE[kind].items())
+
+    def value(name: str) -> str:
+        whole = f"CASE WHEN try_cast(t_{name} AS DOUBLE) = floor(try_cast(t_{name} AS DOUBLE)) THEN try_cast(t_{name} AS DOUBLE)::BIGINT END"
+        if name in ("date_time", "expires"):
+            return whole if epoch else f"CASE WHEN t_{name} LIKE '%T%' THEN try_cast(t_{name} AS TIMESTAMP) END"
+        if name in LENIENT[entity]:
+            return whole
+        return f"try_cast(t_{name} AS BIGINT)" if name in STRICT else f"t_{name}"
+
+    numbers = [n for n in names if n in LENIENT[entity] | STRICT]
+    broken = " OR ".join(f"(t_{n} IS NOT NULL AND {n} IS NULL)" for n in numbers)
+    unreadable = "WHEN t_expires IS NOT NULL AND expires IS NULL THEN 'unreadable time'" if "expires" in names else ""
+    return f"""damaged AS (
+  SELECT CASE {DECIDES[kind]} % {CASES} WHEN 0 THEN 'junk' {cases} ELSE v END AS value
+  FROM (SELECT {DECIDES[kind]}, {_json(FIELDS[entity], epoch)} AS v FROM {entity})),
 read AS (
   SELECT value, json_valid(value) AS ok,
          CASE WHEN json_valid(value) THEN value ELSE '{{}}' END AS j FROM damaged),
-fields AS (
-  SELECT value, ok, try_cast(json_extract_string(j, '$.auction') AS double) AS auction,
-         json_extract_string(j, '$.bidder')::bigint AS bidder,
-         json_extract_string(j, '$.price')::bigint AS price,
-         json_extract_string(j, '$.channel') AS channel,
-         json_extract_string(j, '$.url') AS url,
-         json_extract_string(j, '$.date_time')::timestamp AS date_time,
-         json_extract_string(j, '$.extra') AS extra
-  FROM read),
+texts AS (SELECT value, ok, {", ".join(f"json_extract_string(j, '$.{n}') AS t_{n}" for n in names)} FROM read),
+fields AS (SELECT *, {", ".join(f"{value(n)} AS {n}" for n in names)} FROM texts),
 judged AS (
-  SELECT *, CASE WHEN NOT ok THEN 'not an object' WHEN date_time IS NULL THEN 'no event time'
-                 WHEN auction <> floor(auction) THEN 'not a whole number' END AS reject_reason
+  SELECT *, CASE WHEN NOT ok THEN 'not an object' WHEN date_time IS NULL THEN 'no event time' {unreadable}
+                 WHEN {broken} THEN 'not a whole number' END AS reject_reason
   FROM fields)"""
 
+
+def _accepted(entity: str) -> str:
+    return f"SELECT {', '.join(FIELDS[entity].split())} FROM judged WHERE reject_reason IS NULL"
+
+
+REJECTED = "SELECT value, reject_reason FROM judged WHERE reject_reason IS NOT NULL"
+
 # Progress samples, computed by counting all events up to each sample time.
 SAMPLES = """ticks AS (
   SELECT DISTINCT event_type AS topic, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS ts
@@ -308,10 +352,17 @@ def oracle() -> dict[str, str]:
             date_trunc('second', expires)::timestamp AS expires_time FROM auction""",
         "source_epoch_ms_grain": _with(b) + EPOCH_BID,
         "source_from_timestamp": _with(b) + "SELECT * FROM bid WHERE date_time >= TIMESTAMP '2024-01-01 00:00:05'",
-        "json_decode": _with(b, DAMAGED) + """SELECT auction::bigint AS auction, bidder, price, channel, url,
-            date_time, extra FROM judged WHERE reject_reason IS NULL""",
+        "json_decode": _with(b, _judged("bid")) + _accepted("bid"),
         "json_decode_fail_mode": _with(a) + "SELECT * FROM auction",
-        "json_rejects": _with(b, DAMAGED) + "SELECT value, reject_reason FROM judged WHERE reject_reason IS NOT NULL",
+        "json_rejects": _with(b, _judged("bid")) + REJECTED,
+        "json_decode_auction": _with(a, _judged("auction")) + _accepted("auction"),
+        "json_rejects_auction": _with(a, _judged("auction")) + REJECTED,
+        "json_decode_person": _with(p, _judged("person")) + _accepted("person"),
+        "json_rejects_person": _with(p, _judged("person")) + REJECTED,
+        "source_epoch_ms_damaged": _with(a, _judged("epoch auction"), f"good AS ({_accepted('auction')})") + """
+            SELECT *, date_trunc('second', make_timestamp(date_time * 1000))::timestamp AS event_time,
+                   date_trunc('second', make_timestamp(expires * 1000))::timestamp AS expires_time FROM good""",
+        "json_rejects_epoch_ms": _with(a, _judged("epoch auction")) + REJECTED,
         "q1_currency_conversion": _with(b) + Q1,
         "q2_selection": _with(b) + Q2,
         "q3_local_item_suggestion": _with(p, a) + Q3,
@@ -404,6 +455,11 @@ def oracle() -> dict[str, str]:
               USING (query) JOIN cores USING (query)""",
         # Streams: the batch result, of windows that the last watermark has closed.
         "stream_source_epoch_ms": _with(b) + EPOCH_BID,
+        "stream_json_persons_per_state": _with(p, _judged("person"), f"good AS ({_accepted('person')})") + _closed(
+            f"""SELECT state, {_tumble('date_time', '10 SECOND')} AS window_start,
+                {_tumble('date_time', '10 SECOND')} + INTERVAL 10 SECOND AS window_end, count(*) AS persons
+                FROM good GROUP BY ALL""", "(SELECT max(date_time) FROM good)"),
+        "stream_json_rejects_auction": _with(a, _judged("auction")) + REJECTED,
         "stream_q1_currency_conversion": _with(b) + Q1,
         "stream_q2_selection": _with(b) + Q2,
         "stream_q3_local_item_suggestion": _with(p, a) + Q3,
@@ -415,9 +471,11 @@ def oracle() -> dict[str, str]:
         "stream_q4_lagging_auctions": _with(a, b, CLOSING) + _average("closing"),
         "stream_q4_changelog": _with(a, b, CLOSING) + _average("closing"),
         "stream_window_udaf": _with(b) + _closed(SPREAD),
-        **{f"stream_{name}": EVENTS[name] for name in ("events_purchases", "segment_urgent_orders", "events_last10_value")},
+        **{f"stream_{name}": EVENTS[name] for name in (
+            "events_purchases", "segment_urgent_orders", "events_last10_value", "events_active_users")},
         **{f"stream_{name}": _closed(EVENTS[name], "(SELECT max(ts) FROM events)") for name in (
-            "events_hop_hot_users", "events_highest_value", "events_single_highest", "events_value_spread")},
+            "events_hop_hot_users", "events_highest_value", "events_single_highest", "events_value_spread",
+            "events_tumble_count")},
         "stream_q5_bid_counts": _with(b) + _closed(counts),
         "stream_q5_hot_items": _with(b) + _closed(HOT),
         "stream_q6_last10_avg": _with(b) + Q6,

@@ -48,18 +48,27 @@ def interval_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_ti
 
 
 def between_join(left: DataFrame, right: DataFrame, on: dict[str, str], start: str, end: str,
-                 time: str, at_most: str | None = None) -> DataFrame:
+                 time: str, at_most: str | None = None, slot: str | None = None) -> DataFrame:
     """Pairs with equal keys and ``time`` of the right row within the left row's own interval.
 
     On streams ``at_most`` bounds the interval's length from its start, so that state ends.
+    With ``slot`` (about as long as most intervals) the time becomes part of the join key: a left
+    row is copied to each slot its interval touches, and a hot key spreads over its slots.
+    An interval that lacks a bound or ends before it starts holds nothing.
     """
     condition = F.lit(True)
+    if slot:
+        until = F.least(F.col(end), F.col(start) + F.expr(f"INTERVAL {at_most}")) if at_most else F.col(end)
+        left = (left.where(F.col(start) <= F.col(end)).withColumn("_low_slot", _slot(start, slot))
+                .withColumn("_left_slot", _slots(F.col("_low_slot"), until, slot)).drop("_low_slot"))
+        right = right.withColumn("_right_slot", _slot(time, slot))
+        condition = F.col("_left_slot") == F.col("_right_slot")
     for left_key, right_key in on.items():
         condition = condition & (F.col(left_key) == F.col(right_key))
     condition = condition & F.col(time).between(F.col(start), F.col(end))
     if at_most:
         condition = condition & (F.col(time) <= F.col(start) + F.expr(f"INTERVAL {at_most}"))
-    return left.join(right, condition, "inner")
+    return left.join(right, condition, "inner").drop("_left_slot", "_right_slot")
 
 
 def window_join(left: DataFrame, right: DataFrame, on: dict[str, str], window: str = "window") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import between_join, window_join
+from ..operators.joins import between_join, interval_join, window_join
 from ..operators.aggregates import two_level
-from ..operators.ranking import arg_max, best_with_ties, top_k_per_group
+from ..operators.changes import changelog, changelog_records, upsert_latest
+from ..operators.ranking import arg_max, best_with_ties, first_value, top_k_per_group
 from ..operators.windows import distinct_per_window, hop, tumble, window_bounds, window_count
 from ..session import spread
 
@@ -32,13 +33,16 @@ def hot_parts(lineitem: DataFrame) -> DataFrame:
     return window_bounds(best_with_ties(counts, ["window"], "line_count"))
 
 
-def shipped_in_time(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+IN_TIME = "90 days"
+
+
+def shipped_in_time(orders: DataFrame, lineitem: DataFrame, at_most: str | None = None) -> DataFrame:
     """Lines shipped within 90 days of their order; an order key occurs once."""
     placed = orders.select("o_orderkey", "o_orderpriority", "o_orderdate",
-                           (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("_until"))
+                           (F.col("o_orderdate") + F.expr(f"INTERVAL {IN_TIME}")).alias("_until"))
     lines = lineitem.select("l_orderkey", "l_shipdate", F.col("l_quantity").cast("bigint").alias("quantity"))
     return between_join(placed, lines, {"o_orderkey": "l_orderkey"}, "o_orderdate", "_until",
-                        "l_shipdate").drop("_until", "l_orderkey")
+                        "l_shipdate", at_most).drop("_until", "l_orderkey")
 
 
 def average_largest_line(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -108,3 +112,58 @@ def last_values(events: DataFrame, last: int = 10) -> DataFrame:
 def active_users(events: DataFrame) -> DataFrame:
     """Distinct users and kinds of event of each 10-hour window."""
     return window_bounds(distinct_per_window(events, ["user_id", "event_type"], tumble("ts", "10 hours")))
+
+
+def events_per_type(events: DataFrame) -> DataFrame:
+    """Events of each kind in each 10-hour window."""
+    return window_bounds(window_count(events, ["event_type"], tumble("ts", "10 hours"), "event_count"))
+
+
+def top_values(events: DataFrame, k: int = 3) -> DataFrame:
+    """Each user's events of the highest values, of equal ones that of the smaller id first."""
+    return top_k_per_group(events.select("user_id", "event_id", "value"), ["user_id"],
+                           [F.desc("value"), F.asc("event_id")], k)
+
+
+def latest_event(events: DataFrame) -> DataFrame:
+    """The latest event of each user, as an upsert by user leaves it."""
+    return upsert_latest(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
+
+
+def first_types(events: DataFrame) -> DataFrame:
+    """The kind of each user's first event."""
+    return first_value(events, ["user_id"], "event_type", ["ts"])
+
+
+def type_changes(events: DataFrame, since: str) -> DataFrame:
+    """Change records of events and whole values per kind, from those before a time to all."""
+    def totals(some: DataFrame) -> DataFrame:
+        return some.groupBy("event_type").agg(F.count("*").alias("events"),
+                                              F.sum(F.floor("value").cast("bigint")).alias("total"))
+
+    return changelog_records(changelog(totals(events.where(F.col("ts") < F.lit(since).cast("timestamp_ntz"))),
+                                       totals(events), ["event_type"]))
+
+
+def errors_in_reach(events: DataFrame, slot: str | None = "2 days") -> DataFrame:
+    """A user's errors within as many hours after a purchase as its value says."""
+    bought = events.where(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("purchase_id"), "user_id", "ts",
+        F.timestamp_add("HOUR", F.floor("value").cast("int"), F.col("ts")).alias("_until"))
+    errors = events.where(F.col("event_type") == "error").select(
+        F.col("event_id").alias("error_id"), F.col("user_id").alias("_user"), F.col("ts").alias("error_ts"))
+    return between_join(bought, errors, {"user_id": "_user"}, "ts", "_until", "error_ts", slot=slot).drop("_until", "_user")
+
+
+def followed_up(orders: DataFrame) -> DataFrame:
+    """Orders of a customer within 10 days after an urgent one."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    first = orders.where(urgent).select("o_custkey", F.col("o_orderkey").alias("urgent_order"), F.col("o_orderdate").alias("urgent_date"))
+    other = orders.where(~urgent).select(F.col("o_custkey").alias("_cust"), "o_orderkey", "o_orderdate")
+    return interval_join(first, other, {"o_custkey": "_cust"}, "urgent_date", "o_orderdate", upper="10 days",
+                         slot="10 days").drop("_cust")
+
+
+def lines_of_parts(lineitem: DataFrame, parts: tuple[int, ...] = (7, 20, 101, 119, 187)) -> DataFrame:
+    """Lines of some parts: the filter and the columns reach the scan."""
+    return lineitem.where(F.col("l_partkey").isin(*parts)).select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate")

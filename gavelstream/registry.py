@@ -11,18 +11,19 @@ from .functions import epoch_millis, hash_id, iso_millis, iso_seconds, json_row
 from .operators import progress
 from .operators.aggregates import MergeableAggregate, aggregate_with, process_windows
 from .operators.changes import changelog, changelog_records, upsert_latest
-from .operators.joins import between_join
 from .operators.ranking import top_k_per_group
 from .operators.windows import distinct_per_window, tumble, window_bounds, window_count
 from .plans import auctions as plan
 from .plans import samples, tables
 from .schemas import AUCTION, BID, PERSON
+from .schemas import ENTITIES as SCHEMA_OF
 from .schemas import TABLES as SCHEMAS
 from .sinks import json_records, keyed_records
-from .sources import derive, records, routing
-from .sources.tables import LATENESS, as_stream, from_time, table_stream
+from .sources import damage, derive, records, routing
+from .sources.tables import LATENESS, as_stream, from_time
 from .streaming import auctions as live
 from .streaming import closing, delivery
+from .streaming.run import to_files
 from .streaming import tables as live_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,10 +70,6 @@ class Tables:
     def bid(self) -> DataFrame:
         return derive.bid(self.numbered)
 
-    def stream(self, entity: str) -> DataFrame:
-        raw = table_stream(self.spark, self.sf_dir, "events")
-        return as_stream(derive.DERIVATIONS[entity](derive.from_events(raw)))
-
 
 def batch(function: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: function(Tables(spark, sf_dir))
@@ -91,21 +88,11 @@ def json_text(df: DataFrame, schema, epoch: bool = False) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in fields], json_row(fields).alias("value"))
 
 
-def damaged_bids(t: Tables) -> DataFrame:
-    """Bid records as JSON, some of them damaged in one of six ways by price."""
-    bids = t.bid
-    value = json_text(bids.withColumn("_price", F.col("price")), BID)
-    case = F.col("_price") % 20
-    text = F.col("value")
-    changed = (
-        F.when(case == 0, F.lit("junk"))
-        .when(case == 1, F.regexp_replace(text, '"auction":([0-9]+)', '"auction":$1.0'))
-        .when(case == 2, F.regexp_replace(text, '"auction":([0-9]+)', '"auction":$1.5'))
-        .when(case == 3, F.regexp_replace(text, '"date_time":"[^"]*"', '"date_time":null'))
-        .when(case == 4, F.regexp_replace(text, '^[{]', '{"unknown":1,'))
-        .when(case == 5, F.regexp_replace(text, '"channel":"[^"]*",', ""))
-        .otherwise(text))
-    return value.select(changed.alias("value"))
+def damaged(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of an entity as JSON records, some of them damaged; ``kind`` as in ``damage.DAMAGE``."""
+    entity = kind.removeprefix("epoch ")
+    cased = rows.withColumn("_case", F.col(damage.DECIDES[kind]) % damage.CASES)
+    return damage.damaged(json_text(cased, SCHEMA_OF[entity], epoch=entity != kind), kind)
 
 
 def mixed_events(t: Tables) -> DataFrame:
@@ -215,9 +202,17 @@ BATCH: dict[str, Query] = {
     "source_epoch_ms_grain": batch(lambda t: records.decode(
         json_text(t.bid, BID, epoch=True), "bid", time_encoding="epoch_ms", grain="second")),
     "source_from_timestamp": batch(lambda t: from_time(t.bid, "2024-01-01 00:00:05")),
-    "json_decode": batch(lambda t: records.decode(damaged_bids(t), "bid", bad_data="drop")),
+    "json_decode": batch(lambda t: records.decode(damaged(t.bid, "bid"), "bid", bad_data="drop")),
     "json_decode_fail_mode": batch(lambda t: records.decode(json_text(t.auction, AUCTION), "auction")),
-    "json_rejects": batch(lambda t: records.rejects(damaged_bids(t), "bid")),
+    "json_rejects": batch(lambda t: records.rejects(damaged(t.bid, "bid"), "bid")),
+    "json_decode_auction": batch(lambda t: records.decode(damaged(t.auction, "auction"), "auction", bad_data="drop")),
+    "json_rejects_auction": batch(lambda t: records.rejects(damaged(t.auction, "auction"), "auction")),
+    "json_decode_person": batch(lambda t: records.decode(damaged(t.person, "person"), "person", bad_data="drop")),
+    "json_rejects_person": batch(lambda t: records.rejects(damaged(t.person, "person"), "person")),
+    "source_epoch_ms_damaged": batch(lambda t: records.epoch_table(
+        damaged(t.auction, "epoch auction"), "auction", bad_data="drop")),
+    "json_rejects_epoch_ms": batch(lambda t: records.rejects(
+        damaged(t.auction, "epoch auction"), "auction", time_encoding="number")),
     # queries
     "q1_currency_conversion": batch(lambda t: plan.currency_conversion(t.bid)),
     "q2_selection": batch(lambda t: plan.selection(t.bid)),
@@ -267,6 +262,15 @@ BATCH: dict[str, Query] = {
     "events_last10_value": batch(lambda t: tables.last_values(t.events)),
     "events_active_users": batch(lambda t: tables.active_users(t.events)),
     "events_value_spread": batch(value_spread),
+    "events_tumble_count": batch(lambda t: tables.events_per_type(t.events)),
+    "events_top_values": batch(lambda t: tables.top_values(t.events)),
+    "events_upsert_latest": batch(lambda t: tables.latest_event(t.events)),
+    "events_first_type": batch(lambda t: tables.first_types(t.events)),
+    "events_json_changelog": batch(lambda t: tables.type_changes(t.events, "2024-01-16")),
+    "events_json_records": batch(lambda t: json_records(tables.whole_values(t.events))),
+    "events_errors_in_reach": batch(lambda t: tables.errors_in_reach(t.events)),
+    "orders_followed_up": batch(lambda t: tables.followed_up(t.orders)),
+    "lineitem_selection": batch(lambda t: tables.lines_of_parts(t.lineitem)),
     # measurement
     "topic_offsets": batch(lambda t: progress.topic_offsets(samples.samples(t.events))),
     "topic_throughput": batch(lambda t: samples.throughput(samples.samples(t.events))),
@@ -293,25 +297,6 @@ def halves(t: Tables) -> tuple[list[DataFrame], Callable[[DataFrame], DataFrame]
     return [numbered.where(F.col("n") < half), numbered.where(F.col("n") >= half)], derive.bid
 
 
-def epoch_stream(t: Tables) -> DataFrame:
-    """Epoch-ms JSON as a stream, decoded and appended."""
-    raw = derive.bid(derive.from_events(table_stream(t.spark, t.sf_dir, "events")))
-    decoded = records.decode(json_text(raw, BID, epoch=True), "bid", time_encoding="epoch_ms", grain="second")
-    return live.to_files(as_stream(decoded), "epoch")
-
-
-def shipped_stream(t: Tables) -> DataFrame:
-    """Two streams joined within a bounded interval: orders and their lines."""
-    orders = as_stream(table_stream(t.spark, t.sf_dir, "orders"), "o_orderdate", "1 day")
-    lines = as_stream(table_stream(t.spark, t.sf_dir, "lineitem"), "l_shipdate", "1 day")
-    placed = orders.select("o_orderkey", "o_orderpriority", "o_orderdate",
-                           (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("_until"))
-    shipped = lines.select("l_orderkey", "l_shipdate", F.col("l_quantity").cast("bigint").alias("quantity"))
-    joined = between_join(placed, shipped, {"o_orderkey": "l_orderkey"}, "o_orderdate", "_until",
-                          "l_shipdate", at_most="90 days")
-    return live.to_files(joined.drop("_until", "l_orderkey"), "shipped")
-
-
 def in_runs(parts: Callable) -> Callable[[Tables], DataFrame]:
     def run(t: Tables) -> DataFrame:
         return delivery.counted_in_runs(t.spark, *parts(t), plan.SIZE)[0]
@@ -334,7 +319,7 @@ def in_order(df: DataFrame, column: str, parts: int = PARTS) -> list[DataFrame]:
     """The rows in ranges of a column, nulls in the first: as they would arrive one after another."""
     low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None:
-        return [df]
+        return [df, *[df.where(F.lit(False))] * (parts - 1)]
     kind, value = df.schema[column].dataType, F.col(column)
     cuts = [F.lit(low + (high - low) * i / parts).cast(kind) for i in range(1, parts)]
     below = [(value < cut) | value.isNull() for cut in cuts[:1]] + [value < cut for cut in cuts[1:]] + [value >= cuts[-1]]
@@ -351,6 +336,35 @@ def arriving(run: Callable[..., DataFrame], *entities: str) -> Query:
     return batch(query)
 
 
+def records_arriving(run: Callable[[DataFrame, str], DataFrame], kind: str, whole: bool = False) -> Query:
+    """A streamed query over JSON records, the text alone, that come in four parts; ``run`` decodes them."""
+    def query(t: Tables) -> DataFrame:
+        entity = kind.removeprefix("epoch ")
+        rows = [derive.DERIVATIONS[entity](part) for part in in_order(t.numbered, "n")]
+        texts = [json_text(r, SCHEMA_OF[entity], epoch=entity != kind) if whole else damaged(r, kind) for r in rows]
+        return delivery.in_parts(t.spark, [{"records": text} for text in texts], {},
+                                 lambda streams, root: run(streams["records"], root), LATENESS)
+
+    return batch(query)
+
+
+def epoch_stream(texts: DataFrame, root: str) -> DataFrame:
+    """Epoch-ms JSON as a stream, decoded and appended."""
+    decoded = records.decode(texts, "bid", time_encoding="epoch_ms", grain="second")
+    return to_files(as_stream(decoded), "epoch", root)
+
+
+def persons_per_state(texts: DataFrame, root: str) -> DataFrame:
+    """ISO JSON as a stream: decoded, bad records dropped, a watermark by its times, counted by window."""
+    persons = as_stream(records.decode(texts, "person", bad_data="drop"))
+    return to_files(window_bounds(window_count(persons, ["state"], tumble("date_time", plan.SIZE), "persons")), "states", root)
+
+
+def rejected_stream(texts: DataFrame, root: str) -> DataFrame:
+    """Bad records as a stream of their own, each with its reason."""
+    return to_files(records.rejects(texts, "auction"), "rejects", root)
+
+
 def events_arriving(run: Callable[..., DataFrame]) -> Query:
     """The same over the given events."""
     return batch(lambda t: delivery.in_parts(
@@ -364,38 +378,50 @@ def orders_arriving(t: Tables) -> DataFrame:
         lambda streams, root: live_tables.orders_of_segment(streams["orders"], t.customer, root), LATENESS)
 
 
+def shipped_arriving(t: Tables) -> DataFrame:
+    """Orders and lines, each in its own order of time."""
+    orders, lines = in_order(t.orders, "o_orderdate"), in_order(t.lineitem, "l_shipdate")
+    return delivery.in_parts(
+        t.spark, [{"orders": o, "lineitem": l} for o, l in zip(orders, lines, strict=True)],
+        {"orders": "o_orderdate", "lineitem": "l_shipdate"},
+        lambda streams, root: live_tables.shipped_in_time(streams["orders"], streams["lineitem"], root), "1 day")
+
+
 def spread_stream(bids: DataFrame, root: str) -> DataFrame:
     return live.window_aggregate(bids, "auction bigint", PriceSpread(), plan.SIZE, root).drop("window_start")
 
 
 STREAMS: dict[str, Query] = {
-    "stream_source_epoch_ms": batch(epoch_stream),
-    "stream_q1_currency_conversion": batch(lambda t: live.currency_conversion(t.stream("bid"))),
-    "stream_q2_selection": batch(lambda t: live.selection(t.stream("bid"))),
+    "stream_source_epoch_ms": records_arriving(epoch_stream, "epoch bid", whole=True),
+    "stream_json_persons_per_state": records_arriving(persons_per_state, "person"),
+    "stream_json_rejects_auction": records_arriving(rejected_stream, "auction"),
+    "stream_q1_currency_conversion": arriving(live.currency_conversion, "bid"),
+    "stream_q2_selection": arriving(live.selection, "bid"),
     "stream_q3_local_item_suggestion": arriving(live.local_item_suggestion, "person", "auction"),
-    "stream_q4_bid_in_auction": batch(lambda t: closing.bid_in_auction(t.stream("auction"), t.stream("bid"))),
-    "stream_q4_closing_price": batch(lambda t: closing.closing_price(t.stream("auction"), t.stream("bid"))),
-    "stream_q4_category_avg": batch(lambda t: closing.category_average(t.stream("auction"), t.stream("bid"))),
+    "stream_q4_bid_in_auction": arriving(closing.bid_in_auction, "auction", "bid"),
+    "stream_q4_closing_price": arriving(closing.closing_price, "auction", "bid"),
+    "stream_q4_category_avg": arriving(closing.category_average, "auction", "bid"),
     "stream_q4_lagging_auctions": batch(lagging_auctions),
     "stream_q4_changelog": arriving(closing.category_changelog, "auction", "bid"),
-    "stream_q5_bid_counts": batch(lambda t: live.bid_counts(t.stream("bid"))),
+    "stream_q5_bid_counts": arriving(live.bid_counts, "bid"),
     "stream_q5_hot_items": arriving(live.hot_items, "bid"),
     "stream_q6_last10_avg": arriving(live.last_bids_average, "bid"),
     "stream_q7_highest_bid": arriving(live.highest_bid, "bid"),
-    "stream_q7_single_highest": batch(lambda t: live.single_highest_bid(t.stream("bid"))),
+    "stream_q7_single_highest": arriving(live.single_highest_bid, "bid"),
     "stream_q8_new_sellers": arriving(live.new_sellers, "person", "auction"),
-    "stream_q8_one_name": batch(lambda t: live.new_sellers_one_name(t.stream("person"), t.stream("auction"))),
-    "stream_interval_join": batch(
-        lambda t: live.auctions_after_registration(t.stream("person"), t.stream("auction"))),
-    "stream_orders_lineitem_pairs": batch(shipped_stream),
-    "stream_distinct_per_window": batch(lambda t: live.distinct_bids(t.stream("bid"))),
-    "stream_tumble_count": batch(lambda t: live.tumble_count(t.stream("bid"))),
-    "stream_udf_window_process": batch(lambda t: live.window_levels(t.stream("bid"))),
+    "stream_q8_one_name": arriving(live.new_sellers_one_name, "person", "auction"),
+    "stream_interval_join": arriving(live.auctions_after_registration, "person", "auction"),
+    "stream_orders_lineitem_pairs": batch(shipped_arriving),
+    "stream_distinct_per_window": arriving(live.distinct_bids, "bid"),
+    "stream_tumble_count": arriving(live.tumble_count, "bid"),
+    "stream_udf_window_process": arriving(live.window_levels, "bid"),
     "stream_upsert_latest": arriving(live.latest_bid_totals, "bid"),
     "stream_window_udaf": arriving(spread_stream, "bid"),
     "stream_events_purchases": events_arriving(live_tables.purchases),
     "stream_segment_urgent_orders": batch(orders_arriving),
     "stream_events_hop_hot_users": events_arriving(live_tables.hot_users),
+    "stream_events_tumble_count": events_arriving(live_tables.events_per_type),
+    "stream_events_active_users": events_arriving(live_tables.active_users),
     "stream_events_highest_value": events_arriving(live_tables.highest_value),
     "stream_events_single_highest": events_arriving(live_tables.single_highest),
     "stream_events_last10_value": events_arriving(live_tables.last_values),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ DEFAULTS = {
 }
 
 _local_dirs: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def build_session(app: str = "gavelstream", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,7 +53,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, made = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", _made.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -58,6 +65,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end what was put below the shared folder within: stages, stream results, checkpoints.
+
+    Results are lazy and read those tables, so save or count them inside. Scopes nest, and each
+    holds only what its own thread makes.
+    """
+    mine: list[str] = []
+    outer = _made.set(mine)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        for path in mine:
+            remove(spark, path)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row: text by its length, nested columns by their JSON, 8 for any other."""
     total = F.lit(0).cast("bigint")

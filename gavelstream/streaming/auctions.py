@@ -18,12 +18,12 @@ from .carried import VERSION, ClosingWindows, Folded, upserts
 from .run import BATCH, start_batches, to_batches, to_files
 
 
-def currency_conversion(bids: DataFrame) -> DataFrame:
-    return to_files(plan.currency_conversion(bids), "q1")
+def currency_conversion(bids: DataFrame, root: str | None = None) -> DataFrame:
+    return to_files(plan.currency_conversion(bids), "q1", root)
 
 
-def selection(bids: DataFrame) -> DataFrame:
-    return to_files(plan.selection(bids), "q2")
+def selection(bids: DataFrame, root: str | None = None) -> DataFrame:
+    return to_files(plan.selection(bids), "q2", root)
 
 
 def local_item_suggestion_stream(persons: DataFrame, auctions: DataFrame,
@@ -45,8 +45,8 @@ def local_item_suggestion(persons: DataFrame, auctions: DataFrame, state_ttl: st
     return to_files(local_item_suggestion_stream(persons, auctions, state_ttl), "q3", root)
 
 
-def bid_counts(bids: DataFrame) -> DataFrame:
-    return to_files(window_bounds(plan.bid_counts(bids)), "q5-counts")
+def bid_counts(bids: DataFrame, root: str | None = None) -> DataFrame:
+    return to_files(window_bounds(plan.bid_counts(bids)), "q5-counts", root)
 
 
 def _bounded(schema: StructType) -> StructType:
@@ -118,23 +118,23 @@ def window_aggregate(rows: DataFrame, keys: str, function: MergeableAggregate, s
     return zone_free(states.emitted())
 
 
-def single_highest_bid(bids: DataFrame) -> DataFrame:
+def single_highest_bid(bids: DataFrame, root: str | None = None) -> DataFrame:
     """q7 with one bid per window; the state is one row per window."""
     order = ["price", -F.unix_micros("date_time"), -F.col("auction"), -F.col("bidder")]
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     one = arg_max(bids, [tumble("date_time", plan.SIZE)], ["auction", "bidder", "price"], order)
-    return to_files(window_bounds(one), "q7-single")
+    return to_files(window_bounds(one), "q7-single", root)
 
 
-def tumble_count(bids: DataFrame) -> DataFrame:
+def tumble_count(bids: DataFrame, root: str | None = None) -> DataFrame:
     counts = window_count(bids, ["auction"], tumble("date_time", plan.SIZE), "bid_count")
-    return to_files(window_bounds(counts), "tumble-count")
+    return to_files(window_bounds(counts), "tumble-count", root)
 
 
-def distinct_bids(bids: DataFrame) -> DataFrame:
+def distinct_bids(bids: DataFrame, root: str | None = None) -> DataFrame:
     """Distinct (auction, bidder) of each window, emitted when first seen."""
     rows = distinct_per_window(bids, ["auction", "bidder"], tumble("date_time", plan.SIZE))
-    return to_files(window_bounds(rows), "distinct")
+    return to_files(window_bounds(rows), "distinct", root)
 
 
 def _grouped_persons(persons: DataFrame) -> DataFrame:
@@ -155,20 +155,20 @@ def new_sellers(persons: DataFrame, auctions: DataFrame, root: str | None = None
     return to_files(window_bounds(joined.drop("_seller_window")), "q8", root)
 
 
-def new_sellers_one_name(persons: DataFrame, auctions: DataFrame) -> DataFrame:
+def new_sellers_one_name(persons: DataFrame, auctions: DataFrame, root: str | None = None) -> DataFrame:
     right = _grouped_sellers(auctions).withColumnRenamed(WINDOW, "_seller_window")
     joined = plan.first_names(persons).join(
         right, (F.col("person_id") == F.col("seller_id")) & (F.col(WINDOW) == F.col("_seller_window")))
     result = joined.select("person_id", "name", "seller_id", F.col(f"{WINDOW}.end").alias("window_end"))
-    return to_files(result, "q8-one-name")
+    return to_files(result, "q8-one-name", root)
 
 
-def auctions_after_registration(persons: DataFrame, auctions: DataFrame) -> DataFrame:
+def auctions_after_registration(persons: DataFrame, auctions: DataFrame, root: str | None = None) -> DataFrame:
     """Interval join of two streams; the bounds let both sides forget old rows."""
     left = persons.select(F.col("id").alias("person_id"), "name", F.col("date_time").alias("registered"))
     right = auctions.select("seller", F.col("id").alias("auction"), F.col("date_time").alias("opened"))
     joined = interval_join(left, right, {"person_id": "seller"}, "registered", "opened", upper=plan.SIZE)
-    return to_files(joined.select("person_id", "name", "auction", "registered", "opened"), "interval-join")
+    return to_files(joined.select("person_id", "name", "auction", "registered", "opened"), "interval-join", root)
 
 
 # --- last bids per bidder, and latest rows per key: carried tables that fold ---
@@ -235,7 +235,7 @@ def busy_levels(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def window_levels(bids: DataFrame) -> DataFrame:
+def window_levels(bids: DataFrame, root: str | None = None) -> DataFrame:
     counts = window_bounds(plan.bid_counts(bids))
     plain = counts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
-    return to_files(process_windows(plain, busy_levels, SHARE_SCHEMA), "window-levels")
+    return to_files(process_windows(plain, busy_levels, SHARE_SCHEMA), "window-levels", root)

@@ -174,13 +174,13 @@ def run(auctions: DataFrame, bids: DataFrame, root: str | None = None, release:
     return prices
 
 
-def bid_in_auction(auctions: DataFrame, bids: DataFrame) -> DataFrame:
+def bid_in_auction(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:
     """Matched bids, each emitted once, when the watermark has passed it."""
-    return zone_free(run(auctions, bids, release=True).all_batches("released").drop("batch_id"))
+    return zone_free(run(auctions, bids, root, release=True).all_batches("released").drop("batch_id"))
 
 
-def closing_price(auctions: DataFrame, bids: DataFrame) -> DataFrame:
-    prices = run(auctions, bids)
+def closing_price(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:
+    prices = run(auctions, bids, root)
     return zone_free(prices.closing.read(prices.closing.last()))
 
 

@@ -50,15 +50,18 @@ def in_parts(spark: SparkSession, parts: list[dict[str, DataFrame]], times: dict
              run: Callable[[dict[str, DataFrame], str], DataFrame], lateness: str) -> DataFrame:
     """Run a query over inputs that arrive part by part, a restart from its checkpoint between them.
 
-    ``parts`` are named inputs, ``times`` their event-time columns. ``run`` gets the streams and the
-    folder it keeps its state in; what it returns after the last part is the result.
+    ``parts`` are named inputs, ``times`` their event-time columns; an input without one gets no
+    watermark here. ``run`` gets the streams and the folder it keeps its state in; what it returns
+    after the last part is the result.
     """
     root = new_path(spark, "parts")
     result = None
     for part in parts:
         for name, rows in part.items():
             rows.write.mode("append").parquet(f"{root}/in/{name}")
-        streams = {name: as_stream(spark.readStream.schema(rows.schema).parquet(f"{root}/in/{name}"), times[name], lateness)
-                   for name, rows in part.items()}
+        streams = {}
+        for name, rows in part.items():
+            raw = spark.readStream.schema(rows.schema).parquet(f"{root}/in/{name}")
+            streams[name] = as_stream(raw, times[name], lateness) if name in times else raw
         result = run(streams, f"{root}/run")
     return result

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import new_path
+from ..session import new_path, staging
 from ..sources.tables import zone_free
 
 BATCH = "batch_id"
@@ -100,7 +100,8 @@ def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     """Call ``each`` with every micro-batch, computed once and held while it runs.
 
     A stream turns adaptive planning off for its own plan. The rows of a micro-batch are
-    settled by then, so the jobs over them plan as the session does.
+    settled by then, so the jobs over them plan as the session does. Stages that a micro-batch
+    writes for itself are removed at its end.
     """
     adaptive = df.sparkSession.conf.get(ADAPTIVE)
 
@@ -110,7 +111,8 @@ def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
         batch.persist()
         conf.set(ADAPTIVE, adaptive)
         try:
-            each(batch, batch_id)
+            with staging(batch.sparkSession):
+                each(batch, batch_id)
         finally:
             conf.set(ADAPTIVE, streaming)
             batch.unpersist()

@@ -26,6 +26,20 @@ def hot_users(events: DataFrame, root: str | None = None) -> DataFrame:
     return best_of_closed_windows(counts, "event_count", "hot-users", root)
 
 
+def events_per_type(events: DataFrame, root: str | None = None) -> DataFrame:
+    return to_files(plan.events_per_type(events), "events-per-type", root)
+
+
+def active_users(events: DataFrame, root: str | None = None) -> DataFrame:
+    """Distinct users and kinds of event of each window, emitted when first seen."""
+    return to_files(plan.active_users(events), "active-users", root)
+
+
+def shipped_in_time(orders: DataFrame, lineitem: DataFrame, root: str | None = None) -> DataFrame:
+    """Two streams joined within a bounded interval: orders and their lines."""
+    return to_files(plan.shipped_in_time(orders, lineitem, at_most=plan.IN_TIME), "shipped", root)
+
+
 def highest_value(events: DataFrame, root: str | None = None) -> DataFrame:
     return best_per_window(events.select("user_id", "event_type", "value", "ts"),
                            "user_id bigint, event_type string, value double", "value", "10 hours", "ts", root)
