@@ -319,7 +319,7 @@ def in_order(df: DataFrame, column: str, parts: int = PARTS) -> list[DataFrame]:
     """The rows in ranges of a column, nulls in the first: as they would arrive one after another."""
     low, high = df.agg(F.min(column), F.max(column)).first()
     if low is None:
-        return [df, *[df.where(F.lit(False))] * (parts - 1)]
+        return [df]
     kind, value = df.schema[column].dataType, F.col(column)
     cuts = [F.lit(low + (high - low) * i / parts).cast(kind) for i in range(1, parts)]
     below = [(value < cut) | value.isNull() for cut in cuts[:1]] + [value < cut for cut in cuts[1:]] + [value >= cuts[-1]]
@@ -380,7 +380,10 @@ def orders_arriving(t: Tables) -> DataFrame:
 
 def shipped_arriving(t: Tables) -> DataFrame:
     """Orders and lines, each in its own order of time."""
-    orders, lines = in_order(t.orders, "o_orderdate"), in_order(t.lineitem, "l_shipdate")
+    def four(parts: list[DataFrame]) -> list[DataFrame]:
+        return parts + [parts[0].where("false")] * (PARTS - len(parts))
+
+    orders, lines = four(in_order(t.orders, "o_orderdate")), four(in_order(t.lineitem, "l_shipdate"))
     return delivery.in_parts(
         t.spark, [{"orders": o, "lineitem": l} for o, l in zip(orders, lines, strict=True)],
         {"orders": "o_orderdate", "lineitem": "l_shipdate"},

@@ -9,6 +9,7 @@ from gavelstream import session
 from gavelstream.registry import PriceSpread, in_order
 from gavelstream.sources.tables import parquet_files
 from gavelstream.streaming import auctions as live
+from gavelstream.streaming import closing
 from gavelstream.streaming.carried import VERSION, upserts
 
 
@@ -58,3 +59,12 @@ def test_parts_in_order_hold_every_row_once(spark):
     assert [rows(p.where("n IS NOT NULL")) for p in parts] == [[(1,), (1,)], [], [(5,)], [(9,)]]
     assert sum(p.count() for p in parts) == 5
     assert len(in_order(df.where("n > 9"), "n")) == 1
+
+
+def test_micro_batches_leave_only_what_they_carry(spark, tmp_path, bids, auctions):
+    auctions((1, 5, 10, 0, 50), (2, 5, 11, 5, 60)).write.parquet(str(tmp_path / "auction"))
+    bids(*[(1 + i % 2, i % 5, 10 * i, i) for i in range(40)]).write.parquet(str(tmp_path / "bid"))
+    before = set(os.listdir(session.shared_dir(spark)))
+    streams = [parquet_files(spark, e, str(tmp_path / e), streaming=True) for e in ("auction", "bid")]
+    assert len(rows(closing.category_average(*streams, root=str(tmp_path / "run")))) == 2
+    assert set(os.listdir(session.shared_dir(spark))) == before

@@ -1,5 +1,6 @@
 """Operators against brute force on small random data."""
 
+import os
 import random
 from datetime import timedelta
 
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from gavelstream import session
 from gavelstream.operators import aggregates, progress, ranking
-from gavelstream.operators.joins import inside_intervals, interval_join, merged_intervals
+from gavelstream.operators.joins import between_join, inside_intervals, interval_join, merged_intervals
+from gavelstream.plans import auctions as plan
 from gavelstream.registry import PriceSpread
+from gavelstream.session import shared_dir, staging
 
 HOUR = timedelta(hours=1)
 
@@ -117,3 +120,32 @@ def test_throughput_is_the_offset_difference(spark):
     offsets = spark.createDataFrame([("a", at(0), 100), ("a", at(10), 300), ("a", at(30), 300)],
                                     "topic string, ts timestamp_ntz, total_offset bigint")
     assert [r["events_per_sec"] for r in progress.topic_throughput(offsets).orderBy("ts").collect()] == [20.0, 0.0]
+
+
+@pytest.mark.parametrize("at_most", [None, "90 minutes"])
+def test_between_join_with_and_without_slots(spark, at_most):
+    draw = random.Random(5)
+    left = [(i, draw.randrange(3), at(s := draw.randrange(40_000)), at(s + draw.randrange(-500, 20_000))) for i in range(150)]
+    left += [(900, 1, None, at(9)), (901, 1, at(9), None), (902, None, at(0), at(40_000))]
+    right = [(i, draw.randrange(3), at(draw.randrange(50_000))) for i in range(300)] + [(901, 1, None), (902, None, at(5))]
+    a = spark.createDataFrame(left, "i int, k int, start timestamp_ntz, end timestamp_ntz")
+    b = spark.createDataFrame(right, "j int, m int, t timestamp_ntz")
+    plain, slotted = (between_join(a, b, {"k": "m"}, "start", "end", "t", at_most, slot) for slot in (None, "1 hour"))
+    assert slotted.columns == plain.columns
+    assert rows(slotted) == rows(plain) and plain.count() > 1000
+
+
+def test_staged_tables_go_with_their_scope(spark, bids, auctions):
+    """The shared folder is as before once the results of q4, q5 and q7 are read."""
+    a = auctions((1, 5, 10, 0, 50), (2, 5, 11, 5, 60))
+    b = bids(*[(1 + i % 2, i % 5, 10 * i, i) for i in range(40)])
+    before = set(os.listdir(shared_dir(spark)))
+    with staging(spark):
+        with staging(spark):
+            inner = plan.hot_items(b).count()
+        between = set(os.listdir(shared_dir(spark)))
+        results = [plan.average_price_by_category(a, b), plan.hot_items(b), plan.highest_bid(b)]
+        counts = [len(r.collect()) for r in results]
+        assert len(os.listdir(shared_dir(spark))) > len(before)
+    assert inner == counts[1] and all(counts)
+    assert between == before == set(os.listdir(shared_dir(spark)))
