@@ -1,10 +1,12 @@
 """Near-duplicate vectors by a neighbour graph: the links of its lists that reach a cosine, and their components.
 
 A list all of whose places are that near is saturated: there may be more. Such nodes and their
-neighbours get a graph of their own with lists twice as long, again while that helps. What is linked is
+neighbours get a graph of their own with lists twice as long, again while that helps. Nodes that stay
+saturated are compared exactly across components: they fall into cells with a centre and a radius,
+and pairs of cells too far apart by the triangle inequality for any link are skipped. What is linked is
 then completed exactly: within each component every pair is compared, tile by tile, and counted
 where it is compared. A brute-force audit of some vectors measures the recall; where it falls
-short, the graph goes on from other trees.
+short, the graph goes on from other trees with longer lists, and at last all nodes are compared by cells.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import Staged, quoted
 from .components import components
-from .neighbours import SEED, build, edges, packed, quantised, usable
+from .neighbours import SEED, build, edges, leaf_of, packed, quantised, usable
 
 K, ROUNDS, TREES = 12, 4, 8
-ENLARGEMENTS = 2  # beyond lists of 48 places the exact comparison of components takes over
+ENLARGEMENTS = 2  # nodes saturated beyond that are compared exactly by cells
 MARGIN = 0.03  # of squared distance between bytes, so that no true link is lost to rounding
 TILE = 1024
+CELLS = 512  # whose centres are compared at once
+ROUNDING = 1e-6  # of distances between unit vectors, centres and radii in double precision, amply
 AUDITED, WANTED, PASSES = 128, 0.99, 3
 
 
@@ -36,11 +40,15 @@ def _near_places(lists: DataFrame, threshold: float) -> DataFrame:
     return edges(lists).where(F.col("dist") <= 2 - 2 * threshold + MARGIN)
 
 
-def _enlarged(codes: DataFrame, lists: DataFrame, k: int, threshold: float, staged: Staged) -> list[DataFrame]:
-    """Further lists for the saturated parts of the graph."""
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    return lists.where((F.size("nbrs") >= k) & (F.element_at("dists", -1) <= 2 - 2 * threshold + MARGIN))
+
+
+def _enlarged(codes: DataFrame, lists: DataFrame, k: int, threshold: float, staged: Staged) -> tuple[list[DataFrame], DataFrame]:
+    """Further lists for the saturated parts of the graph, and the ``id`` of what stays saturated in the last."""
     found = []
     for step in range(ENLARGEMENTS):
-        full = lists.where((F.size("nbrs") >= k) & (F.element_at("dists", -1) <= 2 - 2 * threshold + MARGIN))
+        full = _saturated(lists, k, threshold)
         around = full.select(F.explode("nbrs").alias("id")).unionByName(full.select("id")).distinct()
         part = staged.put(codes.join(around, "id", "left_semi"), f"part{step}")
         if part.isEmpty():
@@ -48,7 +56,7 @@ def _enlarged(codes: DataFrame, lists: DataFrame, k: int, threshold: float, stag
         k *= 2
         lists = build(part, k, 1, staged, trees=2, seed=SEED + 100 + step, key=f"lists{step}")
         found.append(lists)
-    return found
+    return found, _saturated(lists, k, threshold).select("id")
 
 
 def _links(places: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -67,6 +75,76 @@ def _links(places: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(check, "a bigint, b bigint")
 
 
+def _bridges(some: DataFrame, codes: DataFrame, nodes: DataFrame, found: DataFrame, threshold: float, staged: Staged) -> DataFrame | None:
+    """Links ``a``, ``b`` that connect all components with a link between nodes of ``some`` (``id``); None if there is nothing to compare.
+
+    Every pair of these nodes in different components is compared in double precision, but for pairs of
+    cells whose centres are farther apart than their radii and the link's distance allow. A pair of cells
+    returns one link for each pair of components.
+    """
+    some = staged.put(some, "some")
+    total = some.count()
+    if total < 2:
+        return None
+    leaves = leaf_of(codes.join(some, "id", "left_semi"), total)
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("cuts"))
+    cell = F.xxhash64("leaf", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    rows = (leaves.join(sizes, "leaf").select("id", cell.alias("cell")).join(nodes.select("id", "v"), "id")
+            .join(found, F.col("id") == F.col("node"), "left").select("cell", "id", "v", F.coalesce("component", "id").alias("component")))
+    rows = staged.put(rows, "celled")
+    reach = np.sqrt(2 - 2 * threshold) + ROUNDING
+
+    def bound(table: pa.Table) -> pa.Table:
+        x = _unit(packed(table.column("v").combine_chunks()))
+        centre, component = x.mean(axis=0), table.column("component").to_numpy()
+        return pa.table({"cell": table.column("cell")[:1], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())),
+                         "radius": [float(np.linalg.norm(x - centre, axis=1).max())], "low": [component.min()], "high": [component.max()]})
+
+    cells = staged.put(rows.groupBy("cell").applyInArrow(bound, "cell bigint, centre array<double>, radius double, low bigint, high bigint"), "cells")
+    blocks = -(-cells.count() // CELLS)
+    own = F.pmod(F.xxhash64("cell", F.lit(SEED)), F.lit(blocks))
+    dealt = cells.withColumn("c", own).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    dealt = dealt.select(F.least("c", F.col("o").cast("bigint")).alias("i"), F.greatest("c", F.col("o").cast("bigint")).alias("j"),
+                         (F.col("c") > F.col("o")).cast("int").alias("side"), "cell", "centre", "radius", "low", "high")
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        cell, radius, low, high, side = (table.column(c).to_numpy() for c in ("cell", "radius", "low", "high", "side"))
+        x = packed(table.column("centre").combine_chunks())
+        same = key[0].as_py() == key[1].as_py()
+        left, right = (np.arange(len(cell)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        one, other = [], []
+        for a in left:
+            near = np.linalg.norm(x[right] - x[a], axis=1) <= radius[a] + radius[right] + reach
+            # A pair of cells that lie in one component has no bridge.
+            near &= (low[a] != high[a]) | (low[right] != high[right]) | (low[a] != low[right])
+            if same:
+                near &= right >= a
+            one.append(np.repeat(cell[a], near.sum()))
+            other.append(cell[right[near]])
+        return pa.table({"one": np.concatenate([np.array([], np.int64), *one]), "other": np.concatenate([np.array([], np.int64), *other])})
+
+    pairs = staged.put(dealt.groupBy("i", "j").applyInArrow(meet, "one bigint, other bigint").select(
+        F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")), "pairs")
+    if pairs.isEmpty():
+        return None
+    content = rows.select(F.col("cell"), "id", "v", "component")
+    left = pairs.join(content, F.col("one") == F.col("cell")).select("one", "other", F.lit(0).alias("side"), "id", "v", "component")
+    right = pairs.where("one != other").join(content, F.col("other") == F.col("cell")).select("one", "other", F.lit(1).alias("side"), "id", "v", "component")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        node, component, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
+        x = _unit(packed(table.column("v").combine_chunks()))
+        same = key[0].as_py() == key[1].as_py()
+        left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        a, b = np.nonzero((x[left] @ x[right].T >= threshold) & (component[left][:, None] != component[right][None, :]))
+        a, b = left[a], right[b]
+        ends = np.stack([np.minimum(component[a], component[b]), np.maximum(component[a], component[b])])
+        first = np.unique(ends, axis=1, return_index=True)[1] if len(a) else np.array([], np.int64)
+        return pa.table({"a": node[a[first]], "b": node[b[first]]})
+
+    return left.unionByName(right).groupBy("one", "other").applyInArrow(compare, "a bigint, b bigint")
+
+
 def _counted(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """``node``, ``near``: how many vectors of its component reach the cosine, itself and its equals included.
 
@@ -105,7 +183,8 @@ def _counted(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audited(nodes: DataFrame, near: DataFrame, threshold: float) -> float:
-    """Share of the true links of some vectors, by brute force against all, that were counted."""
+    """Share of its true links, by brute force against all, that was counted for a vector, on average over
+    some vectors that have any: a large group does not outweigh the small ones."""
     some = nodes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDITED).select("id", "v").toArrow()
     if not some.num_rows:
         return 1.0
@@ -120,9 +199,9 @@ def _audited(nodes: DataFrame, near: DataFrame, threshold: float) -> float:
 
     true = nodes.select("v", "n").mapInArrow(compare, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
     own = nodes.select(F.col("id").alias("node"), "n")
-    sums = (true.join(own, "node").join(near, "node", "left")
-            .agg(F.sum(F.col("true") - F.col("n")).alias("true"), F.sum(F.coalesce("near", "n") - F.col("n")).alias("found")).first())
-    return sums["found"] / sums["true"] if sums["true"] else 1.0
+    share = ((F.coalesce("near", "n") - F.col("n")) / (F.col("true") - F.col("n"))).alias("share")
+    mean = true.join(own, "node").join(near, "node", "left").where(F.col("true") > F.col("n")).select(share).agg(F.avg("share")).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95,
@@ -140,15 +219,30 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     nodes = staged.put(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "v", "n"), "nodes")
     codes = staged.put(quantised(nodes, unit=True), "codes")
     lists = None
+
+    def joined_by(found: DataFrame, some: DataFrame) -> DataFrame:
+        bridges = _bridges(some, codes, nodes, found, threshold, staged)
+        if bridges is None:
+            return found
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return staged.put(components(stars.unionByName(bridges), staged), "found")
+
     for number in range(PASSES):
         lists = build(codes, k, ROUNDS, staged, TREES, SEED + number, lists)
         places = _near_places(lists, threshold)
-        for more in _enlarged(codes, lists, k, threshold, staged):
+        longer, rest = _enlarged(codes, lists, k, threshold, staged)
+        for more in longer:
             places = places.unionByName(_near_places(more, threshold))
         found = staged.put(components(_links(places, nodes, threshold), staged), "found")
+        found = joined_by(found, rest)
         near = staged.put(_counted(nodes, found, threshold), "near")
         if _audited(nodes, near, threshold) >= WANTED:
             break
+        k *= 2
+    else:
+        # The graph does not do: every pair of nodes is compared, but for cells that are too far apart.
+        found = joined_by(found, nodes.select("id"))
+        near = staged.put(_counted(nodes, found, threshold), "near")
     classes = (nodes.join(found, F.col("id") == F.col("node"), "left").drop("node")
                .join(near, F.col("id") == F.col("node"), "left")
                .select(F.col("v").alias("of"), F.coalesce("component", "id").alias("component_id"),

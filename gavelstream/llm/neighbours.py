@@ -135,8 +135,8 @@ def _fit_trees(codes: DataFrame, rows: int, seed: int, trees: int) -> Trees:
     return Trees(sample, LEAF * len(sample) / rows, trees, seed)
 
 
-def _from_leaves(codes: DataFrame, trees: Trees, rows: int, k: int, seed: int) -> DataFrame:
-    """``id``, ``nbr``, ``dist`` of the ``k`` nearest of each row within each of its leaves."""
+def _placed(codes: DataFrame, trees: Trees) -> DataFrame:
+    """The codes with a ``leaf`` of each tree, a row for each."""
     shared = codes.sparkSession.sparkContext.broadcast(trees)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,17 @@ def _from_leaves(codes: DataFrame, trees: Trees, rows: int, k: int, seed: int) -
                 yield pa.RecordBatch.from_arrays([*[c.take(each) for c in batch.columns], pa.array(leaves.ravel())],
                                                  names=["id", "q", "scale", "leaf"])
 
-    placed = codes.mapInArrow(assign, "id bigint, q binary, scale float, leaf bigint")
+    return codes.mapInArrow(assign, "id bigint, q binary, scale float, leaf bigint")
+
+
+def leaf_of(codes: DataFrame, rows: int, seed: int = SEED) -> DataFrame:
+    """``id`` and its ``leaf`` in one tree: what lies near each other mostly has the same."""
+    return _placed(codes, _fit_trees(codes, rows, seed, 1)).select("id", "leaf")
+
+
+def _from_leaves(codes: DataFrame, trees: Trees, rows: int, k: int, seed: int) -> DataFrame:
+    """``id``, ``nbr``, ``dist`` of the ``k`` nearest of each row within each of its leaves."""
+    placed = _placed(codes, trees)
     # Leaves may be larger than fitted: cut them, so that no group grows with the data.
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).alias("cuts"))
     cut = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("cuts"))

@@ -112,3 +112,25 @@ def test_components(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint"), Staged(spark, "t")).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {7: 7, 200: 7, 201: 7, 9: 7} | {i: 300 for i in range(300, 400)}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), Staged(spark, "t")).count() == 0
+
+
+def test_embedding_dedup_links_dense_groups(vectors):
+    # Two groups of 200, cosine above 0.998 inside and about 0.96 between: no list reaches the other group.
+    rng = np.random.default_rng(7)
+    one, other = np.linalg.qr(rng.normal(size=(48, 2)))[0].T
+    x = np.repeat([one, 0.962 * one + np.sqrt(1 - 0.962 ** 2) * other], 200, axis=0) + 0.0045 * rng.normal(size=(400, 48))
+    x = x.astype(np.float32).astype(np.float64)
+    n, label = slow_dedup(x, 0.95)
+    assert n.min() > 300 and set(label) == {0}
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors([(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert [found[i].n_links for i in range(400)] == n.tolist()
+    assert [found[i].component_id for i in range(400)] == label.tolist() and sum(r.kept for r in found.values()) == 1
+
+
+def test_embedding_dedup_without_a_graph(vectors, monkeypatch):
+    # Where the graph finds nothing, the cells alone have to.
+    monkeypatch.setattr(embedding_dedup, "_near_places", lambda lists, threshold: embedding_dedup.edges(lists).where("false"))
+    x = clustered(3)
+    n, label = slow_dedup(x, 0.95)
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors([(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert [found[i].n_links for i in range(len(x))] == n.tolist() and [found[i].component_id for i in range(len(x))] == label.tolist()
