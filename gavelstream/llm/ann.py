@@ -2,8 +2,9 @@
 
 A query starts at its own node and at the nearest of a few entry nodes. Each step looks at the
 neighbours of all nodes in its beam that were not looked at yet and keeps the nearest; it ends
-when the whole beam was. All queries step together, in joins with the graph. What the beam holds
-is scored exactly on the original vectors.
+when the whole beam was. All queries step together, in joins with the graph. Graph and beam are
+ordered by the unrounded components, so that very near copies are told apart; what the beam holds
+is scored in double precision.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staged
-from .neighbours import SEED, build, edges, packed, quantised, restored, squared, usable
+from .neighbours import SEED, build, edges, packed, restored, squared, usable, whole
 
 K, ROUNDS = 24, 5
 BEAM = 160
@@ -32,8 +33,8 @@ def _distances(rows: DataFrame, codes: DataFrame, asked: DataFrame) -> DataFrame
         for batch in batches:
             if batch.num_rows:
                 apart = restored(batch.column(2), batch.column(3)) - restored(batch.column(4), batch.column(5))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.einsum("ij,ij->i", apart, apart))],
-                                                 names=["query", "node", "dist"])
+                dist = np.einsum("ij,ij->i", apart, apart).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dist)], names=["query", "node", "dist"])
 
     full = rows.join(there, "node").join(here, "query").select("query", "node", "q", "scale", "qq", "qscale")
     return full.mapInArrow(measure, "query bigint, node bigint, dist float")
@@ -112,7 +113,7 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
     # A class holds the ids of equal vectors; of many only the smallest can be among the nearest.
     by_vector = Window.partitionBy("v").orderBy("id")
     nodes = staged.put(rows.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "nodes")
-    codes = staged.put(quantised(nodes, unit=False), "codes")
+    codes = staged.put(whole(nodes), "codes")
     lists = build(codes, k, ROUNDS, staged)
     members = (rows.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= top + 1)
                .join(nodes.withColumnRenamed("id", "node"), "v").select("node", F.col("id").alias("vec_id")))
@@ -121,9 +122,7 @@ def nearest(df: DataFrame, is_query: Column, id: str = "vec_id", vector: str = "
     asked = codes.join(queries.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     asked = staged.put(asked, "asked")
     held = search(codes, lists, asked, staged, beam)
-    # Bytes order nearly as the vectors do: of the beam, some more than wanted are scored.
-    few = held.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("dist", "node"))).where(F.col("n") <= 4 * top + 8)
-    scored = euclidean(few.select("query", "node").join(nodes.select(F.col("id").alias("node"), F.col("v").alias("there")), "node")
+    scored = euclidean(held.select("query", "node").join(nodes.select(F.col("id").alias("node"), F.col("v").alias("there")), "node")
                        .join(nodes.select(F.col("id").alias("query"), F.col("v").alias("here")), "query"), "here", "there")
     order = Window.partitionBy("query").orderBy("score", "vec_id")
     best = (scored.join(members, "node").withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1)

@@ -4,8 +4,9 @@ Every vector starts with the nearest ones of its leaves in a few random projecti
 round then brings together, at every node, its neighbours and those it is a neighbour of, and
 compares them with each other: neighbours of neighbours are likely to be neighbours. Pairs with
 at least one side new in a list are compared, once; a pair that improves neither list is dropped
-where it was compared. Vectors travel as one byte per component and a scale, which orders well
-enough; whoever reads the graph scores exactly on the original vectors.
+where it was compared. Vectors travel as codes: one byte per component and a scale, which orders all
+but very near copies, or the components as they are, which orders those too; whoever reads the graph
+scores exactly on the original vectors.
 
 A node with many reverse neighbours is cut into groups of bounded size, dealt anew each round.
 """
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import Staged, quoted
 
@@ -66,7 +68,15 @@ def quantised(vectors: DataFrame, unit: bool) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(make, "id bigint, q binary, scale float")
 
 
+def whole(vectors: DataFrame) -> DataFrame:
+    """``id``, ``q`` and ``scale`` like ``quantised``, but ``q`` holds the components unrounded."""
+    return vectors.select("id", F.col("v").alias("q"), F.lit(1.0).cast("float").alias("scale"))
+
+
 def restored(q: pa.Array, scale: pa.Array) -> np.ndarray:
+    """The vectors of codes: float32 of bytes, double precision of what ``whole`` made."""
+    if pa.types.is_list(q.type):
+        return packed(q).astype(np.float64, copy=False)
     data = np.frombuffer(b"".join(q.to_pylist()), np.int8)
     return data.reshape(len(q), -1).astype(np.float32) * scale.to_numpy()[:, None]
 
@@ -127,8 +137,8 @@ class Trees:
 
 def _fit_trees(codes: DataFrame, rows: int, seed: int, trees: int) -> Trees:
     """On a bounded sample: the rows of smallest digest, at most ``SAMPLE_ROWS`` and ``SAMPLE_BYTES``."""
-    one = codes.select(F.octet_length("q")).first()
-    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * one[0])))
+    each = 4 * F.octet_length("q") if codes.schema["q"].dataType == BinaryType() else 8 * F.size("q")
+    most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // codes.select(each).first()[0]))
     part = codes.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < (1 << 20) * min(1.0, 1.2 * most / rows)).limit(most)
     got = part.toArrow()
     sample = restored(got.column("q").combine_chunks(), got.column("scale").combine_chunks())
@@ -148,7 +158,7 @@ def _placed(codes: DataFrame, trees: Trees) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[c.take(each) for c in batch.columns], pa.array(leaves.ravel())],
                                                  names=["id", "q", "scale", "leaf"])
 
-    return codes.mapInArrow(assign, "id bigint, q binary, scale float, leaf bigint")
+    return codes.mapInArrow(assign, StructType([*codes.schema.fields, StructField("leaf", LongType())]))
 
 
 def leaf_of(codes: DataFrame, rows: int, seed: int = SEED) -> DataFrame:

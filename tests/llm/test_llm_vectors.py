@@ -134,3 +134,22 @@ def test_embedding_dedup_without_a_graph(vectors, monkeypatch):
     n, label = slow_dedup(x, 0.95)
     found = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors([(i, v.tolist()) for i, v in enumerate(x)])).collect()}
     assert [found[i].n_links for i in range(len(x))] == n.tolist() and [found[i].component_id for i in range(len(x))] == label.tolist()
+
+
+@pytest.mark.parametrize("noise", [2.5e-2, 1e-2, 4e-3])
+def test_nearest_recall_among_very_near_copies(vectors, noise):
+    # 3000 copies at cosine about 0.9994, 0.9999 and 0.99998, a third of the rows with 6000 others.
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 64))
+    x[:3000] = x[0] + noise * rng.normal(size=(3000, 64))
+    x = x.astype(np.float32).astype(np.float64)
+    got = {}
+    for r in ann.nearest(vectors([(i, v.tolist()) for i, v in enumerate(x)]), (F.col("id") % 50 == 0) & (F.col("id") < 3000)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    share = []
+    for q in range(0, 3000, 50):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        share.append(len(got[q] & set(np.argsort(d)[:10].tolist())) / 10)
+    print("recall", noise, np.mean(share))
+    assert np.mean(share) >= 0.9
