@@ -36,8 +36,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
-    return simhash.first_of_each(docs).select(*docs.columns)
+    """One document of each group of near duplicates stays, that of the smallest id.
+
+    Near duplicates share shingles of five words at a similarity of 0.8 or more.
+    """
+    return simhash.first_of_similar(docs).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

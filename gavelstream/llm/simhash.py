@@ -15,7 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -27,8 +27,8 @@ SHINGLES_AT_ONCE = 65_280
 TILE, BLOCK = 4096, 512
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Signed 64-bit fingerprint; zero for a text without words."""
+def fingerprint(text: str | None, shingle: int = 4, seen: list[np.ndarray] | None = None) -> int:
+    """Signed 64-bit fingerprint; zero for a text without words. The shingles' digests are added to ``seen``."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
@@ -42,6 +42,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     for k in range(0, n, SHINGLES_AT_ONCE):
         spans = map(slice, starts[k:min(n, k + SHINGLES_AT_ONCE)].tolist(), ends[k:k + SHINGLES_AT_ONCE].tolist())
         digests = b"".join(map(xxh64_digest, map(joined.__getitem__, spans), repeat(SEED)))
+        if seen is not None:
+            seen.append(np.unique(np.frombuffer(digests, np.int64)))
         bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, BITS)
         # At most 255 rows to a sum, so that bytes hold it.
         ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
@@ -106,20 +108,17 @@ def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.nd
     return forest.root
 
 
-def links(prints: DataFrame, radius: int, staged: Staged, tile: int = TILE) -> DataFrame:
-    """Links ``a``, ``b`` that connect all distinct ``fingerprint`` values within ``radius`` bits.
-
-    All pairs within the radius are compared, none is left out; the links keep their components.
-    """
+def _tile_pairs(prints: DataFrame, radius: int, staged: Staged, tile: int, item: str | Column) -> DataFrame:
+    """``same`` and the lists of ``item`` of all pairs of tiles that can hold fingerprints within the radius."""
     halves = staged.put(prints.select(
-        "fingerprint", F.bit_count(F.shiftrightunsigned("fingerprint", 32)).cast("int").alias("hi"),
+        "*", F.bit_count(F.shiftrightunsigned("fingerprint", 32)).cast("int").alias("hi"),
         F.bit_count(F.col("fingerprint").bitwiseAND(0xFFFFFFFF)).cast("int").alias("lo")), "halves")
     # At most 33 x 33 cells.
     sizes = halves.groupBy("hi", "lo").agg(F.ceil(F.count(F.lit(1)) / tile).alias("chunks"))
     tiles = staged.put(
         halves.join(F.broadcast(sizes), ["hi", "lo"])
         .withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
-        .groupBy("hi", "lo", "chunk").agg(F.collect_list("fingerprint").alias("prints"))
+        .groupBy("hi", "lo", "chunk").agg(F.collect_list(item).alias("prints"))
         .withColumn("tile", F.struct("hi", "lo", "chunk")), "tiles")
     steps = [(h, l) for h in range(radius + 1) for l in range(-radius, radius + 1)
              if h + abs(l) <= radius and (h, l) >= (0, 0)]
@@ -129,9 +128,17 @@ def links(prints: DataFrame, radius: int, staged: Staged, tile: int = TILE) -> D
     pairs = near.join(tiles.select("hi", "lo", F.col("tile").alias("other")), ["hi", "lo"]).where("one <= other")
     content = tiles.select("tile", "prints")
     left = pairs.select("one", "other").join(content.toDF("one", "one_prints"), "one")
-    both = (left.repartition(partitions(staged.spark), "other").join(content.toDF("other", "other_prints"), "other")
+    return (left.repartition(partitions(staged.spark), "other").join(content.toDF("other", "other_prints"), "other")
             .select((F.col("one") == F.col("other")).alias("same"), "one_prints", "other_prints"))
 
+
+def links(prints: DataFrame, radius: int, staged: Staged, tile: int = TILE) -> DataFrame:
+    """Links ``a``, ``b`` that connect all distinct ``fingerprint`` values within ``radius`` bits.
+
+    All pairs within the radius are compared, none is left out; the links keep their components.
+    """
+    both = _tile_pairs(prints.select("fingerprint"), radius, staged, tile, "fingerprint")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -185,6 +192,86 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
         *map(quoted, kept), as_hex(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def _candidates(sets: DataFrame, radius: int, similarity: float, staged: Staged) -> DataFrame:
+    """All pairs ``a``, ``b`` of sets within ``radius`` bits whose labels differ and whose sizes allow the similarity."""
+    both = _tile_pairs(sets, radius, staged, TILE, F.struct("fingerprint", "set", "label", "n"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same = batch.column(0)[k].as_py()
+                (p, s, l, n), (q, t, m, o) = ([c[k].values.field(f).to_numpy() for f in range(4)] for c in batch.columns[1:])
+                for x in range(0, len(p), BLOCK):
+                    a = slice(x, x + BLOCK)
+                    near = np.bitwise_count(p[a].view(np.uint64)[:, None] ^ q.view(np.uint64)[None, :]) <= radius
+                    i, j = np.nonzero(near)
+                    i += x
+                    ok = (l[i] != m[j]) & (np.minimum(n[i], o[j]) >= similarity * np.maximum(n[i], o[j]) - 1e-9)
+                    ok &= (s[i] < t[j]) | (not same)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(s[i[ok]]), pa.array(t[j[ok]])], names=["a", "b"])
+
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity, counted exactly."""
+    full = (pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("one")), "a")
+            .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "one", "other"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, other = np.frombuffer(one, np.int64), np.frombuffer(other, np.int64)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(common >= similarity * (len(one) + len(other) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return full.mapInArrow(check, "a bigint, b bigint")
+
+
+def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5,
+                     similarity: float = 0.8, radius: int = 16) -> DataFrame:
+    """One row of each group of texts linked by shingle sets of at least this Jaccard similarity: that of the smallest id.
+
+    Candidates are pairs within ``radius`` bits; each link is confirmed on the sets. What few bits
+    and confirmed links join first is not compared again, so a group of near copies costs few rows.
+    Otherwise like ``first_of_each``.
+    """
+    staged = Staged(df.sparkSession, "similar")
+    narrow = df.select(quoted(id).cast("bigint").alias("id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("digest"))
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        prints, sets, sizes, shingles = [], [], [], []
+        for t in texts.to_pylist():
+            seen = []
+            prints.append(fingerprint(t, shingle, seen))
+            own = np.unique(np.concatenate(seen)) if seen else np.array([], np.int64)
+            shingles.append(own.tobytes())
+            sets.append(int.from_bytes(xxh64_digest(shingles[-1], SEED), "big", signed=True))
+            sizes.append(len(own))
+        return [pa.array(prints, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shingles, pa.binary())]
+
+    rows = staged.put(add_columns(narrow, ["text"], "fingerprint bigint, set bigint, n bigint, shingles binary", make)
+                      .drop("text"), "rows")
+    sets = rows.groupBy("set").agg(*[F.first(c).alias(c) for c in ("fingerprint", "n", "shingles")])
+    sets = staged.put(sets, "sets")
+    least = sets.groupBy("fingerprint").agg(F.min("set").alias("least"))
+    few = links(sets.select("fingerprint").distinct(), min(4, radius), staged)
+    close = (few.join(least.toDF("a", "one"), "a").join(least.toDF("b", "other"), "b").select(F.col("one").alias("a"), F.col("other").alias("b"))
+             .unionByName(sets.join(least, "fingerprint").where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b"))))
+    early = staged.put(components(_confirmed(close, sets, similarity), staged), "early")
+    labelled = sets.join(early, F.col("set") == F.col("node"), "left").select(
+        "set", "fingerprint", "n", F.coalesce("component", "set").alias("label"))
+    more = staged.put(_candidates(labelled, radius, similarity, staged), "candidates")
+    stars = early.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components(stars.unionByName(_confirmed(more, sets, similarity)), staged)
+    roots = rows.select("id", "digest", "set").join(found, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("component", "set"))
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "digest")
+    return _kept(df, roots.groupBy("root").agg(F.min(order).alias("best")), id, text)
+
+
 def first_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id. Columns as in ``df``.
 
@@ -195,6 +282,11 @@ def first_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", shingle
     order = F.struct(F.col("id").isNull().alias("n"), "id", "digest")
     best = (prints.groupBy("print").agg(F.min(order).alias("best"))
             .join(roots, F.col("print") == F.col("of")).groupBy("root").agg(F.min("best").alias("best")))
+    return _kept(df, best, id, text)
+
+
+def _kept(df: DataFrame, best: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of ``df`` whose id and digest of text are a ``best``."""
     name = F.concat_ws(":", F.coalesce(F.col("best.id").cast("string"), F.lit("none")), F.hex("best.digest"))
     own = F.concat_ws(":", F.coalesce(quoted(id).cast("bigint").cast("string"), F.lit("none")), F.hex(F.xxhash64(quoted(text))))
     rows = df.withColumn("\x01key", own).join(best.select(name.alias("\x01key")), "\x01key", "left_semi")

@@ -331,3 +331,36 @@ def test_pipeline(spark, reference):
     assert sorted(by_print) == sorted(firsts.values()) and set(last) <= set(by_print)
     for r in corpus_pipeline.run(spark, SF_DIR).collect():
         assert r.exact and np.frombuffer(r.ids, "<u4").tolist() == reference.encode_ordinary(last[r.doc_id])
+
+
+def test_similar_keeps_one_of_planted_copies(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], 0
+    for changes in (1, 2, 4, 6, 8, 9, 12, 14) * 12:  # of 500 words: similarity about 0.98 to 0.75
+        words = rng.choices(vocabulary, k=500)
+        copy = list(words)
+        for at in rng.sample(range(0, 500, 12), changes):
+            copy[at] = "x" + copy[at]
+        rows += [(2 * pairs, " ".join(words)), (2 * pairs + 1, " ".join(copy))]
+        pairs += 1
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: grams(t) for i, t in rows}
+    alike = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(pairs)]
+    kept = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    assert {2 * k for k in range(pairs)} <= kept
+    assert all(2 * k + 1 in kept for k in range(pairs) if alike[k] < 0.8) and min(alike) < 0.8
+    near = [k for k in range(pairs) if alike[k] >= 0.8]
+    lost = [alike[k] for k in near if 2 * k + 1 in kept]
+    print("recall", 1 - len(lost) / len(near), "of", len(near), "missed", lost)
+    assert len(lost) <= 0.05 * len(near)
+
+
+def test_similar_odd_rows(docs):
+    kept = simhash.first_of_similar(docs(*ODD, (8, LONG)))
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [(1, 0), (3, 3), (4, 11), (5, len(LONG)), (6, 4)]
+    assert kept.columns == docs().columns and simhash.first_of_similar(docs()).count() == 0
