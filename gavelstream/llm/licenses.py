@@ -1,9 +1,9 @@
 """License notices in texts, told apart by conditional compression.
 
 Sentences with a cue word are candidate blocks. Each is compressed plainly and with every
-template as a raw zstandard dictionary; the template that saves the largest share of the bytes
-is the candidate's winner. It counts only if its wording is confirmed: the words of the template
-must stand in the block in order, but for a stated share, and the differences are returned.
+template as a raw zstandard dictionary. A template counts only if its wording is confirmed: its
+words must stand in the block in order, but for a stated share. Of those confirmed the one with
+the fewest differences wins, then the one that saves the most bytes; the differences are returned.
 """
 
 from __future__ import annotations
@@ -72,13 +72,17 @@ class Scanner:
     def _words(text: str) -> list[str]:
         return [w.lower() for w in _WORD.findall(text)]
 
-    def winner(self, block: str) -> tuple[str, float]:
-        """The template that saves most, and the share it saves; of equal ones the first by name."""
+    def saved(self, block: str) -> list[tuple[str, float]]:
+        """The templates and the share of bytes each saves, the most first; of equal ones the first by name."""
         data = block.encode()
         alone = len(self.plain.compress(data))
         sizes = {name: len(packer.compress(data)) for name, (_, packer) in self.templates.items()}
-        best = min(sizes, key=sizes.get)
-        return best, 1 - sizes[best] / alone
+        return [(name, 1 - sizes[name] / alone) for name in sorted(sizes, key=sizes.get)]
+
+    def winner(self, block: str) -> tuple[str, float, list[str], list[str]] | None:
+        """Of the templates that the block confirms the one of fewest differences, then of most bytes saved."""
+        told = [(name, share, *found) for name, share in self.saved(block) if (found := self.confirm(name, block)) is not None]
+        return min(told, key=lambda t: len(t[2]) + len(t[3]), default=None)
 
     def confirm(self, name: str, block: str) -> tuple[list[str], list[str]] | None:
         """Template words that are missing and words that stand between, or None if too many."""
@@ -95,10 +99,9 @@ class Scanner:
     def scan(self, text: str | None) -> Iterator[tuple]:
         for start, end in blocks(text or ""):
             block = text[start:end]
-            name, saved = self.winner(block)
-            told = self.confirm(name, block)
+            told = self.winner(block)
             if told is not None:
-                missing, extra = told
+                name, saved, missing, extra = told
                 yield (start, end, name, round(saved, 6), len(missing), len(extra), not missing and not extra,
                        " ".join(missing), " ".join(extra))
 

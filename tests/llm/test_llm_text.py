@@ -364,3 +364,13 @@ def test_similar_odd_rows(docs):
     kept = simhash.first_of_similar(docs(*ODD, (8, LONG)))
     assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [(1, 0), (3, 3), (4, 11), (5, len(LONG)), (6, 4)]
     assert kept.columns == docs().columns and simhash.first_of_similar(docs()).count() == 0
+
+
+def test_licenses_told_among_like_notices(docs):
+    # Words that licenses share make another template compress these best.
+    said = {1: ("This work is licensed under the MIT License.", "MIT"), 2: ("This work is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+            3: ("This Source Code Form is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+            4: ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+            5: ("This source code is licensed under the MIT License found in the root directory.", "MIT")}
+    found = {r.doc_id: r.license for r in licenses.scan(docs(*[(i, t) for i, (t, _) in said.items()])).collect()}
+    assert found == {i: name for i, (_, name) in said.items()}
