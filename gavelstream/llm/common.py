@@ -26,6 +26,12 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, every other character as it is. Texts of ASCII alone take the quick way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
 def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str,
                 function: Callable[..., Sequence[pa.Array]], keep: Sequence[str] | None = None) -> DataFrame:
     """Append columns that ``function`` makes from whole Arrow arrays of the input columns.
