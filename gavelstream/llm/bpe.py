@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from .common import add_columns
 
-# Bounds of what a worker remembers; beyond them it forgets and makes the entries anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 400_000, 600_000
+# Bytes that a worker remembers at most, as estimated below, beside the ranks and two small facts on each of them: pieces (two
+# generations), pairs of tokens, states with their moves. Beyond a bound it forgets and makes the entries anew.
+PIECES_BYTES, PAIRS_BYTES, STATES_BYTES = 40_000_000, 32_000_000, 12_000_000
+PIECE, PAIR, STATE, MOVE = 220, 130, 500, 260  # about what an entry takes, a piece besides its own bytes
 REMEMBERED_LENGTH = 48
 DECODE_TOKENS = 8192
 NO_RANK = 1 << 40
@@ -55,6 +57,7 @@ class Transducer:
         self._numbers: dict[bytes, int] = {b"": 0}
         self._states: list[bytes] = [b""]
         self._moves: list[dict[int, tuple[int, list[tuple[int, int]]]]] = [{}]
+        self._held = 0
 
     def merges(self, piece: bytes) -> Iterator[list[bytes]]:
         """Plain merging by rank, for the few bytes of one or two tokens: the parts after each step."""
@@ -96,7 +99,7 @@ class Transducer:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether BPE can put ``right`` behind ``left``."""
-        if len(self._pairs) >= MAX_PAIRS:
+        if len(self._pairs) * PAIR >= PAIRS_BYTES:
             self._pairs.clear()
         found = self._pairs[left, right] = (
             self._apart(left, right) or self.merged(self.token[left] + self.token[right]) == [left, right])
@@ -112,12 +115,14 @@ class Transducer:
         if number == len(self._states):
             self._states.append(state)
             self._moves.append({})
+            self._held += STATE
+        self._held += MOVE
         self._moves[at][byte] = number, ending
         return number, ending
 
     def run(self, piece: bytes) -> Iterator[int]:
         """The tokens of a piece, each soon after it is certain."""
-        if len(self._states) > MAX_STATES:
+        if self._held > STATES_BYTES:
             self._forget()
         moves, pairs = self._moves, self._pairs
         # last[i] ends the prefix of length start + i + 1; what ends at or before ``sent`` is emitted.
@@ -170,12 +175,16 @@ class Tokenizer:
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._held = 0
 
     def _new_piece(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        """Ids of a piece that the young generation lacks; what is met again moves there from the older one."""
+        ids = self._older.get(piece) or np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= REMEMBERED_LENGTH:
-            if len(self._pieces) >= MAX_PIECES:
-                self._pieces.clear()
+            self._held += PIECE + 2 * len(piece) + len(ids)
+            if self._held > PIECES_BYTES:
+                self._older, self._pieces, self._held = self._pieces, {}, 0
             self._pieces[piece] = ids
         return ids
 
@@ -187,9 +196,6 @@ class Tokenizer:
             packed = [ids or self._new_piece(piece) for ids, piece in zip(packed, pieces, strict=True)]
         return b"".join(packed)
 
-    def decode(self, packed: bytes) -> str:
-        return "".join(decoded(packed, self.transducer.token))
-
 
 class Utf8Machine:
     """Incremental UTF-8: its state is the bytes of an unfinished character, three at most."""
@@ -227,11 +233,17 @@ def decoded(packed: bytes, token: dict[int, bytes]) -> Iterator[str]:
     yield machine.finish()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(file: str, pattern: str) -> Tokenizer:
     return Tokenizer(read_ranks(SparkFiles.get(file)), pattern)
 
 
+@lru_cache(maxsize=1)
+def _tokens(file: str) -> dict[int, bytes]:
+    """What decoding needs: the bytes of each rank, no transducer."""
+    return {rank: token for token, rank in read_ranks(SparkFiles.get(file)).items()}
+
+
 def _shared(df: DataFrame, ranks_path: str) -> str:
     """Give every executor the rank file; returns its name there."""
     df.sparkSession.sparkContext.addFile(ranks_path)
@@ -253,12 +265,26 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     return add_columns(df, [text], f"`{ids}` binary", make)
 
 
-def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add ``text`` from packed ids; null ids give an empty text, unknown ids nothing."""
+def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add ``text`` from packed ids; null ids give an empty text, unknown ids nothing. A column of that name is replaced."""
     file = _shared(df, ranks_path)
 
     def make(packed: pa.Array) -> list[pa.Array]:
-        token = _tokenizer(file, pattern).transducer.token
+        token = _tokens(file)
         return [pa.array(["".join(decoded(p or b"", token)) for p in packed.to_pylist()], pa.string())]
 
     return add_columns(df, [ids], f"`{text}` string", make)
+
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
+                      again: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one worker, which holds the ranks once."""
+    file = _shared(df, ranks_path)
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        tokenizer = _tokenizer(file, pattern)
+        packed = [tokenizer.encode(t or "") for t in texts.to_pylist()]
+        token = tokenizer.transducer.token
+        return [pa.array(packed, pa.binary()), pa.array(["".join(decoded(p, token)) for p in packed], pa.string())]
+
+    return add_columns(df, [text], f"`{ids}` binary, `{again}` string", make)

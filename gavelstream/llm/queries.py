@@ -43,8 +43,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(documents, ranks, pattern).select("doc_id", "ids")
-    return bpe.decode(encoded, ranks, pattern).select(
+    return bpe.encode_and_decode(documents, ranks, pattern).select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

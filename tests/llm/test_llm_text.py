@@ -199,18 +199,30 @@ def test_bpe_random_and_long_pieces(reference, monkeypatch):
     for window in (bpe.WINDOW, 200):
         monkeypatch.setattr(bpe, "WINDOW", window)
         own._pieces.clear()
+        own._older.clear()
         for t in texts:
             packed = own.encode(t)
             assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(t)
-            assert own.decode(packed) == t
+            assert "".join(bpe.decoded(packed, own.transducer.token)) == t
 
 
 def test_bpe_odd_rows(docs):
-    rows = bpe.decode(bpe.encode(docs(*ODD), RANKS, PATTERN), RANKS, PATTERN).collect()
-    assert len(rows) == len(ODD) and all(r.decoded == (r.text or "") for r in rows)
+    for again in (bpe.decode(bpe.encode(docs(*ODD), RANKS, PATTERN), RANKS), bpe.encode_and_decode(docs(*ODD), RANKS, PATTERN)):
+        rows = again.collect()
+        assert len(rows) == len(ODD) and all(r.decoded == (r.text or "") for r in rows)
     assert bpe.encode(docs(), RANKS, PATTERN).count() == 0
 
 
+def test_bpe_forgets_within_its_bounds(reference, monkeypatch):
+    for bound in ("PIECES_BYTES", "PAIRS_BYTES", "STATES_BYTES"):
+        monkeypatch.setattr(bpe, bound, 3000)
+    own, rng = bpe.Tokenizer(bpe.read_ranks(RANKS), PATTERN), random.Random(4)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(8))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
+        assert len(own._pieces) + len(own._older) < 40 and len(own.transducer._pairs) < 40
+
+
 def test_utf8_machine_equals_whole_decoding():
     rng = random.Random(3)
     for _ in range(500):
