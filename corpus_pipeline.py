@@ -51,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document, and whether decoding them gives the text again."""
     ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    packed = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    packed = bpe.encode_and_decode(docs, ranks, pattern)
     return packed.select("doc_id", "lang", "source", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"),
                          "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
