@@ -125,6 +125,10 @@ IN_AUCTION = """inside AS (
                 AND b.date_time BETWEEN a.date_time AND a.expires))"""
 
 
+BID_AUCTION_PAIRS = """SELECT b.auction, b.price, b.date_time, a.category FROM bid b JOIN auction a ON a.id = b.auction
+  WHERE b.date_time BETWEEN a.date_time AND a.expires"""
+
+
 def _paired(name: str, where: str = "true", auction: str = "auction", bid: str = "bid") -> str:
     """Closing prices the plain way: every bid with every open auction of its id."""
     return f"""{name} AS (
@@ -366,7 +370,8 @@ def oracle() -> dict[str, str]:
         "q1_currency_conversion": _with(b) + Q1,
         "q2_selection": _with(b) + Q2,
         "q3_local_item_suggestion": _with(p, a) + Q3,
-        "q4_bid_in_auction": _with(a, b, IN_AUCTION) + "SELECT * FROM inside",
+        "q4_bid_in_auction": _with(a, b) + BID_AUCTION_PAIRS,
+        "q4_bid_in_open_category": _with(a, b, IN_AUCTION) + "SELECT * FROM inside",
         "q4_closing_price": _with(a, b, CLOSING) + "SELECT * FROM closing",
         "q4_category_avg": _with(a, b, CLOSING) + _average("closing"),
         "q4_category_avg_second_grain": _with(
@@ -463,11 +468,10 @@ def oracle() -> dict[str, str]:
         "stream_q1_currency_conversion": _with(b) + Q1,
         "stream_q2_selection": _with(b) + Q2,
         "stream_q3_local_item_suggestion": _with(p, a) + Q3,
-        "stream_q4_bid_in_auction": _with(a, b, IN_AUCTION) + """SELECT * FROM inside
-            WHERE date_time < (SELECT least(max(b.date_time), (SELECT max(date_time) FROM auction)) FROM bid b)
-                              - INTERVAL 5 SECOND""",
+        "stream_q4_bid_in_auction": _with(a, b) + BID_AUCTION_PAIRS,
         "stream_q4_closing_price": _with(a, b, CLOSING) + "SELECT * FROM closing",
         "stream_q4_category_avg": _with(a, b, CLOSING) + _average("closing"),
+        "stream_q4_late_bids": _with(a, b, CLOSING) + _average("closing"),
         "stream_q4_lagging_auctions": _with(a, b, CLOSING) + _average("closing"),
         "stream_q4_changelog": _with(a, b, CLOSING) + _average("closing"),
         "stream_window_udaf": _with(b) + _closed(SPREAD),

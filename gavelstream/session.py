@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 # A broadcast side must hold no more rows and no more bytes than this, as counted while it is written.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64_000_000
 
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A commit writes what changed, not a snapshot.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-}
+} | STATE_STORE
 
 _local_dirs: dict[str, str] = {}
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
@@ -37,6 +42,12 @@ def build_session(app: str = "gavelstream", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """What keyed state with lists and timers needs, for a session that was built elsewhere."""
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -69,7 +69,7 @@ def json_files(spark: SparkSession, entity: str, path: str, *, streaming: bool =
 
 
 def parquet_files(spark: SparkSession, entity: str, path: str, *, streaming: bool = False,
-                  max_files: int | None = None) -> DataFrame:
+                  max_files: int | None = None, lateness: str | None = LATENESS) -> DataFrame:
     """Parquet with the entity's declared columns; filters and columns reach the scan."""
     schema = ENTITIES[entity]
     if not streaming:
@@ -77,7 +77,7 @@ def parquet_files(spark: SparkSession, entity: str, path: str, *, streaming: boo
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return as_stream(reader.parquet(path))
+    return as_stream(reader.parquet(path), lateness=lateness)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ..operators.aggregates import MergeableAggregate, finished, merged_states, partial_states, process_windows
+from ..operators.aggregates import MergeableAggregate
 from ..operators.joins import interval_join
-from ..operators.ranking import arg_max, best_with_ties, top_k_per_group
-from ..operators.windows import WINDOW, distinct_per_window, tumble, window_bounds, window_count
+from ..operators.ranking import arg_max
+from ..operators.windows import WINDOW, distinct_per_window, hop, tumble, window_bounds, window_count
 from ..plans import auctions as plan
 from ..session import new_path
-from ..sources.tables import zone_free
-from .carried import VERSION, ClosingWindows, Folded, upserts
-from .run import BATCH, start_batches, to_batches, to_files
+from .carried import VERSION, upserts
+from .keyed import Order, last_rows, window_process, window_states
+from .run import setting, start_batches, to_files
 
 
 def currency_conversion(bids: DataFrame, root: str | None = None) -> DataFrame:
@@ -49,73 +50,38 @@ def bid_counts(bids: DataFrame, root: str | None = None) -> DataFrame:
     return to_files(window_bounds(plan.bid_counts(bids)), "q5-counts", root)
 
 
-def _bounded(schema: StructType) -> StructType:
-    """The schema of a windowed frame once its window is flattened."""
-    fields = [f for f in schema.fields if f.name != WINDOW]
-    bounds = {f.name: f.dataType for f in schema[WINDOW].dataType.fields}
-    return StructType(fields).add("window_start", bounds["start"]).add("window_end", bounds["end"])
-
-
-def best_of_closed_windows(windowed: DataFrame, measure: str, name: str, root: str | None = None) -> DataFrame:
-    """Rows with the largest measure of each window, ties kept.
+def best_in_one_plan(windowed: Callable[[], DataFrame], measure: str) -> DataFrame:
+    """Rows with the largest measure of each window, ties kept, as one streaming plan.
 
-    In append mode all rows of a window leave the aggregation in the micro-batch that
-    closes it, so ranking the micro-batch ranks whole windows.
+    Rows of closed windows leave the first aggregation; a second takes their maximum, and a join of the two, on the window
+    and the measure, finds those that reach it. Nothing is gathered by window: state is one row per key and open window,
+    and one per window. ``windowed`` makes the aggregated stream anew, as each side of the join reads its own.
     """
-    def best(batch: DataFrame) -> DataFrame:
-        return window_bounds(best_with_ties(batch, [WINDOW], measure, from_scan=True))
-
-    return to_batches(windowed, best, _bounded(windowed.schema), name, root=root).drop(BATCH)
+    best = windowed().groupBy(WINDOW).agg(F.max(measure).alias("_best")).withColumnRenamed(WINDOW, "_window")
+    joined = windowed().join(best, (F.col(WINDOW) == F.col("_window")) & (F.col(measure) == F.col("_best")))
+    return window_bounds(joined.drop("_window", "_best"))
 
 
 def hot_items(bids: DataFrame, root: str | None = None) -> DataFrame:
     """q5 as a stream."""
-    return best_of_closed_windows(plan.bid_counts(bids), "bid_count", "q5", root)
-
+    return to_files(best_in_one_plan(lambda: plan.bid_counts(bids), "bid_count"), "q5", root)
 
-def best_per_window(rows: DataFrame, columns: str, measure: str, size: str, time: str = "date_time",
-                    root: str | None = None, lateness: str = "5 seconds") -> DataFrame:
-    """Distinct rows with the largest measure of each tumbling window, ties kept, emitted when it closes.
 
-    ``columns`` are the DDL of the rows wanted. State is the best rows so far of the open windows.
-    """
-    spark = rows.sparkSession
-    root = root or new_path(spark, "best")
-    schema = f"{columns}, window_start timestamp, window_end timestamp"
-    names = spark.createDataFrame([], schema).columns
-
-    def best(some: DataFrame) -> DataFrame:
-        return best_with_ties(some.select(*names), ["window_start", "window_end"], measure, from_scan=True).distinct()
-
-    states = ClosingWindows(spark, f"{root}/state", schema, schema, best, best, lambda done: done, time, lateness)
-    windowed = window_bounds(rows.select("*", tumble(time, size)))
-    start_batches(windowed, states.step, f"{root}/checkpoint").awaitTermination()
-    return zone_free(states.emitted())
+def highest_of_each(rows: DataFrame, keys: Sequence[str], measure: str, size: str, time: str = "date_time") -> DataFrame:
+    """The largest measure of each key and tumbling window. A row that is best in its window is its key's best."""
+    return rows.groupBy(*keys, tumble(time, size)).agg(F.max(measure).alias(measure))
 
 
 def highest_bid(bids: DataFrame, root: str | None = None) -> DataFrame:
     """q7 as a stream."""
-    return best_per_window(bids.select("auction", "bidder", "price", "date_time"),
-                           "auction bigint, bidder bigint, price bigint", "price", plan.SIZE, root=root)
-
+    best = best_in_one_plan(lambda: highest_of_each(bids, ["auction", "bidder"], "price", plan.SIZE), "price")
+    return to_files(best.select("auction", "bidder", "price", "window_start", "window_end"), "q7", root)
 
-def window_aggregate(rows: DataFrame, keys: str, function: MergeableAggregate, size: str, root: str | None = None) -> DataFrame:
-    """A user aggregate per key and tumbling window as a stream, emitted when the window closes.
 
-    ``keys`` are the DDL of the key columns. Rows become states in their micro-batch; states of
-    open windows are carried and merged, one per key and window.
-    """
-    spark = rows.sparkSession
-    root = root or new_path(spark, "udaf")
-    ddl = f"{keys}, window_start timestamp, window_end timestamp"
-    by = spark.createDataFrame([], ddl).columns
-    states = ClosingWindows(
-        spark, f"{root}/state", f"{ddl}, {function.state}", f"{ddl}, {function.result}",
-        lambda some: partial_states(some, by, function), lambda some: merged_states(some, by, function),
-        lambda done: finished(done, by, function))
+def window_aggregate(rows: DataFrame, keys: Sequence[str], function: MergeableAggregate, size: str, root: str | None = None) -> DataFrame:
+    """A user aggregate per key and tumbling window as a stream, emitted when the window closes."""
     windowed = window_bounds(rows.select("*", tumble("date_time", size)))
-    start_batches(windowed, states.step, f"{root}/checkpoint").awaitTermination()
-    return zone_free(states.emitted())
+    return to_files(window_states(windowed, keys, function), "udaf", root)
 
 
 def single_highest_bid(bids: DataFrame, root: str | None = None) -> DataFrame:
@@ -171,41 +137,30 @@ def auctions_after_registration(persons: DataFrame, auctions: DataFrame, root: s
     return to_files(joined.select("person_id", "name", "auction", "registered", "opened"), "interval-join", root)
 
 
-# --- last bids per bidder, and latest rows per key: carried tables that fold ---
-
-def last_rows_average(rows: DataFrame, key: str, order: list, value: str, columns: str, last: int,
-                      root: str | None = None) -> DataFrame:
-    """Average ``value`` of each key's ``last`` rows, kept current by upserts.
+# --- last bids per bidder, and latest rows per key: results that upserts keep current ---
 
-    A micro-batch is cut to ``last`` rows per key before the shuffle; these, and those carried for
-    the same keys, give the new average. ``columns`` are the DDL of the rows carried.
-    """
+def last_rows_average(rows: DataFrame, key: str, order: Order, value: str, last: int, root: str | None = None,
+                      ttl: str | None = None) -> DataFrame:
+    """Average ``value`` of each key's ``last`` rows, kept current by upserts; the rows are in Spark's state store."""
     spark = rows.sparkSession
     root = root or new_path(spark, "last-rows")
-
-    def newest(some: DataFrame) -> DataFrame:
-        return top_k_per_group(some, [key], order, last)
-
-    carried = Folded(spark, f"{root}/rows", columns, [key], newest)
-    names = carried._empty().columns
-    kind = carried._empty().schema[key].dataType.simpleString()
+    kind = rows.schema[key].dataType.simpleString()
     averages = upserts(spark, f"{root}/averages", f"{key} {kind}, avg_{value} double", [key])
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        own = carried.add(newest(batch.select(*names)), batch_id)
-        now = carried.read(batch_id, only=own.select(key).distinct())
-        averages.add(now.groupBy(key).agg(F.avg(value).alias(f"avg_{value}")).withColumn(VERSION, F.lit(batch_id).cast("bigint")),
-                     batch_id)
+        averages.add(batch.select(key, F.col("average").alias(f"avg_{value}"), F.lit(batch_id).cast("bigint").alias(VERSION)), batch_id)
 
-    start_batches(rows, step, f"{root}/checkpoint").awaitTermination()
+    # A time to live goes by the clock, so a run over what there is would go on for ever with micro-batches without data.
+    with setting(spark, "spark.sql.streaming.noDataMicroBatches.enabled", "true" if ttl is None else "false"):
+        query = start_batches(last_rows(rows, key, order, value, last, ttl), step, f"{root}/checkpoint", "update")
+    query.awaitTermination()
     return averages.read(averages.last()).drop(VERSION)
 
 
 def last_bids_average(bids: DataFrame, last: int = plan.LAST_BIDS, root: str | None = None) -> DataFrame:
     """q6 as an updating stream of (bidder, avg_price)."""
-    order = [F.desc("date_time"), F.asc("auction"), F.asc("price")]
-    return last_rows_average(bids, "bidder", order, "price",
-                             "bidder bigint, date_time timestamp, auction bigint, price bigint", last, root)
+    order = [("date_time", False), ("auction", True), ("price", True)]
+    return last_rows_average(bids.select("bidder", "date_time", "auction", "price"), "bidder", order, "price", last, root)
 
 
 def latest_bid_totals(bids: DataFrame, root: str | None = None) -> DataFrame:
@@ -235,7 +190,17 @@ def busy_levels(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
+def counted(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many rows a task read of each auction and window."""
+    return rows.groupby(["auction", "window_start", "window_end"], as_index=False, sort=False).agg(bids=("auction", "size"))
+
+
+def levels_of_window(key: tuple, start: pd.Timestamp, end: pd.Timestamp, elements: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A process function: the elements are partial counts of an auction's bids; a row for each level they reach together."""
+    total = sum(int(some["bids"].sum()) for some in elements)
+    yield busy_levels(pd.DataFrame({"auction": [key[0]], "bid_count": [total], "window_start": [start], "window_end": [end]}))
+
+
 def window_levels(bids: DataFrame, root: str | None = None) -> DataFrame:
-    counts = window_bounds(plan.bid_counts(bids))
-    plain = counts.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
-    return to_files(process_windows(plain, busy_levels, SHARE_SCHEMA), "window-levels", root)
+    windowed = window_bounds(bids.select("auction", hop("date_time", plan.SLIDE, plan.SIZE)))
+    return to_files(window_process(windowed, ["auction"], "bids bigint", levels_of_window, SHARE_SCHEMA, counted), "window-levels", root)

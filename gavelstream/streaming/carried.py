@@ -1,4 +1,4 @@
-"""What micro-batches carry in tables of the shared folder: keyed rows that merge, and windows until they close.
+"""An upsert sink: keyed tables of the shared folder to which micro-batches add rows that merge.
 
 Everything is written under the micro-batch number, so a repeated micro-batch writes the same
 folders again, and what only older micro-batches could read is deleted.
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..operators.changes import upsert_latest
 from ..session import remove
-from ..sources.tables import LATENESS
 from .run import BATCH, batch_path, read_batches
 
 FOLD_EVERY = 16
@@ -85,52 +84,3 @@ VERSION = "version"
 def upserts(spark: SparkSession, root: str, columns: str, keys: Sequence[str]) -> Folded:
     """A table of the latest row per key; rows are added with the micro-batch number as ``version``."""
     return Folded(spark, root, f"{columns}, {VERSION} bigint", keys, lambda df: upsert_latest(df, keys, [VERSION]))
-
-
-class ClosingWindows:
-    """States per key and window over micro-batches, emitted once the watermark passes ``window_end``.
-
-    ``partial`` makes states from a micro-batch's rows, ``merge`` merges the states of a key and
-    window, ``finish`` makes results. Only states are carried, never rows. Rows of windows that are
-    closed already are dropped and counted in ``dropped``.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, state: str, result: str, partial: Change, merge: Change,
-                 finish: Change, time: str = "date_time", lateness: str = LATENESS):
-        self.spark, self.root, self.state, self.result, self.time = spark, root, state, result, time
-        self.partial, self.merge, self.finish = partial, merge, finish
-        self.behind = F.expr(f"INTERVAL {lateness}")
-        spark.createDataFrame([], result).write.mode("ignore").parquet(self._path("out", -1))
-
-    def _path(self, table: str, batch_id: int) -> str:
-        return batch_path(f"{self.root}/{table}", batch_id)
-
-    def _read(self, table: str, schema: str, batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path(table, batch_id))
-
-    def _watermark(self, batch_id: int):
-        row = self._read("marks", "newest timestamp", batch_id).agg((F.max("newest") - self.behind).alias("w")).first()
-        return row["w"]
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch`` has ``window_start`` and ``window_end`` and the time the watermark goes by."""
-        seen = self._watermark(batch_id - 1)
-        newest = self._read("marks", "newest timestamp", batch_id - 1).unionByName(batch.agg(F.max(self.time).alias("newest")))
-        late = F.lit(False) if seen is None else F.col("window_end") <= F.lit(seen)
-        open_ = self._read("open", self.state, batch_id - 1).where(~late)
-        states = self.merge(self.partial(batch.where(~late)).unionByName(open_))
-        for table, rows in (("marks", newest.agg(F.max("newest").alias("newest"))), ("open", states),
-                            ("dropped", batch.agg(F.count_if(late).alias("late_rows")))):
-            rows.write.mode("overwrite").parquet(self._path(table, batch_id))
-        watermark = self._watermark(batch_id)
-        closed = F.lit(False) if watermark is None else F.col("window_end") <= F.lit(watermark)
-        done = self.finish(self._read("open", self.state, batch_id).where(closed))
-        done.write.mode("overwrite").parquet(self._path("out", batch_id))
-        for table in ("marks", "open"):
-            if batch_id > 1:
-                remove(self.spark, self._path(table, batch_id - 2))
-
-    def emitted(self) -> DataFrame:
-        return read_batches(self.spark, f"{self.root}/out", self.spark.createDataFrame([], self.result).schema).drop(BATCH)

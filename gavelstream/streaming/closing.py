@@ -1,20 +1,15 @@
-"""q4 as a stream: closing prices per auction, averages per category, kept current.
+"""q4 as a stream: bids joined with open auctions in Spark's state store, averages kept current by upserts.
 
-Every micro-batch is a batch job over its own rows and a small carried state:
+The join has a watermark on both sides and a bound on how long an auction can be open, which lets Spark
+forget auctions that no bid can meet any more and bids that no auction can reach. Nothing is late as long as the
+watermark stays ``LIFE`` behind the newest event: bids behind others, auctions behind their bids and any order of
+arrival in between give the same result. A micro-batch of matched bids moves:
 
-- ``marks``: the newest time of each input. The watermark is the lesser of the two, less the
-  lateness, so bids wait for auctions that lag behind them, but no longer than the retention;
-- ``live``: disjoint open pieces per (auction id, category), gone once the watermark passes
-  their end. No auction is late while it is open, whenever it began;
-- ``pending``: bids newer than the watermark, since their auction may still arrive;
-- ``dropped``: how many bids came behind the watermark, and how many waited out the retention;
-- ``closing``: highest prices, written per micro-batch and folded now and then;
+- ``closing``: the highest price per auction and category, an upsert table;
 - ``sums`` and ``average``: per category, moved on by what the micro-batch changed;
-- ``changes`` and ``records``: the change rows, and the same as JSON text;
-- ``released``, on request: the matched bids that the watermark has passed.
+- ``changes`` and ``records``: the change rows, and the same as JSON text.
 
-All of it is written under the micro-batch number, so a repeated micro-batch writes the
-same folders again.
+These are written under the micro-batch number, so a repeated micro-batch writes the same folders again.
 """
 
 from __future__ import annotations
@@ -23,49 +18,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import changelog, changelog_records, upsert_latest
-from ..operators.joins import inside_intervals, merged_intervals
+from ..operators.joins import between_join
 from ..plans import auctions as plan
 from ..session import new_path, remove
-from ..sources.tables import LATENESS, zone_free
+from ..sources.tables import zone_free
 from .carried import Folded
-from .run import batch_path, read_batches, start_batches
+from .run import batch_path, read_batches, start_batches, to_files
 
-RETENTION = "1 day"  # how long bids wait for an auction
+LIFE = "7 days"  # the longest that an auction is open, and the lateness its streams should have
 
-PIECES = "id bigint, category bigint, date_time timestamp, expires timestamp"
-BIDS = "auction bigint, price bigint, date_time timestamp"
 CLOSINGS = "auction bigint, category bigint, final bigint, max_bid_time timestamp"
 AVERAGES = "category bigint, avg_price double, max_date_time timestamp"
-MARKS = "newest_bid timestamp, newest_auction timestamp"
-DROPPED = "late_bids bigint, expired_bids bigint"
 SUMS = "category bigint, total bigint, n bigint, max_date_time timestamp"
-RELEASED = "auction bigint, price bigint, date_time timestamp, category bigint"
 CHANGES = f"before struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, " \
           f"after struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, op string"
+TABLES = {"sums": SUMS, "average": AVERAGES, "changes": CHANGES, "records": "value string"}
 
 
-def mixed(auctions: DataFrame, bids: DataFrame) -> DataFrame:
-    """Both streams in one, with a flag that tells them apart."""
-    opened = auctions.select(F.lit(False).alias("is_bid"), "id", "category", "date_time", "expires",
-                             F.lit(None).cast("bigint").alias("price"))
-    made = bids.select(F.lit(True).alias("is_bid"), F.col("auction").alias("id"),
-                       F.lit(None).cast("bigint").alias("category"), "date_time",
-                       F.lit(None).cast("timestamp").alias("expires"), "price")
-    return opened.unionByName(made)
+def matched_bids(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> DataFrame:
+    """Every bid with every auction of its id that was open at its time, as a join of two streams.
 
-
-TABLES = {"live": PIECES, "pending": BIDS, "sums": SUMS, "average": AVERAGES, "changes": CHANGES,
-          "records": "value string", "released": RELEASED, "marks": MARKS, "dropped": DROPPED}
+    Both need watermarks. An auction that is open longer than ``life`` stops the query: its bids could be missed.
+    """
+    too_long = F.col("expires") > F.col("date_time") + F.expr(f"INTERVAL {life}")
+    checked = F.when(too_long, F.raise_error(F.lit(f"an auction is open longer than {life}")).cast("timestamp")).otherwise(F.col("expires"))
+    opened = auctions.select("id", "category", F.col("date_time").alias("_opened"), checked.alias("_until"))
+    made = bids.select("auction", "price", "date_time")
+    return between_join(opened, made, {"id": "auction"}, "_opened", "_until", "date_time", at_most=life).select(
+        "auction", "price", "date_time", "category")
 
 
 class ClosingPrices:
-    """The carried state below ``root`` and one step per micro-batch."""
+    """The results below ``root`` and one step per micro-batch of matched bids."""
 
-    def __init__(self, spark: SparkSession, root: str, lateness: str = LATENESS, release: bool = False,
-                 retention: str = RETENTION):
-        self.spark, self.root, self.release = spark, root, release
-        self.behind, self.retention = F.expr(f"INTERVAL {lateness}"), F.expr(f"INTERVAL {retention}")
-        for table in ("average", "changes", "records", "released", "dropped"):
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        for table in ("average", "changes", "records"):
             self._empty(table).write.mode("ignore").parquet(self._path(table, -1))
         self.closing = Folded(spark, f"{root}/closing", CLOSINGS, ["auction", "category"], _highest)
 
@@ -75,18 +63,12 @@ class ClosingPrices:
     def _path(self, table: str, batch_id: int) -> str:
         return batch_path(f"{self.root}/{table}", batch_id)
 
-    def _read(self, table: str, *batch_ids: int) -> DataFrame:
-        paths = [self._path(table, i) for i in batch_ids if i >= 0]
-        return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self._empty(table)
+    def _read(self, table: str, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(self._path(table, batch_id)) if batch_id >= 0 else self._empty(table)
 
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._path(table, batch_id))
 
-    def _outdated(self, table: str, batch_id: int) -> None:
-        """Remove a carried table that no repeated micro-batch can read any more."""
-        if batch_id >= 0:
-            remove(self.spark, self._path(table, batch_id))
-
     def _moved_sums(self, matched: DataFrame, batch_id: int) -> DataFrame:
         """Sums per category after this micro-batch, from those before and the closing prices it changed."""
         before = self.closing.read(batch_id - 1, only=(own := self.closing.add(plan.closing_price(matched), batch_id)))
@@ -99,58 +81,17 @@ class ClosingPrices:
         moved = self._read("sums", batch_id - 1).unionByName(parts(now, 1)).unionByName(parts(before, -1))
         return moved.groupBy("category").agg(*[F.sum(c).alias(c) for c in ("total", "n")], F.max("max_date_time").alias("max_date_time"))
 
-    def _watermark(self, marks: DataFrame):
-        """Up to where bids are done, and up to where both inputs have come."""
-        lesser = F.when(F.col("newest_bid").isNotNull() & F.col("newest_auction").isNotNull(), F.least("newest_bid", "newest_auction"))
-        # Bids wait for auctions; where there are none yet, only the retention ends their wait.
-        both = (lesser - self.behind).alias("both")
-        out = (F.col("newest_bid") - self.retention).alias("out")
-        row = marks.select(both, F.greatest(both, out).alias("watermark")).first()
-        return (row["watermark"], row["both"]) if row else (None, None)
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        made = batch.where("is_bid").select(F.col("id").alias("auction"), "price", "date_time")
-        earlier = self._read("marks", batch_id - 1)
-        newest = earlier.unionByName(batch.agg(
-            F.max(F.when(F.col("is_bid"), F.col("date_time"))).alias("newest_bid"),
-            F.max(F.when(~F.col("is_bid"), F.col("date_time"))).alias("newest_auction")))
-        self._write(newest.agg(F.max("newest_bid").alias("newest_bid"), F.max("newest_auction").alias("newest_auction")),
-                    "marks", batch_id)
-        seen, _ = self._watermark(earlier)
-        watermark, both = self._watermark(self._read("marks", batch_id))
-        late = F.lit(False) if seen is None else F.col("date_time") < F.lit(seen)
-        opened = batch.where("NOT is_bid").select("id", "category", "date_time", "expires")
-        pending = self._read("pending", batch_id - 1)
-        bids = made.where(~late).unionByName(pending)
-        outwaited = F.lit(False) if watermark is None else F.col("date_time") < F.lit(watermark)
-        if both is not None:
-            outwaited = outwaited & (F.col("date_time") >= F.lit(both))
-        counted = made.select(late.alias("late"), F.lit(False).alias("out")).unionByName(
-            bids.select(F.lit(False).alias("late"), outwaited.alias("out")))
-        self._write(counted.agg(F.count_if("late").alias("late_bids"), F.count_if("out").alias("expired_bids")), "dropped", batch_id)
-
-        pieces = merged_intervals(self._read("live", batch_id - 1).unionByName(opened),
-                                  ["id", "category"], "date_time", "expires")
-        matched = inside_intervals(bids, pieces, {"auction": "id"}, "date_time", "date_time", "expires")
-        passed = F.lit(False) if watermark is None else F.col("date_time") < F.lit(watermark)
-        if self.release:
-            matched = matched.persist()
-            self._write(matched.where(passed), "released", batch_id)
+    def step(self, matched: DataFrame, batch_id: int) -> None:
         self._write(self._moved_sums(matched, batch_id), "sums", batch_id)
-        if self.release:
-            matched.unpersist()
-
-        self._write(bids.where(~passed), "pending", batch_id)
-        still = F.lit(True) if watermark is None else F.col("expires") >= F.lit(watermark)
-        self._write(pieces.where(still), "live", batch_id)
         averages = self._read("sums", batch_id).select("category", (F.col("total") / F.col("n")).alias("avg_price"), "max_date_time")
         self._write(averages, "average", batch_id)
         changes = changelog(self._read("average", batch_id - 1), self._read("average", batch_id), ["category"])
         self._write(changes, "changes", batch_id)
         self._write(changelog_records(self._read("changes", batch_id)), "records", batch_id)
         # Micro-batch b reads what b - 1 carried, and starts only after b - 1 is committed.
-        for table in ("live", "pending", "marks", "sums", "average"):
-            self._outdated(table, batch_id - 2)
+        for table in ("sums", "average"):
+            if batch_id >= 2:
+                remove(self.spark, self._path(table, batch_id - 2))
 
     def all_batches(self, table: str) -> DataFrame:
         return read_batches(self.spark, f"{self.root}/{table}", self._empty(table).schema)
@@ -165,18 +106,18 @@ def _highest(closings: DataFrame) -> DataFrame:
         F.max("final").alias("final"), F.max("max_bid_time").alias("max_bid_time"))
 
 
-def run(auctions: DataFrame, bids: DataFrame, root: str | None = None, release: bool = False) -> ClosingPrices:
+def run(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> ClosingPrices:
     """Run over all input there is; a second run on the same ``root`` goes on from there."""
     spark = auctions.sparkSession
     root = root or new_path(spark, "q4")
-    prices = ClosingPrices(spark, root, release=release)
-    start_batches(mixed(auctions, bids), prices.step, f"{root}/checkpoint").awaitTermination()
+    prices = ClosingPrices(spark, root)
+    start_batches(matched_bids(auctions, bids), prices.step, f"{root}/checkpoint").awaitTermination()
     return prices
 
 
 def bid_in_auction(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:
-    """Matched bids, each emitted once, when the watermark has passed it."""
-    return zone_free(run(auctions, bids, root, release=True).all_batches("released").drop("batch_id"))
+    """Every bid with every auction open at its time, appended as soon as both are there."""
+    return to_files(matched_bids(auctions, bids), "bid-in-auction", root)
 
 
 def closing_price(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def averages_in_runs(spark: SparkSession, parts: list[tuple[DataFrame | None, Da
         for name, rows in zip(("auction", "bid"), part, strict=True):
             # An empty part still makes a folder that the stream can read.
             (spark.createDataFrame([], ENTITIES[name]) if rows is None else rows).write.mode("append").parquet(f"{root}/{name}")
-        streams = [parquet_files(spark, name, f"{root}/{name}", streaming=True) for name in ("auction", "bid")]
+        streams = [parquet_files(spark, name, f"{root}/{name}", streaming=True, lateness=closing.LIFE) for name in ("auction", "bid")]
         prices = closing.run(*streams, root=f"{root}/state")
     return closing.current_average(prices)
 

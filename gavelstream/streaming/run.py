@@ -63,6 +63,17 @@ def finish(spark: SparkSession, start: Callable[[], StreamingQuery]) -> list[dic
         return log.of(query)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that a query started inside keeps."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def start_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append to Parquet files, exactly once per checkpoint.
 

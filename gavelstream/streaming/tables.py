@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import MergeableAggregate
 from ..operators.windows import hop, window_bounds, window_count
 from ..plans import tables as plan
-from .auctions import best_of_closed_windows, best_per_window, last_rows_average, window_aggregate
+from .auctions import best_in_one_plan, highest_of_each, last_rows_average, window_aggregate
 from .run import to_files
 
 
@@ -22,8 +22,10 @@ def orders_of_segment(orders: DataFrame, customers: DataFrame, root: str | None
 
 
 def hot_users(events: DataFrame, root: str | None = None) -> DataFrame:
-    counts = window_count(events, ["user_id"], hop("ts", "2 hours", "10 hours"), "event_count")
-    return best_of_closed_windows(counts, "event_count", "hot-users", root)
+    def counts() -> DataFrame:
+        return window_count(events, ["user_id"], hop("ts", "2 hours", "10 hours"), "event_count")
+
+    return to_files(best_in_one_plan(counts, "event_count"), "hot-users", root)
 
 
 def events_per_type(events: DataFrame, root: str | None = None) -> DataFrame:
@@ -41,8 +43,8 @@ def shipped_in_time(orders: DataFrame, lineitem: DataFrame, root: str | None = N
 
 
 def highest_value(events: DataFrame, root: str | None = None) -> DataFrame:
-    return best_per_window(events.select("user_id", "event_type", "value", "ts"),
-                           "user_id bigint, event_type string, value double", "value", "10 hours", "ts", root)
+    best = best_in_one_plan(lambda: highest_of_each(events, ["user_id", "event_type"], "value", "10 hours", "ts"), "value")
+    return to_files(best, "highest-value", root)
 
 
 def single_highest(events: DataFrame, root: str | None = None) -> DataFrame:
@@ -50,10 +52,10 @@ def single_highest(events: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def last_values(events: DataFrame, root: str | None = None) -> DataFrame:
-    return last_rows_average(plan.whole_values(events), "user_id", plan.newest_first(), "value",
-                             "user_id bigint, ts timestamp, event_id bigint, value bigint", 10, root)
+    rows = plan.whole_values(events).select("user_id", "ts", "event_id", "value")
+    return last_rows_average(rows, "user_id", [("ts", False), ("event_id", False)], "value", 10, root)
 
 
 def value_spread(events: DataFrame, function: MergeableAggregate, root: str | None = None) -> DataFrame:
     rows = plan.whole_values(events).select("user_id", F.col("value").alias("price"), F.col("ts").alias("date_time"))
-    return window_aggregate(rows, "user_id bigint", function, "10 hours", root).drop("window_start")
+    return window_aggregate(rows, ["user_id"], function, "10 hours", root).drop("window_start")
