@@ -333,6 +333,12 @@ def _closed(sql: str, newest: str = "(SELECT max(date_time) FROM bid)") -> str:
 BOTH = "least((SELECT max(date_time) FROM person), (SELECT max(date_time) FROM auction))"
 
 
+def _routed() -> str:
+    return f"""SELECT 'person' AS topic, id::varchar AS key, {_json(PERSON_F)} AS value FROM person UNION ALL
+            SELECT 'auction', id::varchar, {_json(AUCTION_F)} FROM auction UNION ALL
+            SELECT 'bid', auction::varchar, {_json(BID_F)} FROM bid"""
+
+
 def oracle() -> dict[str, str]:
     p, a, b = PERSON, AUCTION, BID
     counts = f"SELECT auction, bid_count, window_start, window_end FROM {BID_COUNTS}"
@@ -346,10 +352,7 @@ def oracle() -> dict[str, str]:
         "nx_person": _with(p) + "SELECT * FROM person",
         "nx_auction": _with(a) + "SELECT * FROM auction",
         "nx_bid": _with(b) + "SELECT * FROM bid",
-        "route_events": _with(p, a, b) + f"""
-            SELECT 'person' AS topic, id::varchar AS key, {_json(PERSON_F)} AS value FROM person UNION ALL
-            SELECT 'auction', id::varchar, {_json(AUCTION_F)} FROM auction UNION ALL
-            SELECT 'bid', auction::varchar, {_json(BID_F)} FROM bid""",
+        "route_events": _with(p, a, b) + _routed(),
         "source_epoch_ms": _with(a) + """SELECT id, item_name, description, initial_bid, reserve,
             epoch_ms(date_time) AS date_time, epoch_ms(expires) AS expires, seller, category, extra,
             date_trunc('second', date_time)::timestamp AS event_time,
@@ -459,6 +462,19 @@ def oracle() -> dict[str, str]:
             JOIN (SELECT query, sum(events) / sum(seconds) AS r, sum(events)::bigint AS e FROM outputs GROUP BY query) o
               USING (query) JOIN cores USING (query)""",
         # Streams: the batch result, of windows that the last watermark has closed.
+        "stream_route_events": _with(p, a, b) + _routed(),
+        "stream_q8_of_topics": _with(p, a) + _closed(NEW_SELLERS, BOTH),
+        "stream_json_decode_with_rejects": _with(a, _judged("auction")) + f"""
+            SELECT 'good' AS sink, {", ".join(FIELDS["auction"].split())}, NULL::varchar AS value, NULL::varchar AS reject_reason
+            FROM judged WHERE reject_reason IS NULL UNION ALL
+            SELECT 'reject', {", ".join("NULL" for _ in FIELDS["auction"].split())}, value, reject_reason FROM judged WHERE reject_reason IS NOT NULL""",
+        "stream_restart_after_failure": _with(a, b, CLOSING) + f"""
+            SELECT 'file' AS sink, auction AS key, bid_count::double AS a, NULL::double AS b, window_start AS at FROM ({_closed(counts)}) UNION ALL
+            SELECT 'upsert', auction, count(*)::double, max(price)::double, NULL FROM bid GROUP BY auction UNION ALL
+            SELECT 'changelog', category, avg_price, NULL, max_date_time FROM ({_average("closing")})""",
+        "stream_redelivered_events": f"""SELECT * FROM ({EVENTS["events_tumble_count"]})
+            WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        "stream_state_audit": "SELECT unnest([1, 2])::bigint AS operator, 0::bigint AS behind",
         "stream_source_epoch_ms": _with(b) + EPOCH_BID,
         "stream_json_persons_per_state": _with(p, _judged("person"), f"good AS ({_accepted('person')})") + _closed(
             f"""SELECT state, {_tumble('date_time', '10 SECOND')} AS window_start,

@@ -22,7 +22,7 @@ from .sinks import json_records, keyed_records
 from .sources import damage, derive, records, routing
 from .sources.tables import LATENESS, as_stream, from_time
 from .streaming import auctions as live
-from .streaming import closing, delivery
+from .streaming import audit, closing, delivery
 from .streaming.run import to_files
 from .streaming import tables as live_tables
 
@@ -403,7 +403,83 @@ def spread_stream(bids: DataFrame, root: str) -> DataFrame:
     return live.window_aggregate(bids, ["auction"], PriceSpread(), plan.SIZE, root).drop("window_start")
 
 
+def mixed_texts(numbered: DataFrame) -> DataFrame:
+    """All three entities as JSON records, the text alone."""
+    texts = [json_text(derive.DERIVATIONS[e](numbered), SCHEMA_OF[e]) for e in ("person", "auction", "bid")]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2])
+
+
+def routed_arriving(t: Tables) -> DataFrame:
+    """Topic, key and text of mixed records that come in four parts."""
+    return delivery.in_parts(t.spark, [{"records": mixed_texts(part)} for part in in_order(t.numbered, "n")], {},
+                             lambda streams, root: live.routed(streams["records"], root), LATENESS)
+
+
+def new_sellers_of_topics(t: Tables) -> DataFrame:
+    """q8 over the topics that a router wrote, both streams going on part by part."""
+    def run(streams: dict[str, DataFrame], root: str) -> DataFrame:
+        live.routed(streams["records"], f"{root}/routed")
+        return live.new_sellers(*[live.topic_stream(t.spark, f"{root}/routed", e) for e in ("person", "auction")], root=f"{root}/q8")
+
+    return delivery.in_parts(t.spark, [{"records": mixed_texts(part)} for part in in_order(t.numbered, "n", 2)], {}, run, LATENESS)
+
+
+def decoded_arriving(texts: DataFrame, root: str) -> DataFrame:
+    return live.decoded_and_rejected(texts, "auction", root)
+
+
+def after_crashes(t: Tables) -> DataFrame:
+    """A file, an upsert and a changelog sink, each crashed between write and commit in both parts of its input."""
+    def over(run, lateness: str = LATENESS) -> DataFrame:
+        parts = [{e: derive.DERIVATIONS[e](part) for e in ("auction", "bid")} for part in in_order(t.numbered, "n", 2)]
+        return delivery.in_parts(t.spark, parts, {"auction": "date_time", "bid": "date_time"}, delivery.with_crashes(t.spark, run), lateness)
+
+    counts = over(lambda s, root: live.bid_counts(s["bid"], root))
+    latest = over(lambda s, root: live.latest_bid_totals(s["bid"], root))
+    changes = over(lambda s, root: closing.category_changelog(s["auction"], s["bid"], root), closing.LIFE)
+    none = F.lit(None)
+    return (counts.select(F.lit("file").alias("sink"), F.col("auction").alias("key"), F.col("bid_count").cast("double").alias("a"),
+                          none.cast("double").alias("b"), F.col("window_start").alias("at"))
+            .unionByName(latest.select(F.lit("upsert").alias("sink"), F.col("auction").alias("key"), F.col("bids").cast("double").alias("a"),
+                                       F.col("highest").cast("double").alias("b"), none.cast("timestamp_ntz").alias("at")))
+            .unionByName(changes.select(F.lit("changelog").alias("sink"), F.col("category").alias("key"), F.col("avg_price").alias("a"),
+                                        none.cast("double").alias("b"), F.col("max_date_time").alias("at"))))
+
+
+REDELIVERY = "1 day"
+
+
+def redelivered(t: Tables) -> DataFrame:
+    """Events per kind and window where every tenth event comes twice, those shortly before a restart again after it."""
+    again, carried = F.col("event_id") % 10 == 7, []
+    parts = []
+    for part in in_order(t.events, "ts"):
+        twice = part.unionByName(part.where(again))
+        parts.append({"events": twice.unionByName(carried[-1]) if carried else twice})
+        newest = part.agg(F.max("ts")).first()[0]
+        carried.append(part.where(again & (F.col("ts") > F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS"))))
+    return delivery.in_parts(t.spark, parts, {"events": "ts"}, lambda streams, root: live_tables.events_per_type(
+        delivery.once_each(streams["events"], "event_id", "ts"), root), REDELIVERY)
+
+
+def state_audit(t: Tables) -> DataFrame:
+    """How many keys of q8's two windowed aggregates are behind the watermark after a run: none."""
+    parts = [{e: derive.DERIVATIONS[e](part) for e in ("person", "auction")} for part in in_order(t.numbered, "n", 2)]
+
+    def run(streams: dict[str, DataFrame], root: str) -> DataFrame:
+        live.new_sellers(streams["person"], streams["auction"], root)
+        return audit.windows_behind(t.spark, f"{root}/checkpoint")
+
+    return delivery.in_parts(t.spark, parts, dict.fromkeys(parts[0], "date_time"), run, LATENESS).select("operator", "behind")
+
+
 STREAMS: dict[str, Query] = {
+    "stream_route_events": batch(routed_arriving),
+    "stream_q8_of_topics": batch(new_sellers_of_topics),
+    "stream_json_decode_with_rejects": records_arriving(decoded_arriving, "auction"),
+    "stream_restart_after_failure": batch(after_crashes),
+    "stream_redelivered_events": batch(redelivered),
+    "stream_state_audit": batch(state_audit),
     "stream_source_epoch_ms": records_arriving(epoch_stream, "epoch bid", whole=True),
     "stream_json_persons_per_state": records_arriving(persons_per_state, "person"),
     "stream_json_rejects_auction": records_arriving(rejected_stream, "auction"),

@@ -96,6 +96,14 @@ def rejects(df: DataFrame, entity: str, **options) -> DataFrame:
     return parsed(df, entity, **options).where(F.col(REASON).isNotNull()).select(RAW, REASON)
 
 
+def decode_and_reject(df: DataFrame, entity: str, **options) -> DataFrame:
+    """Good rows and rejects of one pass: ``sink`` is ``good`` or ``reject``, with the entity's columns or the text and its reason."""
+    rows = parsed(df, entity, **options)
+    bad = F.col(REASON).isNotNull()
+    fields = [F.when(~bad, F.col(f.name)).alias(f.name) for f in ENTITIES[entity].fields]
+    return rows.select(F.when(bad, "reject").otherwise("good").alias("sink"), *fields, F.when(bad, F.col(RAW)).alias(RAW), REASON)
+
+
 def with_epoch_times(df: DataFrame, times: dict[str, str]) -> DataFrame:
     """Keep epoch-millisecond columns and add computed second-grain times beside them."""
     return df.withColumns({new: from_epoch_seconds(F.col(old)) for old, new in times.items()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import MergeableAggregate
@@ -14,6 +14,9 @@ from ..operators.ranking import arg_max
 from ..operators.windows import WINDOW, distinct_per_window, hop, tumble, window_bounds, window_count
 from ..plans import auctions as plan
 from ..session import new_path
+from ..sources.records import decode, decode_and_reject
+from ..sources.routing import route
+from ..sources.tables import as_stream
 from .carried import VERSION, upserts
 from .keyed import Order, last_rows, window_process, window_states
 from .run import setting, start_batches, to_files
@@ -137,6 +140,22 @@ def auctions_after_registration(persons: DataFrame, auctions: DataFrame, root: s
     return to_files(joined.select("person_id", "name", "auction", "registered", "opened"), "interval-join", root)
 
 
+def routed(texts: DataFrame, root: str | None = None) -> DataFrame:
+    """A mixed stream to one keyed folder for each topic, in one pass; ``of_topic`` reads one of them as a stream."""
+    return to_files(route(texts), "routed", root, by=["topic"])
+
+
+def topic_stream(spark: SparkSession, root: str, entity: str) -> DataFrame:
+    """An entity out of what ``routed`` has written below ``root``; only its folder is read."""
+    texts = spark.readStream.schema("key string, value string, topic string").parquet(f"{root}/out").where(F.col("topic") == entity)
+    return as_stream(decode(texts.select("value"), entity))
+
+
+def decoded_and_rejected(texts: DataFrame, entity: str, root: str | None = None) -> DataFrame:
+    """Good rows and rejects of JSON text, decoded once and written to a folder each, exactly once."""
+    return to_files(decode_and_reject(texts, entity), "decoded", root, by=["sink"])
+
+
 # --- last bids per bidder, and latest rows per key: results that upserts keep current ---
 
 def last_rows_average(rows: DataFrame, key: str, order: Order, value: str, last: int, root: str | None = None,

@@ -46,6 +46,33 @@ def averages_in_runs(spark: SparkSession, parts: list[tuple[DataFrame | None, Da
     return closing.current_average(prices)
 
 
+def lose_commit(spark: SparkSession, checkpoint: str) -> int | None:
+    """Leave a checkpoint as a crash does between a sink's write and the commit of its micro-batch; returns which one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()] if files.exists(folder) else []
+    if not done:
+        return None
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, str(max(done))), False)
+    return max(done)
+
+
+def with_crashes(spark: SparkSession, run: Callable[[dict[str, DataFrame], str], DataFrame],
+                 checkpoint: str = "checkpoint") -> Callable[[dict[str, DataFrame], str], DataFrame]:
+    """``run``, crashed after the write and before the commit of its last micro-batch, and restarted."""
+    def crashed(streams: dict[str, DataFrame], root: str) -> DataFrame:
+        run(streams, root)
+        lose_commit(spark, f"{root}/{checkpoint}")
+        return run(streams, root)
+
+    return crashed
+
+
+def once_each(rows: DataFrame, key: str, time: str) -> DataFrame:
+    """Records by key once, however often they are delivered within the watermark's delay; the keys go with the watermark."""
+    return rows.dropDuplicatesWithinWatermark([key]).select(*rows.columns)
+
+
 def in_parts(spark: SparkSession, parts: list[dict[str, DataFrame]], times: dict[str, str],
              run: Callable[[dict[str, DataFrame], str], DataFrame], lateness: str) -> DataFrame:
     """Run a query over inputs that arrive part by part, a restart from its checkpoint between them.

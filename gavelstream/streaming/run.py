@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,18 +74,18 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def start_files(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append to Parquet files, exactly once per checkpoint.
+def start_files(df: DataFrame, out: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
+    """Append to Parquet files, exactly once per checkpoint; columns ``by`` become folders, each a sink of its own.
 
     State has as many partitions as ``spark.sql.shuffle.partitions`` says at the first start;
     the checkpoint keeps that number.
     """
-    return (df.writeStream.format("parquet").outputMode("append")
+    return (df.writeStream.format("parquet").outputMode("append").partitionBy(*by)
             .option("path", out).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def to_files(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+def to_files(df: DataFrame, name: str, root: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Run a stream over all input there is and return what it appended.
 
     With ``root``, a folder of the shared kind, a further run goes on from there.
@@ -93,7 +93,7 @@ def to_files(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     spark = df.sparkSession
     root = root or new_path(spark, name)
     out = f"{root}/out"
-    start_files(df, out, f"{root}/checkpoint").awaitTermination()
+    start_files(df, out, f"{root}/checkpoint", by).awaitTermination()
     return zone_free(spark.read.schema(df.schema).parquet(out))
 
 
