@@ -25,6 +25,8 @@ from .components import components
 SEED, BITS = 42, 64
 SHINGLES_AT_ONCE = 65_280
 TILE, BLOCK = 4096, 512
+SKETCH = 1 << 16
+POSTED_AT_ONCE = 500
 
 
 def fingerprint(text: str | None, shingle: int = 4, seen: list[np.ndarray] | None = None) -> int:
@@ -192,26 +194,59 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
         *map(quoted, kept), as_hex(F.col("print")).alias("fingerprint"), "component_id")
 
 
-def _candidates(sets: DataFrame, radius: int, similarity: float, staged: Staged) -> DataFrame:
-    """All pairs ``a``, ``b`` of sets within ``radius`` bits whose labels differ and whose sizes allow the similarity."""
-    both = _tile_pairs(sets, radius, staged, TILE, F.struct("fingerprint", "set", "label", "n"))
+def _sketch(sets: DataFrame) -> np.ndarray:
+    """About how many sets hold a shingle, by ``SKETCH`` places of its digest: one count per place and task to sum up."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                counts += np.bincount(np.frombuffer(packed, np.int64) & (SKETCH - 1), minlength=SKETCH)
+        met = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["place", "n"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sketch = np.zeros(SKETCH, np.int64)
+    summed = sets.select("shingles").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    for r in summed.collect():  # SKETCH rows at most
+        sketch[r["place"]] = r["n"]
+    return sketch
+
+
+def _postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """``shingle`` and ``set`` for the rarest shingles of each set, as many as must hold one that a similar set shares.
+
+    Two sets of at least the similarity share all but a few of their shingles, so in any order of all shingles that is the same
+    everywhere they share one among the first few. Rare ones first, by the sketch, keeps what many texts share out of the join.
+    """
+    sketch = _sketch(sets)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                same = batch.column(0)[k].as_py()
-                (p, s, l, n), (q, t, m, o) = ([c[k].values.field(f).to_numpy() for f in range(4)] for c in batch.columns[1:])
-                for x in range(0, len(p), BLOCK):
-                    a = slice(x, x + BLOCK)
-                    near = np.bitwise_count(p[a].view(np.uint64)[:, None] ^ q.view(np.uint64)[None, :]) <= radius
-                    i, j = np.nonzero(near)
-                    i += x
-                    ok = (l[i] != m[j]) & (np.minimum(n[i], o[j]) >= similarity * np.maximum(n[i], o[j]) - 1e-9)
-                    ok &= (s[i] < t[j]) | (not same)
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(s[i[ok]]), pa.array(t[j[ok]])], names=["a", "b"])
+            for start in range(0, batch.num_rows, POSTED_AT_ONCE):
+                shingles, members = [], []
+                part = batch.slice(start, POSTED_AT_ONCE)
+                for of, packed in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    own = np.frombuffer(packed, np.int64)
+                    if len(own):
+                        n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                        shingles.append(own[np.lexsort((own, sketch[own & (SKETCH - 1)]))[:n]])
+                        members.append(np.full(len(shingles[-1]), of, np.int64))
+                if shingles:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(members))],
+                                                     names=["shingle", "set"])
+
+    return sets.select("set", "shingles").mapInArrow(first, "shingle bigint, `set` bigint")
+
+
+def _comparable(pairs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` whose labels differ and whose sizes allow the similarity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("set").alias(side), F.col("label").alias(f"label_{side}"), F.col("n").alias(f"n_{side}")), side)
+    fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    return pairs.where((F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
 
-    return both.mapInArrow(compare, "a bigint, b bigint")
+
+def _relabelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    return sets.join(found, F.col("set") == F.col("node"), "left").select("set", "n", F.coalesce("component", "set").alias("label"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -232,12 +267,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 
 
 def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5,
-                     similarity: float = 0.8, radius: int = 16) -> DataFrame:
+                     similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One row of each group of texts linked by shingle sets of at least this Jaccard similarity: that of the smallest id.
 
-    Candidates are pairs within ``radius`` bits; each link is confirmed on the sets. What few bits
-    and confirmed links join first is not compared again, so a group of near copies costs few rows.
-    Otherwise like ``first_of_each``.
+    Fingerprints within ``radius`` bits, found by tiles, come first; each link is confirmed on the sets. Then come
+    the pairs that share one of their rarest shingles, which no similar pair can lack: first each set with the least one of
+    those it shares a shingle with, then all pairs that are in different groups still. So no link is missed, and a
+    group of near copies costs few rows. Otherwise like ``first_of_each``.
     """
     staged = Staged(df.sparkSession, "similar")
     narrow = df.select(quoted(id).cast("bigint").alias("id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("digest"))
@@ -255,18 +291,37 @@ def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shin
 
     rows = staged.put(add_columns(narrow, ["text"], "fingerprint bigint, set bigint, n bigint, shingles binary", make)
                       .drop("text"), "rows")
-    sets = rows.groupBy("set").agg(*[F.first(c).alias(c) for c in ("fingerprint", "n", "shingles")])
-    sets = staged.put(sets, "sets")
+    # Texts of one set can differ in how often a shingle repeats, and so in their prints: the least one counts.
+    sets = staged.put(rows.groupBy("set").agg(F.min("fingerprint").alias("fingerprint"), F.first("n").alias("n"),
+                                              F.first("shingles").alias("shingles")), "sets")
     least = sets.groupBy("fingerprint").agg(F.min("set").alias("least"))
-    few = links(sets.select("fingerprint").distinct(), min(4, radius), staged)
+    few = links(sets.select("fingerprint").distinct(), radius, staged)
     close = (few.join(least.toDF("a", "one"), "a").join(least.toDF("b", "other"), "b").select(F.col("one").alias("a"), F.col("other").alias("b"))
              .unionByName(sets.join(least, "fingerprint").where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b"))))
-    early = staged.put(components(_confirmed(close, sets, similarity), staged), "early")
-    labelled = sets.join(early, F.col("set") == F.col("node"), "left").select(
-        "set", "fingerprint", "n", F.coalesce("component", "set").alias("label"))
-    more = staged.put(_candidates(labelled, radius, similarity, staged), "candidates")
-    stars = early.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components(stars.unionByName(_confirmed(more, sets, similarity)), staged)
+    found = staged.put(components(_confirmed(close, sets, similarity), staged), "found")
+    for key in ("halves", "tiles"):
+        staged.drop(key)
+
+    posted = _postings(sets, similarity)
+    shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("set").alias("least")).where("held > 1").drop("held")
+    shared = staged.put(posted.join(shared, "shingle"), "shared")
+    for all_pairs in (False, True):
+        if all_pairs:
+            # A shingle all of whose sets are in one group has no pair left; the label travels with the posting.
+            labels = _relabelled(sets, found)
+            marked = shared.drop("least").join(labels, "set")
+            split = marked.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+            open_ = staged.put(marked.join(split, "shingle"), "open")
+            one = open_.select("shingle", F.col("set").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
+            other = open_.select("shingle", F.col("set").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+            fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+            pairs = one.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
+        else:
+            pairs = _comparable(shared.where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct(),
+                                _relabelled(sets, found), similarity)
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        more = _confirmed(staged.put(pairs, "pairs"), sets, similarity)
+        found = staged.put(components(stars.unionByName(more), staged), "found")
     roots = rows.select("id", "digest", "set").join(found, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("component", "set"))
     order = F.struct(F.col("id").isNull().alias("n"), "id", "digest")
     return _kept(df, roots.groupBy("root").agg(F.min(order).alias("best")), id, text)
