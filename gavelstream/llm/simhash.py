@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
+from ..session import small_side
 from .common import Staged, add_columns, partitions, quoted, without
 from .components import components
 
@@ -194,38 +195,55 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
         *map(quoted, kept), as_hex(F.col("print")).alias("fingerprint"), "component_id")
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct digests of the shingles, those that ``fingerprint`` counts; none for a text without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.array([], np.int64)
+    joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    spans = map(slice, (ends - lengths)[:max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1:].tolist())
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, map(joined.__getitem__, spans), repeat(SEED))), np.int64))
+
+
+def _texts(narrow: DataFrame, sets: DataFrame) -> DataFrame:
+    """``set`` and ``text`` of these sets. Shingles take more room than texts, so they are made anew where they are needed."""
+    wanted = small_side(sets.select("set", F.col("first.id").alias("of"), F.col("first.digest").alias("known")))
+    return narrow.join(wanted, F.col("id").eqNullSafe(F.col("of")) & (F.coalesce("digest", F.lit(0)) == F.coalesce("known", F.lit(0)))).select("set", "text")
+
+
+def _sketch(texts: DataFrame, shingle: int) -> np.ndarray:
     """About how many sets hold a shingle, by ``SKETCH`` places of its digest: one count per place and task to sum up."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                counts += np.bincount(np.frombuffer(packed, np.int64) & (SKETCH - 1), minlength=SKETCH)
+            for text in batch.column(0):
+                counts += np.bincount(shingle_set(text.as_py(), shingle) & (SKETCH - 1), minlength=SKETCH)
         met = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["place", "n"])
 
     sketch = np.zeros(SKETCH, np.int64)
-    summed = sets.select("shingles").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    summed = texts.select("text").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     for r in summed.collect():  # SKETCH rows at most
         sketch[r["place"]] = r["n"]
     return sketch
 
 
-def _postings(sets: DataFrame, similarity: float) -> DataFrame:
+def _postings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``shingle`` and ``set`` for the rarest shingles of each set, as many as must hold one that a similar set shares.
 
     Two sets of at least the similarity share all but a few of their shingles, so in any order of all shingles that is the same
     everywhere they share one among the first few. Rare ones first, by the sketch, keeps what many texts share out of the join.
     """
-    sketch = _sketch(sets)
+    sketch = _sketch(texts, shingle)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, POSTED_AT_ONCE):
                 shingles, members = [], []
                 part = batch.slice(start, POSTED_AT_ONCE)
-                for of, packed in zip(*[c.to_pylist() for c in part.columns], strict=True):
-                    own = np.frombuffer(packed, np.int64)
+                for of, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    own = shingle_set(text.as_py(), shingle)
                     if len(own):
                         n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
                         shingles.append(own[np.lexsort((own, sketch[own & (SKETCH - 1)]))[:n]])
@@ -234,7 +252,7 @@ def _postings(sets: DataFrame, similarity: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(members))],
                                                      names=["shingle", "set"])
 
-    return sets.select("set", "shingles").mapInArrow(first, "shingle bigint, `set` bigint")
+    return texts.mapInArrow(first, "shingle bigint, `set` bigint")
 
 
 def _comparable(pairs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
@@ -249,16 +267,25 @@ def _relabelled(sets: DataFrame, found: DataFrame) -> DataFrame:
     return sets.join(found, F.col("set") == F.col("node"), "left").select("set", "n", F.coalesce("component", "set").alias("label"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity, counted exactly."""
-    full = (pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("one")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "one", "other"))
+def _confirmed(pairs: DataFrame, narrow: DataFrame, sets: DataFrame, shingle: int, similarity: float, staged: Staged) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity, counted exactly. Only the sets of pairs are made."""
+    pairs = staged.put(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in texts], pa.binary())]
+
+    bodies = add_columns(_texts(narrow, sets.join(small_side(needed), "set", "left_semi")), ["text"], "shingles binary", make, keep=["set"])
+    # A set may have been read from several equal rows.
+    bodies = staged.put(bodies.groupBy("set").agg(F.first("shingles").alias("shingles")), "bodies")
+    full = (pairs.join(bodies.select(F.col("set").alias("a"), F.col("shingles").alias("one")), "a")
+            .join(bodies.select(F.col("set").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "one", "other"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, other = np.frombuffer(one, np.int64), np.frombuffer(other, np.int64)
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                one, other = np.frombuffer(one.as_py(), np.int64), np.frombuffer(other.as_py(), np.int64)
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(common >= similarity * (len(one) + len(other) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -279,32 +306,30 @@ def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shin
     narrow = df.select(quoted(id).cast("bigint").alias("id"), quoted(text).alias("text"), F.xxhash64(quoted(text)).alias("digest"))
 
     def make(texts: pa.Array) -> list[pa.Array]:
-        prints, sets, sizes, shingles = [], [], [], []
-        for t in texts.to_pylist():
+        prints, sets, sizes = [], [], []
+        for t in texts:
             seen = []
-            prints.append(fingerprint(t, shingle, seen))
+            prints.append(fingerprint(t.as_py(), shingle, seen))
             own = np.unique(np.concatenate(seen)) if seen else np.array([], np.int64)
-            shingles.append(own.tobytes())
-            sets.append(int.from_bytes(xxh64_digest(shingles[-1], SEED), "big", signed=True))
+            sets.append(int.from_bytes(xxh64_digest(own.tobytes(), SEED), "big", signed=True))
             sizes.append(len(own))
-        return [pa.array(prints, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shingles, pa.binary())]
+        return [pa.array(prints, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64())]
 
-    rows = staged.put(add_columns(narrow, ["text"], "fingerprint bigint, set bigint, n bigint, shingles binary", make)
-                      .drop("text"), "rows")
+    rows = staged.put(add_columns(narrow, ["text"], "fingerprint bigint, set bigint, n bigint", make, keep=["id", "digest"]), "rows")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     # Texts of one set can differ in how often a shingle repeats, and so in their prints: the least one counts.
-    sets = staged.put(rows.groupBy("set").agg(F.min("fingerprint").alias("fingerprint"), F.first("n").alias("n"),
-                                              F.first("shingles").alias("shingles")), "sets")
+    sets = staged.put(rows.groupBy("set").agg(F.min("fingerprint").alias("fingerprint"), F.first("n").alias("n"), F.min(order).alias("first")), "sets")
     least = sets.groupBy("fingerprint").agg(F.min("set").alias("least"))
     few = links(sets.select("fingerprint").distinct(), radius, staged)
     close = (few.join(least.toDF("a", "one"), "a").join(least.toDF("b", "other"), "b").select(F.col("one").alias("a"), F.col("other").alias("b"))
              .unionByName(sets.join(least, "fingerprint").where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b"))))
-    found = staged.put(components(_confirmed(close, sets, similarity), staged), "found")
+    found = staged.put(components(_confirmed(close, narrow, sets, shingle, similarity, staged), staged), "found")
     for key in ("halves", "tiles"):
         staged.drop(key)
 
-    posted = _postings(sets, similarity)
+    posted = _postings(_texts(narrow, sets), shingle, similarity)
     shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("set").alias("least")).where("held > 1").drop("held")
-    shared = staged.put(posted.join(shared, "shingle"), "shared")
+    shared = staged.put(posted.join(small_side(shared), "shingle"), "shared")
     for all_pairs in (False, True):
         if all_pairs:
             # A shingle all of whose sets are in one group has no pair left; the label travels with the posting.
@@ -320,8 +345,10 @@ def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shin
             pairs = _comparable(shared.where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct(),
                                 _relabelled(sets, found), similarity)
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        more = _confirmed(staged.put(pairs, "pairs"), sets, similarity)
+        more = _confirmed(pairs, narrow, sets, shingle, similarity, staged)
         found = staged.put(components(stars.unionByName(more), staged), "found")
+    for key in ("shared", "open", "pairs", "bodies"):
+        staged.drop(key)
     roots = rows.select("id", "digest", "set").join(found, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("component", "set"))
     order = F.struct(F.col("id").isNull().alias("n"), "id", "digest")
     return _kept(df, roots.groupBy("root").agg(F.min(order).alias("best")), id, text)
