@@ -15,7 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -28,6 +28,7 @@ SHINGLES_AT_ONCE = 65_280
 TILE, BLOCK = 4096, 512
 SKETCH = 1 << 16
 POSTED_AT_ONCE = 500
+HOT = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 4, seen: list[np.ndarray] | None = None) -> int:
@@ -229,14 +230,13 @@ def _sketch(texts: DataFrame, shingle: int) -> np.ndarray:
     return sketch
 
 
-def _postings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``shingle`` and ``set`` for the rarest shingles of each set, as many as must hold one that a similar set shares.
+def _postings(texts: DataFrame, sketch: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """``shingle``, ``set`` and ``hot`` for the rarest shingles of each set, as many as must hold one that a similar set shares.
 
     Two sets of at least the similarity share all but a few of their shingles, so in any order of all shingles that is the same
     everywhere they share one among the first few. Rare ones first, by the sketch, keeps what many texts share out of the join.
+    ``hot`` are shingles that more than ``HOT`` sets may hold.
     """
-    sketch = _sketch(texts, shingle)
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, POSTED_AT_ONCE):
@@ -249,18 +249,29 @@ def _postings(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
                         shingles.append(own[np.lexsort((own, sketch[own & (SKETCH - 1)]))[:n]])
                         members.append(np.full(len(shingles[-1]), of, np.int64))
                 if shingles:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(members))],
-                                                     names=["shingle", "set"])
+                    posted = np.concatenate(shingles)
+                    yield pa.RecordBatch.from_arrays([pa.array(posted), pa.array(np.concatenate(members)), pa.array(sketch[posted & (SKETCH - 1)] > HOT)],
+                                                     names=["shingle", "set", "hot"])
+
+    return texts.mapInArrow(first, "shingle bigint, `set` bigint, hot boolean")
 
-    return texts.mapInArrow(first, "shingle bigint, `set` bigint")
 
+def _shared(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``shingle``, ``set`` and ``least``, the least set that posted it, of shingles that more than one set posted.
 
-def _comparable(pairs: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` whose labels differ and whose sizes allow the similarity."""
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("set").alias(side), F.col("label").alias(f"label_{side}"), F.col("n").alias(f"n_{side}")), side)
-    fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    return pairs.where((F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
+    A window costs one shuffle and holds ``HOT`` rows at most. Hot shingles are counted where they are read and joined back,
+    which the adaptive planner can split.
+    """
+    sketch = _sketch(texts, shingle)
+    posted = _postings(texts, sketch, shingle, similarity)
+    of_shingle = Window.partitionBy("shingle")
+    cold = posted.where("NOT hot").select("shingle", "set", F.min("set").over(of_shingle).alias("least"), F.max("set").over(of_shingle).alias("most"))
+    found = cold.where("least < most").drop("most")
+    if (sketch > HOT).any():
+        hot = posted.where("hot").select("shingle", "set")
+        counted = hot.groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").drop("most")
+        found = found.unionByName(hot.join(counted, "shingle"))
+    return found
 
 
 def _relabelled(sets: DataFrame, found: DataFrame) -> DataFrame:
@@ -299,7 +310,7 @@ def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shin
 
     Fingerprints within ``radius`` bits, found by tiles, come first; each link is confirmed on the sets. Then come
     the pairs that share one of their rarest shingles, which no similar pair can lack: first each set with the least one of
-    those it shares a shingle with, then all pairs that are in different groups still. So no link is missed, and a
+    those it shares a shingle with (one for each), then all pairs that are in different groups still. So no link is missed, and a
     group of near copies costs few rows. Otherwise like ``first_of_each``.
     """
     staged = Staged(df.sparkSession, "similar")
@@ -327,23 +338,28 @@ def first_of_similar(df: DataFrame, id: str = "doc_id", text: str = "text", shin
     for key in ("halves", "tiles"):
         staged.drop(key)
 
-    posted = _postings(_texts(narrow, sets), shingle, similarity)
-    shared = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("set").alias("least")).where("held > 1").drop("held")
-    shared = staged.put(posted.join(small_side(shared), "shingle"), "shared")
+    shared = staged.put(_shared(_texts(narrow, sets), shingle, similarity), "shared")
     for all_pairs in (False, True):
+        labels = _relabelled(sets, found)
         if all_pairs:
             # A shingle all of whose sets are in one group has no pair left; the label travels with the posting.
-            labels = _relabelled(sets, found)
             marked = shared.drop("least").join(labels, "set")
             split = marked.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
             open_ = staged.put(marked.join(split, "shingle"), "open")
-            one = open_.select("shingle", F.col("set").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
-            other = open_.select("shingle", F.col("set").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+            one, other = (open_.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "label", "n")]) for side in "ab")
+            met = one.join(other, "shingle").where((F.col("set_a") < F.col("set_b")) & (F.col("label_a") != F.col("label_b")))
+            # Of the text whose posted shingles end first all common ones among them are seen here; the rest can all be common.
+            rest = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-9) - 1
+            least_common = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
             fits = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-            pairs = one.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits).select("a", "b").distinct()
+            pairs = (met.where(fits).groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("seen"))
+                     .where(F.col("seen") + rest >= least_common - 1e-6).select("a", "b"))
         else:
-            pairs = _comparable(shared.where("set != least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct(),
-                                _relabelled(sets, found), similarity)
+            # Each set with the one that it shares most with, of those that are the least at a shingle.
+            counted = shared.where("set != least").groupBy("set", "least").agg(F.count(F.lit(1)).alias("seen"))
+            best = counted.groupBy("set").agg(F.max(F.struct("seen", "least")).alias("best")).select("set", F.col("best.least").alias("b"))
+            to = labels.select(F.col("set").alias("b"), F.col("label").alias("label_b"))
+            pairs = best.join(labels, "set").join(to, "b").where("label != label_b").select(F.col("set").alias("a"), "b")
         stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         more = _confirmed(pairs, narrow, sets, shingle, similarity, staged)
         found = staged.put(components(stars.unionByName(more), staged), "found")

@@ -342,7 +342,7 @@ def similar_groups(texts, similarity=0.8):
     return [top(i) for i in range(len(texts))]
 
 
-def test_similar_groups_of_many_kinds(spark):
+def test_similar_groups_of_many_kinds(spark, monkeypatch):
     """Dense groups, chains whose ends differ, passages that all share, short and empty texts: as every pair compared says."""
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -364,8 +364,9 @@ def test_similar_groups_of_many_kinds(spark):
     firsts = {}
     for i, g in enumerate(similar_groups(texts)):
         firsts[g] = min(i, firsts.get(g, i))
-    kept = [r.doc_id for r in simhash.first_of_similar(frame).collect()]
-    assert sorted(kept) == sorted(firsts.values())
+    for hot in (simhash.HOT, 20):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert sorted(r.doc_id for r in simhash.first_of_similar(frame).collect()) == sorted(firsts.values())
 
 
 EXTRA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, n_lines string, kept string, topic string, lang_pred string, ids string, `a.b` string"
