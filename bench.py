@@ -25,6 +25,7 @@ BATCH = ["q1_currency_conversion", "q2_selection", "q3_local_item_suggestion", "
          "customer_last10_orders", "customer_order_window_join", "json_decode", "window_udaf",
          "bench_summary"]
 STREAM = ["stream_q1_currency_conversion", "stream_q2_selection", "stream_q5_hot_items",
+          "stream_q3_local_item_suggestion", "stream_q6_last10_avg",
           "stream_q7_highest_bid", "stream_q8_new_sellers", "stream_q4_category_avg"]
 
 # Events a query reads, per 50 events of the workload's mix; other tables count as they are.
