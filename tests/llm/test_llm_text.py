@@ -1,8 +1,10 @@
 """Operators on texts against brute force, on hand-made rows with every odd case, and on the smallest tables."""
 
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -271,6 +273,92 @@ def test_licenses_find_every_planted_line(spark):
     assert queries.op6_licenses(spark, SF_DIR).where("exact").count() == planted > 0
 
 
+NOTICES = [
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+    ("This work is licensed under the GNU General Public License, version 1.", ["GPL-1.0"]),
+    ("This work is licensed under the GNU General Public License, version 7.", []),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", ["CC-BY-3.0"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    ("Use of this source code is governed by a BSD 2-Clause License.", ["BSD-2-Clause"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, version 1.1.", []),
+    ("Licensed under the Mozilla Public License, version 1.1", ["MPL-1.1"]),
+    ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]),
+    ("It is not licensed under the MIT License.", []),
+    ("It does not matter. Released under the MIT License.", ["MIT"]),
+    ("Licensed under the Apache License,\nVersion 2.0", ["Apache-2.0"]),
+    ("# Licensed under the\n#   Apache License,\n# Version 2.0", ["Apache-2.0"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("SPDX-License-Identifier: MIT-0", []),
+    ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", ["MIT", "Apache-2.0"]),
+    ("SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0"]),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+    ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0-or-later"]),
+    ("SPDX-License-Identifier: MIT+", []),
+    ("Licensed under GPLv3", ["GPL-3.0"]),
+    ("Licensed under the GNU General Public License, version 2 or any later version.", ["GPL-2.0-or-later"]),
+    ("Licensed under the MIT License or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ("Released under the MIT License. Parts: licensed under CC BY-NC 4.0.", ["MIT", "CC-BY-NC-4.0"]),
+    ("This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as\n"
+     " * published by the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version.", ["GPL-2.0-or-later"]),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation; version 2 of the License.", ["GPL-2.0"]),
+    (licenses.WORDINGS["MIT"].replace(", ", ",\n// "), ["MIT"]),
+    (licenses.WORDINGS["ISC"], ["ISC"]),
+    (licenses.WORDINGS["BSD-2-Clause"].replace("1.", "*").replace("2.", "*"), ["BSD-2-Clause"]),
+    (licenses.WORDINGS["BSD-3-Clause"].replace(". ", ".\n\n"), ["BSD-3-Clause"]),
+    ("the license of art, in the public domain of cc", []),
+]
+
+
+def test_licenses_by_deciding_words(docs):
+    filler = "so the wind went over the old hills and came back late " * 40
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)] + [(1000 + i, f"{filler}\n\n{t}\n\n{filler}") for i, (t, _) in enumerate(NOTICES)]
+    found = {}
+    for r in sorted(licenses.scan(docs(*rows)).collect(), key=lambda r: r.start):
+        found.setdefault(r.doc_id, []).append(r.license)
+    for i, (text, wanted) in enumerate(NOTICES):
+        assert found.get(i, []) == wanted, text
+        assert found.get(1000 + i, []) == wanted, text
+
+
+def test_every_license_wording_is_found_exactly():
+    scanner = licenses.Scanner(licenses._all_templates())
+    assert len(scanner.licenses) > 50
+    for t in scanner.templates:
+        told = [(f[2], f[6]) for f in scanner.scan(f"Zebra zebra. {t.text}")]
+        assert told == [(t.license, True)], t.text
+
+
+def slow_notices(text):
+    """Licenses with a wording anywhere in the text: every span of words against every template."""
+    words = [w for w, _, _ in licenses.words(text)]
+    told = set()
+    for t in licenses.Scanner(licenses._all_templates()).templates:
+        if len(t.words) > 20 or any(words.count(w) < n for w, n in t.needed.items()):
+            continue
+        for low in range(len(words)):
+            for high in range(low + len(t.words) - t.allowed, min(len(words), low + len(t.words) + t.allowed) + 1):
+                span = words[low:high]
+                if Counter(w for w in span if t.decides(w)) == t.needed:
+                    row = [0] * (len(span) + 1)
+                    for a in t.words:
+                        row = list(itertools.accumulate(range(len(span)), lambda left, j, row=row, a=a: row[j] + 1 if span[j] == a else max(left, row[j + 1]), initial=0))
+                    if len(t.words) + len(span) - 2 * row[-1] <= t.allowed:
+                        told.add(t.license)
+    return told
+
+
+def test_licenses_equal_brute_force(spark):
+    found = {}
+    for r in queries.op6_licenses(spark, SF_DIR).collect():
+        found.setdefault(r.doc_id, set()).add(r.license)
+    for r in given(spark).collect():
+        assert found.get(r.doc_id, set()) == slow_notices(r.text or ""), r.doc_id
+    assert found
+
+
 # --- secrets ---
 
 def slow_base(text):
