@@ -5,13 +5,15 @@ neighbours get a graph of their own with lists twice as long, again while that h
 saturated are compared exactly across components: they fall into cells with a centre and a radius,
 and pairs of cells too far apart by the triangle inequality for any link are skipped. What is linked is
 then completed exactly: within each component every pair is compared, tile by tile, and counted
-where it is compared. A brute-force audit of some vectors measures the recall; where it falls
-short, the graph goes on from other trees with longer lists, and at last all nodes are compared by cells.
+where it is compared. A brute-force audit of some vectors, half of them those whose lists begin
+nearest, measures the recall of links, and of nearest vectors where links are few; where it falls short, the
+graph goes on from other trees with longer lists, and at last all nodes are compared by cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ TILE = 1024
 CELLS = 512  # whose centres are compared at once
 ROUNDING = 1e-6  # of distances between unit vectors, centres and radii in double precision, amply
 AUDITED, WANTED, PASSES = 128, 0.99, 3
+LINKED, WANTED_NEAREST = 32, 0.9  # with fewer linked vectors in the audit, this share of nearest vectors must be in the lists
+UNSURE = 1e-12  # products of matrices and of single pairs round differently
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -36,12 +40,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the unit vectors of each row."""
+    return np.einsum("ij,ij->i", x, y)
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of unit vectors reach the cosine, as ``_cosines`` tells of each pair alone."""
+    cosine = x @ y.T
+    near = cosine >= threshold
+    a, b = np.nonzero(np.abs(cosine - threshold) < UNSURE)
+    near[a, b] = _cosines(x[a], y[b]) >= threshold
+    return near
+
+
 def _near_places(lists: DataFrame, threshold: float) -> DataFrame:
     return edges(lists).where(F.col("dist") <= 2 - 2 * threshold + MARGIN)
 
 
 def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
-    return lists.where((F.size("nbrs") >= k) & (F.element_at("dists", -1) <= 2 - 2 * threshold + MARGIN))
+    return lists.where((F.size("nbrs") >= k) & (F.try_element_at("dists", F.lit(-1)) <= 2 - 2 * threshold + MARGIN))
 
 
 def _enlarged(codes: DataFrame, lists: DataFrame, k: int, threshold: float, staged: Staged) -> tuple[list[DataFrame], DataFrame]:
@@ -68,7 +86,7 @@ def _links(places: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cosine = np.einsum("ij,ij->i", _unit(packed(batch.column(2))), _unit(packed(batch.column(3))))
+                cosine = _cosines(_unit(packed(batch.column(2))), _unit(packed(batch.column(3))))
                 near = pa.array(np.flatnonzero(cosine >= threshold))
                 yield pa.RecordBatch.from_arrays([c.take(near) for c in batch.columns[:2]], names=["a", "b"])
 
@@ -136,7 +154,7 @@ def _bridges(some: DataFrame, codes: DataFrame, nodes: DataFrame, found: DataFra
         x = _unit(packed(table.column("v").combine_chunks()))
         same = key[0].as_py() == key[1].as_py()
         left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        a, b = np.nonzero((x[left] @ x[right].T >= threshold) & (component[left][:, None] != component[right][None, :]))
+        a, b = np.nonzero(_reaches(x[left], x[right], threshold) & (component[left][:, None] != component[right][None, :]))
         a, b = left[a], right[b]
         ends = np.stack([np.minimum(component[a], component[b]), np.maximum(component[a], component[b])])
         first = np.unique(ends, axis=1, return_index=True)[1] if len(a) else np.array([], np.int64)
@@ -169,12 +187,12 @@ def _counted(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
         if key[0].as_py() == -1:
             order = np.argsort(component, kind="stable")
             for rows in np.split(order, np.flatnonzero(np.diff(component[order])) + 1):
-                near[rows] = (x[rows] @ x[rows].T >= threshold) @ n[rows]
+                near[rows] = _reaches(x[rows], x[rows], threshold) @ n[rows]
         elif key[1].as_py() == key[2].as_py():
-            near = (x @ x.T >= threshold) @ n
+            near = _reaches(x, x, threshold) @ n
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            same = x[left] @ x[right].T >= threshold
+            same = _reaches(x[left], x[right], threshold)
             near[left], near[right] = same @ n[right], same.T @ n[left]
         return pa.table({"node": node, "near": near})
 
@@ -182,30 +200,56 @@ def _counted(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return parts.groupBy("node").agg(F.sum("near").alias("near"))
 
 
-def _audited(nodes: DataFrame, near: DataFrame, threshold: float) -> float:
-    """Share of its true links, by brute force against all, that was counted for a vector, on average over
-    some vectors that have any: a large group does not outweigh the small ones."""
-    some = nodes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDITED).select("id", "v").toArrow()
-    if not some.num_rows:
-        return 1.0
+class Audit(NamedTuple):
+    """What brute force over all vectors says of some."""
+    sampled: int  # vectors drawn at random, and as many whose lists begin nearest
+    linked: int  # of these, those with any true link
+    recall: float | None  # share of its true links that was counted for a linked vector, on average; None if none was seen
+    nearest: float  # share of the vectors drawn at random whose list holds their nearest vector
+
+    @property
+    def passed(self) -> bool:
+        """Links decide where enough were seen; where few or none were, the lists must also hold the nearest vectors."""
+        return (self.recall is None or self.recall >= WANTED) and (self.linked >= LINKED or self.nearest >= WANTED_NEAREST)
+
+
+def _audited(nodes: DataFrame, lists: DataFrame, near: DataFrame, threshold: float) -> Audit:
+    """Measured on ``AUDITED`` vectors drawn at random and as many more whose lists begin at the least distance:
+    where links are rare, those are the ones to have them. A large group does not outweigh the small ones."""
+    drawn = nodes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDITED).select("id").withColumn("random", F.lit(True))
+    close = (lists.select("id", F.get("dists", F.lit(0)).alias("first")).where("first IS NOT NULL").orderBy("first", F.xxhash64("id", F.lit(SEED)), "id")
+             .limit(AUDITED).select("id").withColumn("random", F.lit(False)))
+    chosen = drawn.unionByName(close).groupBy("id").agg(F.max("random").alias("random"))
+    some = nodes.join(F.broadcast(chosen), "id").select("id", "v", "n", "random").toArrow()
+    if some.num_rows < 2:
+        return Audit(some.num_rows, 0, None, 1.0)
     ids, x = some.column("id").to_numpy(), _unit(packed(some.column("v").combine_chunks()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), np.int64)
+        total, best, nearest = np.zeros(len(ids), np.int64), np.full(len(ids), -2.0), np.full(len(ids), -1, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += (x @ _unit(packed(batch.column(0))).T >= threshold) @ batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "true"])
-
-    true = nodes.select("v", "n").mapInArrow(compare, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
-    own = nodes.select(F.col("id").alias("node"), "n")
-    share = ((F.coalesce("near", "n") - F.col("n")) / (F.col("true") - F.col("n"))).alias("share")
-    mean = true.join(own, "node").join(near, "node", "left").where(F.col("true") > F.col("n")).select(share).agg(F.avg("share")).first()[0]
-    return 1.0 if mean is None else mean
+                other, y = batch.column(0).to_numpy(), _unit(packed(batch.column(1)))
+                total += _reaches(x, y, threshold) @ batch.column(2).to_numpy()
+                cosine = np.where(other[None, :] == ids[:, None], -2.0, x @ y.T)
+                first = cosine.argmax(axis=1)
+                here = cosine[np.arange(len(ids)), first]
+                nearest, best = np.where(here > best, other[first], nearest), np.maximum(here, best)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, total, best, nearest)], names=["node", "true", "best", "nearest"])
+
+    true = nodes.select("id", "v", "n").mapInArrow(compare, "node bigint, true bigint, best double, nearest bigint").groupBy("node").agg(
+        F.sum("true").alias("true"), F.max(F.struct("best", "nearest")).getField("nearest").alias("nearest"))
+    own = nodes.select(F.col("id").alias("node"), "n").join(F.broadcast(chosen.withColumnRenamed("id", "node")), "node")
+    held = lists.select(F.col("id").alias("node"), "nbrs")
+    counted = true.join(own, "node").join(near, "node", "left").join(held, "node", "left")
+    has, random = F.col("true") > F.col("n"), F.col("random")
+    share = (F.coalesce("near", "n") - F.col("n")) / (F.col("true") - F.col("n"))
+    hit = F.coalesce(F.array_contains("nbrs", F.col("nearest")), F.lit(False)).cast("double")
+    return Audit(*counted.agg(F.count(F.lit(1)), F.count_if(has), F.avg(F.when(has, share)), F.coalesce(F.avg(F.when(random, hit)), F.lit(0.0))).first())
 
 
 def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95,
-                    k: int = K) -> DataFrame:
+                    k: int = K, audits: list[Audit] | None = None) -> DataFrame:
     """``id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
     Links are pairs of different rows whose cosine in double precision reaches the threshold; a
@@ -213,6 +257,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     node that counts for all its rows. Rows without id and vectors that are null, empty, zero, of
     unusual length or hold null or non-finite components link with nothing and are kept. Ids are
     expected to be distinct. An empty table gives an empty result; other columns are not read.
+    The audit of every pass is added to ``audits``.
     """
     staged = Staged(df.sparkSession, "near")
     rows = usable(df, id, vector)
@@ -236,7 +281,10 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
         found = staged.put(components(_links(places, nodes, threshold), staged), "found")
         found = joined_by(found, rest)
         near = staged.put(_counted(nodes, found, threshold), "near")
-        if _audited(nodes, near, threshold) >= WANTED:
+        audit = _audited(nodes, lists, near, threshold)
+        if audits is not None:
+            audits.append(audit)
+        if audit.passed:
             break
         k *= 2
     else:

@@ -136,6 +136,36 @@ def test_embedding_dedup_without_a_graph(vectors, monkeypatch):
     assert [found[i].n_links for i in range(len(x))] == n.tolist() and [found[i].component_id for i in range(len(x))] == label.tolist()
 
 
+@pytest.mark.parametrize("off", ["places", "lists", None])
+def test_embedding_dedup_of_rare_links(vectors, monkeypatch, off):
+    # One vector in 200 has a link. Where the graph, or what is read from it, is switched off, the audit has to see it.
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 32))
+    x[2000:2010] = x[:10] + 0.1 * rng.normal(size=(10, 32))
+    x = x.astype(np.float32).astype(np.float64)
+    n, label = slow_dedup(x, 0.95)
+    assert 18 <= (n > 0).sum() <= 22
+    if off == "places":
+        monkeypatch.setattr(embedding_dedup, "_near_places", lambda lists, threshold: embedding_dedup.edges(lists).where("false"))
+    elif off == "lists":
+        none = [F.lit([]).cast(t).alias(c) for c, t in (("nbrs", "array<bigint>"), ("dists", "array<float>"), ("fresh", "array<boolean>"))]
+        monkeypatch.setattr(embedding_dedup, "build", lambda codes, *_, **__: codes.select("id", *none))
+    audits = []
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors([(i, v.tolist()) for i, v in enumerate(x)]), audits=audits).collect()}
+    assert [found[i].n_links for i in range(len(x))] == n.tolist() and [found[i].component_id for i in range(len(x))] == label.tolist()
+    print(audits)
+    assert audits[-1].passed == (off is None) and (off == "lists" or audits[0].linked >= 18)
+
+
+def test_embedding_dedup_cosine_is_one_function():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(20):
+        at = float(embedding_dedup._cosines(x[i:i + 1], x[i + 20:i + 21])[0])
+        assert embedding_dedup._reaches(x, x, at)[i, i + 20] and not embedding_dedup._reaches(x, x, np.nextafter(at, 2))[i, i + 20]
+
+
 @pytest.mark.parametrize("noise", [2.5e-2, 1e-2, 4e-3])
 def test_nearest_recall_among_very_near_copies(vectors, noise):
     # 3000 copies at cosine about 0.9994, 0.9999 and 0.99998, a third of the rows with 6000 others.
