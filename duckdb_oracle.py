@@ -474,6 +474,8 @@ def oracle() -> dict[str, str]:
             SELECT 'changelog', category, avg_price, NULL, max_date_time FROM ({_average("closing")})""",
         "stream_redelivered_events": f"""SELECT * FROM ({EVENTS["events_tumble_count"]})
             WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+        "stream_measured_offsets": """SELECT 'events' AS topic, count(*) AS total_offset, 0::bigint AS samples_back FROM events UNION ALL
+            SELECT 'orders', count(*), 0 FROM orders UNION ALL SELECT 'lineitem', count(*), 0 FROM lineitem""",
         "stream_state_audit": "SELECT unnest([1, 2])::bigint AS operator, 0::bigint AS behind",
         "stream_source_epoch_ms": _with(b) + EPOCH_BID,
         "stream_json_persons_per_state": _with(p, _judged("person"), f"good AS ({_accepted('person')})") + _closed(

@@ -22,7 +22,7 @@ from .sinks import json_records, keyed_records
 from .sources import damage, derive, records, routing
 from .sources.tables import LATENESS, as_stream, from_time
 from .streaming import auctions as live
-from .streaming import audit, closing, delivery
+from .streaming import audit, closing, delivery, sampling
 from .streaming.run import to_files
 from .streaming import tables as live_tables
 
@@ -473,7 +473,18 @@ def state_audit(t: Tables) -> DataFrame:
     return delivery.in_parts(t.spark, parts, dict.fromkeys(parts[0], "date_time"), run, LATENESS).select("operator", "behind")
 
 
+def measured_offsets(t: Tables) -> DataFrame:
+    """How far a running query has read each of three tables at its last sample, and that no sample lies behind an earlier one."""
+    topics = {"events": t.events.select("event_id", "event_type"), "orders": t.orders.select("o_orderkey"),
+              "lineitem": t.lineitem.select("l_orderkey", "l_linenumber")}
+    taken = sampling.table_offsets(t.spark, topics)
+    back = taken.throughput().where("events < 0").groupBy("topic").agg(F.count("*").alias("back"))
+    last = taken.offsets.groupBy("topic").agg(F.max_by("total_offset", "ts").alias("total_offset"))
+    return last.join(back, "topic", "left").select("topic", "total_offset", F.coalesce("back", F.lit(0)).cast("bigint").alias("samples_back"))
+
+
 STREAMS: dict[str, Query] = {
+    "stream_measured_offsets": batch(measured_offsets),
     "stream_route_events": batch(routed_arriving),
     "stream_q8_of_topics": batch(new_sellers_of_topics),
     "stream_json_decode_with_rejects": records_arriving(decoded_arriving, "auction"),
