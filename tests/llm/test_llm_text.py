@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -400,6 +401,70 @@ def test_quality_on_held_out_labels(spark):
     assert right >= 0.9 * len(scored)
 
 
+def plain_buckets(text):
+    """Word and pair buckets of a text, one word at a time."""
+    at = [zlib.crc32(w.encode()) for w in (text or "").lower().split()]
+    pairs = [((a * 0x9E3779B1 + b * 0x85EBCA6B) % (1 << 64) >> 17) % quality.WORD_BUCKETS for a, b in itertools.pairwise(at)]
+    return {a % quality.WORD_BUCKETS for a in at} | set(pairs)
+
+
+def test_quality_words_and_steps_by_brute_force(spark):
+    docs, labels = given(spark).collect(), {r.doc_id: r.quality for r in given(spark, "labels").collect()}
+    rows = quality.prepared(given(spark), given(spark, "labels"))
+    rows.persist()
+    kept = {r.id: r for r in rows.collect()}
+    fold = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) // 4 % quality.FOLDS for d in docs}
+    late = {i for i in labels if zlib.crc32(str(i).encode()) // (4 * quality.FOLDS) % 4 == 3}
+    held = {d.doc_id: plain_buckets(d.text) for d in docs}
+    assert len(kept) == len(docs) and late
+    for i, r in kept.items():
+        assert list(np.frombuffer(r.words, "<u2")) == sorted(held[i]) and r.fold == fold[i] and r.calibrates == (i in late)
+
+    leaning = quality._leanings(rows, None)
+    for f in range(quality.FOLDS):
+        seen = {i for i in labels if i not in late and fold[i] != f}
+        count = {k: Counter(b for i in seen if labels[i] == k for b in held[i]) for k in (0, 1)}
+        share = {k: sum(labels[i] == k for i in seen) / len(seen) for k in (0, 1)}
+        want = np.array([np.log(count[1][b] / share[1] + quality.SMOOTHING) - np.log(count[0][b] / share[0] + quality.SMOOTHING)
+                         for b in range(quality.WORD_BUCKETS)])
+        assert np.allclose(leaning[f], want, atol=1e-5)
+
+    # A step that also learns from what the other view is sure of, against the penalised likelihood's own gradient and bend.
+    rng = np.random.default_rng(3)
+    teacher = quality.CoTrained(meta=rng.normal(0, 3, quality.META_DIM), leaning=leaning)
+    model = quality.CoTrained(text=rng.normal(0, 0.1, quality.TEXT_DIM), leaning=leaning)
+    stepped = quality._newton(rows, model, "text", teacher)
+    bend, slope = np.eye(quality.TEXT_DIM) * quality.RIDGE, -quality.RIDGE * model.text
+    sure = 0
+    for i, r in kept.items():
+        dense = np.frombuffer(r.x, "<f4").astype(float)
+        total = sum(float(leaning[fold[i], b]) for b in held[i])
+        n = max(1, len(held[i]))
+        z = np.append(dense[:quality.SHAPE_DIM], np.clip([4 * total / n, total / n**0.5], -8, 8))
+        by_meta = 1 / (1 + np.exp(-dense[quality.SHAPE_DIM:] @ teacher.meta))
+        if i in late or (i not in labels and 0.05 < by_meta < 0.95):
+            continue
+        y, weight = (labels[i], 1.0) if i in labels else (by_meta > 0.5, quality.PSEUDO_WEIGHT)
+        sure += i not in labels
+        p = 1 / (1 + np.exp(-z @ model.text))
+        bend += weight * p * (1 - p) * np.outer(z, z)
+        slope += weight * (y - p) * z
+    assert sure and np.allclose(stepped.text, model.text + np.linalg.solve(bend, slope), atol=1e-5)
+    assert np.array_equal(stepped.meta, model.meta) and np.array_equal(stepped.both, model.both)
+
+
+def test_quality_reads_what_texts_say(spark):
+    """Good and bad texts of one shape, from one source, differ in their words alone."""
+    rng = random.Random(5)
+    common, good, bad = ([f"{k}{rng.randrange(10**6):06d}" for _ in range(60)] for k in "abc")
+    rows = [(i, " ".join(rng.choice(good if i % 3 else bad) if rng.random() < 0.15 else rng.choice(common) for _ in range(60)), "s", "en")
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 600, 2)], "doc_id bigint, quality int")
+    told = {r.doc_id: r.good for r in quality.classify(df, labels).collect()}
+    assert sum(told[i] == (i % 3 > 0) for i in range(1, 600, 2)) >= 0.95 * 300
+
+
 def test_quality_odd_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, None), (99, 1)], "doc_id bigint, quality int")
     scored = quality.classify(docs(*ODD), labels).collect()
