@@ -25,7 +25,7 @@ from .common import add_columns
 
 # Bytes that a worker remembers at most, as estimated below, beside the ranks and two small facts on each of them: pieces (two
 # generations), pairs of tokens, states with their moves. Beyond a bound it forgets and makes the entries anew.
-PIECES_BYTES, PAIRS_BYTES, STATES_BYTES = 40_000_000, 32_000_000, 12_000_000
+PIECES_BYTES, PAIRS_BYTES, STATES_BYTES = 80_000_000, 32_000_000, 12_000_000
 PIECE, PAIR, STATE, MOVE = 220, 130, 500, 260  # about what an entry takes, a piece besides its own bytes
 REMEMBERED_LENGTH = 48
 DECODE_TOKENS = 8192
