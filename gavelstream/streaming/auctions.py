@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from ..sources.records import decode, decode_and_reject
 from ..sources.routing import route
 from ..sources.tables import as_stream
 from .carried import VERSION, upserts
-from .keyed import Order, last_rows, window_process, window_states
+from .keyed import Order, last_rows, reduced_window_process, window_states
 from .run import setting, start_batches, to_files
 
 
@@ -214,12 +214,13 @@ def counted(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.groupby(["auction", "window_start", "window_end"], as_index=False, sort=False).agg(bids=("auction", "size"))
 
 
-def levels_of_window(key: tuple, start: pd.Timestamp, end: pd.Timestamp, elements: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A process function: the elements are partial counts of an auction's bids; a row for each level they reach together."""
-    total = sum(int(some["bids"].sum()) for some in elements)
-    yield busy_levels(pd.DataFrame({"auction": [key[0]], "bid_count": [total], "window_start": [start], "window_end": [end]}))
+def levels_of_windows(parts: pd.DataFrame) -> pd.DataFrame:
+    """A process function: partial counts of auctions' bids in closed windows; a row for each level they reach together."""
+    by = ["auction", "window_start", "window_end"]
+    return busy_levels(parts.groupby(by, as_index=False, sort=False, dropna=False).agg(bid_count=("bids", "sum")))
 
 
 def window_levels(bids: DataFrame, root: str | None = None) -> DataFrame:
     windowed = window_bounds(bids.select("auction", hop("date_time", plan.SLIDE, plan.SIZE)))
-    return to_files(window_process(windowed, ["auction"], "bids bigint", levels_of_window, SHARE_SCHEMA, counted), "window-levels", root)
+    levels = reduced_window_process(windowed, ["auction"], "bids bigint", counted, levels_of_windows, SHARE_SCHEMA)
+    return to_files(levels, "window-levels", root)

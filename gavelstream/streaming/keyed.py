@@ -185,25 +185,60 @@ def window_states(windowed: DataFrame, keys: Sequence[str], function: MergeableA
     return _with_bounds(finished(closed, by, function), keys, StructType.fromDDL(function.result).fieldNames())
 
 
-def window_process(windowed: DataFrame, keys: Sequence[str], elements: str, function: Callable, result: str,
-                   reduce: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+def window_process(windowed: DataFrame, keys: Sequence[str], elements: str, function: Callable, result: str) -> DataFrame:
     """A user's function over all elements of a key and window, called once when the window closes.
 
     ``function(key, start, end, elements)`` gets the key's values, the window's bounds and an iterator of frames with the
-    columns ``elements`` (DDL), and yields any number of frames with the columns ``result`` (DDL). With ``reduce`` each task
-    first makes fewer elements of those it reads: it gets a frame of the key, the bounds and the input's columns
-    and returns one of the key, the bounds and the elements.
+    columns ``elements`` (DDL), and yields any number of frames with the columns ``result`` (DDL).
     """
     keep_state_in_rocksdb(windowed.sparkSession)
     keys, schema = list(keys), StructType.fromDDL(elements)
-    if reduce is not None:
-        ddl = f"{_key_ddl(windowed, [*keys, 'window_start', 'window_end'])}{elements}"
-        windowed = windowed.mapInPandas(functools.partial(_reduced, reduce), ddl)
     return _by_window(windowed, keys).transformWithStateInPandas(
         WindowProcess(keys, schema, function, StructType.fromDDL(result).fieldNames()), result, "Append", "EventTime")
 
 
-def _reduced(reduce: Callable[[pd.DataFrame], pd.DataFrame], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def reduced_window_process(windowed: DataFrame, keys: Sequence[str], elements: str, reduce: Callable[[pd.DataFrame], pd.DataFrame],
+                           function: Callable[[pd.DataFrame], pd.DataFrame], result: str) -> DataFrame:
+    """A user's function over the elements of many closed windows at once, for elements that tasks can reduce first.
+
+    ``reduce`` gets a frame of the key, the bounds and the input's columns, as a task reads them, and returns fewer rows of the
+    key, the bounds and ``elements`` (DDL). ``function`` gets frames of such rows, all those of a key and window in one
+    frame, and returns one with the columns ``result`` (DDL).
+    """
+    keep_state_in_rocksdb(windowed.sparkSession)
+    keys, schema, names = list(keys), StructType.fromDDL(elements), StructType.fromDDL(result).fieldNames()
+    by, bounds = [*keys, START, END], {START: "window_start", END: "window_end"}
+
+    def with_times(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(**{c: pd.to_datetime(rows[c], unit="us") for c in bounds}).rename(columns=bounds)
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                made = reduce(with_times(batch)).rename(columns={v: k for k, v in bounds.items()})
+                yield made.assign(**{c: made[c].astype("datetime64[us]").astype("int64") for c in bounds})
+
+    def process(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in _whole_groups(batches, by):
+            yield function(with_times(whole))[names]
+
+    flat = _with_micros(windowed)
+    parts = flat.mapInPandas(reduced, f"{_key_ddl(flat, by)}{elements}")
+    return _of_closed(parts, keys, schema.fieldNames()).mapInPandas(process, result)
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames cut so that rows of a key, which come one after another, stay together."""
+    held: list[pd.DataFrame] = []
     for batch in batches:
-        if len(batch):
-            yield reduce(batch)
+        if batch.empty:
+            continue
+        last = batch[by].iloc[-1]
+        goes_on = ((batch[by] == last) | (batch[by].isna() & last.isna())).all(axis=1).to_numpy()
+        begins = len(batch) if not goes_on.any() else len(batch) - int(np.argmin(goes_on[::-1])) if not goes_on.all() else 0
+        if begins:
+            yield pd.concat([*held, batch.iloc[:begins]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[begins:])
+    if held:
+        yield pd.concat(held, ignore_index=True)

@@ -15,7 +15,7 @@ from gavelstream.sources.tables import as_stream, parquet_files, register, table
 from gavelstream.streaming import auctions as live
 from gavelstream.streaming import carried, closing, delivery
 from gavelstream.streaming.measure import measured
-from gavelstream.streaming.keyed import newest, window_process
+from gavelstream.streaming.keyed import newest, reduced_window_process, window_process
 from gavelstream.streaming.run import dropped_as_late, finish, progress_log, setting, start_files, to_files
 
 EVENTS, PARTS = 6000, 4
@@ -267,3 +267,21 @@ def test_windows_are_merged_and_finished_many_at_once(spark, tmp_path, bids):
         assert min(r["bids"] for r in found) > 50
         counted = live.window_aggregate(source(), ["auction"], PriceSpread(), "10 seconds").collect()
     assert {r["bids"] for r in counted} == {3}
+
+
+def test_reduced_elements_of_many_windows_go_to_a_function_at_once(spark, tmp_path, bids):
+    def sizes(parts):
+        whole = parts.groupby(["auction", "window_start", "window_end"], as_index=False, dropna=False).agg(bids=("bids", "sum"))
+        return whole.assign(frame=len(whole))
+
+    for i in range(3):
+        bids(*[(k, 1, 1, 1 + i) for k in range(200)], (None, 1, i, 2)).write.mode("append").parquet(str(tmp_path / "bid"))
+    bids((1, 1, 1, 40)).write.mode("append").parquet(str(tmp_path / "bid"))
+    windowed = window_bounds(parquet_files(spark, "bid", str(tmp_path / "bid"), streaming=True).select("auction", tumble("date_time", "10 seconds")))
+    with setting(spark, "spark.sql.shuffle.partitions", "2"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "70"):
+        made = reduced_window_process(windowed, ["auction"], "bids bigint", live.counted, sizes,
+                                      "auction bigint, window_start timestamp, window_end timestamp, bids bigint, frame bigint")
+        found = to_files(made, "sizes").collect()
+    # A null auction is no element of the partial counts, as before; no window is cut by a frame.
+    assert sorted((r["auction"], r["bids"]) for r in found) == [(k, 3) for k in range(200)]
+    assert {(r["window_start"], r["window_end"]) for r in found} == {(at(0), at(10))} and max(r["frame"] for r in found) > 20
