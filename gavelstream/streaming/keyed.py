@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -22,6 +22,7 @@ from ..session import keep_state_in_rocksdb
 
 Order = Sequence[tuple[str, bool]]  # columns, each with whether it ascends
 READ_AT_ONCE = 10_000
+HELD_ROWS = 50_000
 START, END = "_start", "_end"  # a window's bounds as microseconds, part of the key
 
 
@@ -42,29 +43,52 @@ def micros(df: DataFrame) -> DataFrame:
 
 def newest(rows: pd.DataFrame, key: str, order: Order, last: int) -> pd.DataFrame:
     """The first ``last`` rows per key in this order; nulls first where it ascends, else last."""
-    flags = {f"\x01{c}": rows[c].notna() if up else rows[c].isna() for c, up in order}
-    by = [name for c, _ in order for name in (f"\x01{c}", c)]
-    ranked = rows.assign(**flags).sort_values(by, ascending=[up for _, rises in order for up in (True, rises)], kind="stable")
-    return ranked.groupby(key, sort=False, dropna=False).head(last)[list(rows.columns)]
+    by = []
+    for c, up in order:
+        missing, values = rows[c].isna().to_numpy(), rows[c].to_numpy()
+        values = values if values.dtype.kind == "i" else np.where(missing, 0, values).astype("float64")
+        by += [~missing, values] if up else [missing, ~values if values.dtype.kind == "i" else -values]
+    ranked = rows.iloc[np.lexsort(by[::-1])]
+    return ranked.groupby(key, sort=False, dropna=False).head(last)
+
+
+def newest_of_task(batches: Iterator[pd.DataFrame], key: str, order: Order, last: int) -> Iterator[pd.DataFrame]:
+    """About ``last`` rows per key and task; a task holds a bounded number of rows."""
+    held: list[pd.DataFrame] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count > HELD_ROWS:
+            held = [newest(pd.concat(held, ignore_index=True), key, order, last)]
+            count = len(held[0])
+            if count > HELD_ROWS // 2:
+                yield held.pop()
+                count = 0
+    if count:
+        yield newest(pd.concat(held, ignore_index=True), key, order, last)
 
 
 class LastRows(StatefulProcessor):
     """A list of the last rows of a key; every change gives the average of one column."""
 
     def __init__(self, schema: StructType, key: str, order: Order, value: str, last: int, ttl_ms: int | None):
-        self.schema, self.key, self.order, self.value, self.last, self.ttl_ms = schema, key, order, value, last, ttl_ms
+        self.schema, self.key, self.last, self.ttl_ms = schema, key, last, ttl_ms
+        self.order = [(schema.fieldNames().index(c), up) for c, up in order]
+        self.value = schema.fieldNames().index(value)
 
     def init(self, handle) -> None:
         self.rows = handle.getListState("rows", self.schema, self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = self.schema.fieldNames()
-        held = pd.DataFrame(list(self.rows.get()), columns=names) if self.rows.exists() else None
-        for some in rows:
-            some = some[names] if held is None else pd.concat([held, some[names]], ignore_index=True)
-            held = newest(some, self.key, self.order, self.last)
-        self.rows.put([tuple(int(v) if v is not None else None for v in plain_row(held, i)) for i in range(len(held))])
-        yield pd.DataFrame({self.key: [key[0]], "average": [held[self.value].astype("float64").mean()]})
+    def _place(self, row: tuple) -> list:
+        """Nulls first where the order ascends, else last."""
+        return [(row[i] is not None, row[i] or 0) if up else (row[i] is None, -(row[i] or 0)) for i, up in self.order]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = sorted([tuple(r) for some in (self.rows.get(), rows) for r in some], key=self._place)[:self.last]
+        self.rows.put(held)
+        values = [r[self.value] for r in held if r[self.value] is not None]
+        yield Row(**{self.key: key[0], "average": sum(values) / len(values) if values else None})
 
     def close(self) -> None:
         pass
@@ -74,14 +98,14 @@ def last_rows(rows: DataFrame, key: str, order: Order, value: str, last: int, tt
     """``key`` and ``average`` of the ``value`` of each key's last rows, for every key that a micro-batch changes.
 
     Columns are whole numbers and times. State is ``last`` rows per key, with ``ttl`` no longer than that after a
-    key's last change. Each task passes on no more than ``last`` rows of a key from a batch of its rows.
+    key's last change. A task passes on no more than ``last`` rows of a key from ``HELD_ROWS`` of its rows.
     """
     keep_state_in_rocksdb(rows.sparkSession)
     plain = micros(rows)
-    cut = plain.mapInPandas(lambda batches: (newest(b, key, order, last) for b in batches), plain.schema)
+    cut = plain.mapInPandas(lambda batches: newest_of_task(batches, key, order, last), plain.schema)
     ttl_ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
     kind = plain.schema[key].dataType.simpleString()
-    return cut.groupBy(key).transformWithStateInPandas(
+    return cut.groupBy(key).transformWithState(
         LastRows(plain.schema, key, order, value, last, ttl_ms), f"`{key}` {kind}, average double", "Update",
         "None" if ttl is None else "ProcessingTime")
 

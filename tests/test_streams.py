@@ -15,7 +15,7 @@ from gavelstream.sources.tables import as_stream, parquet_files, register, table
 from gavelstream.streaming import auctions as live
 from gavelstream.streaming import carried, closing, delivery
 from gavelstream.streaming.measure import measured
-from gavelstream.streaming.keyed import newest, reduced_window_process, window_process
+from gavelstream.streaming.keyed import newest, newest_of_task, reduced_window_process, window_process
 from gavelstream.streaming.run import dropped_as_late, finish, progress_log, setting, start_files, to_files
 
 EVENTS, PARTS = 6000, 4
@@ -285,3 +285,16 @@ def test_reduced_elements_of_many_windows_go_to_a_function_at_once(spark, tmp_pa
     # A null auction is no element of the partial counts, as before; no window is cut by a frame.
     assert sorted((r["auction"], r["bids"]) for r in found) == [(k, 3) for k in range(200)]
     assert {(r["window_start"], r["window_end"]) for r in found} == {(at(0), at(10))} and max(r["frame"] for r in found) > 20
+
+
+def test_a_task_passes_on_few_rows_of_a_key_from_many_batches():
+    import pandas as pd
+    order = [("t", False), ("v", True)]
+    batches = [pd.DataFrame({"k": [1, 2, None] * 10, "t": [(7 * i + j) % 40 for j in range(30)], "v": [i] * 30}) for i in range(30)]
+    batches[3].loc[::4, "t"] = None
+    made = list(newest_of_task(iter(batches), "k", order, 4))
+    assert len(made) == 1 and len(made[0]) == 12
+    whole = pd.concat(batches).sort_values(["t", "v"], ascending=[False, True], na_position="last")
+    for k, some in whole.groupby("k", dropna=False):
+        mine = made[0][made[0]["k"].isna() if k != k else made[0]["k"] == k]
+        assert mine[["t", "v"]].values.tolist() == some.head(4)[["t", "v"]].values.tolist()
