@@ -14,6 +14,9 @@ These are written under the micro-batch number, so a repeated micro-batch writes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,12 @@ from ..plans import auctions as plan
 from ..session import new_path, remove
 from ..sources.tables import zone_free
 from .carried import Folded
+from .keyed import EVENT_TIME
 from .run import batch_path, read_batches, start_batches, to_files
 
 LIFE = "7 days"  # the longest that an auction is open, and the lateness its streams should have
+SLOT = "1 day"  # auctions that opened in the same one may merge
+HELD_INTERVALS = 100_000
 
 CLOSINGS = "auction bigint, category bigint, final bigint, max_bid_time timestamp"
 AVERAGES = "category bigint, avg_price double, max_date_time timestamp"
@@ -35,19 +41,76 @@ CHANGES = f"before struct<{AVERAGES.replace(' ', ':').replace(',:', ',')}>, " \
 TABLES = {"sums": SUMS, "average": AVERAGES, "changes": CHANGES, "records": "value string"}
 
 
-def matched_bids(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> DataFrame:
-    """Every bid with every auction of its id that was open at its time, as a join of two streams.
-
-    Both need watermarks. An auction that is open longer than ``life`` stops the query: its bids could be missed.
-    """
+def _opened(auctions: DataFrame, life: str) -> DataFrame:
+    """When auctions were open. One that is open longer than ``life`` stops the query: its bids could be missed."""
     too_long = F.col("expires") > F.col("date_time") + F.expr(f"INTERVAL {life}")
     checked = F.when(too_long, F.raise_error(F.lit(f"an auction is open longer than {life}")).cast("timestamp")).otherwise(F.col("expires"))
-    opened = auctions.select("id", "category", F.col("date_time").alias("_opened"), checked.alias("_until"))
+    return auctions.select("id", "category", F.col("date_time").alias("_opened"), checked.alias("_until"))
+
+
+def matched_bids(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> DataFrame:
+    """Every bid with every auction of its id that was open at its time, as a join of two streams; both need watermarks."""
     made = bids.select("auction", "price", "date_time")
-    return between_join(opened, made, {"id": "auction"}, "_opened", "_until", "date_time", at_most=life).select(
+    return between_join(_opened(auctions, life), made, {"id": "auction"}, "_opened", "_until", "date_time", at_most=life).select(
         "auction", "price", "date_time", "category")
 
 
+def _covers(rows: pd.DataFrame) -> pd.DataFrame:
+    """Disjoint intervals that cover exactly those of an id, category and slot, with the newest opening in each."""
+    by = ["id", "category", "_slot"]
+    rows = rows.sort_values([*by, "_from", "_to"], kind="stable", ignore_index=True)
+    group = rows.groupby(by, sort=False, dropna=False).ngroup()
+    reach = rows["_to"].groupby(group).cummax().groupby(group).shift()
+    cover = (reach.isna() | (rows["_from"] > reach)).cumsum()
+    return rows.groupby(cover, sort=False).agg(**{c: (c, "first") for c in (*by, "_from")}, _to=("_to", "max"), _newest=("_newest", "max"))
+
+
+def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The covers of a task's intervals; it holds a bounded number of intervals."""
+    held: list[pd.DataFrame] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += len(batch)
+        if count > HELD_INTERVALS:
+            held = [_covers(pd.concat(held, ignore_index=True))]
+            count = len(held[0])
+            if count > HELD_INTERVALS // 2:
+                yield held.pop()
+                count = 0
+    if count:
+        yield _covers(pd.concat(held, ignore_index=True))
+
+
+def open_intervals(auctions: DataFrame, life: str = LIFE) -> DataFrame:
+    """The times when some auction of an id and category was open, as few intervals.
+
+    Ids are reused, so a bid may meet very many open auctions of an id and category; for the closing price it counts that
+    there is one. Auctions that a micro-batch brings and that opened in the same ``SLOT`` merge where they overlap. The
+    watermark judges an interval by the newest opening it covers (``_newest``); its start is less than a ``SLOT`` before that.
+    """
+    opened = _opened(auctions, life).where(F.col("_opened") <= F.col("_until"))
+    slot = F.window("_opened", SLOT)["start"]
+    plain = opened.select("id", "category", F.unix_micros(slot).alias("_slot"), F.unix_micros("_opened").alias("_from"),
+                          F.unix_micros("_until").alias("_to"), F.unix_micros("_opened").alias("_newest"))
+    whole = plain.mapInPandas(_covered, plain.schema).repartition("id").mapInPandas(_covered, plain.schema)
+    return whole.select("id", "category", F.timestamp_micros("_from").alias("_from"), F.timestamp_micros("_to").alias("_to"),
+                        F.timestamp_micros("_newest").alias("_newest", metadata=EVENT_TIME))
+
+
+def bids_while_open(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> DataFrame:
+    """Bids of an id and category made while one of its auctions was open, as a join of two streams.
+
+    A bid comes once for each of ``open_intervals`` that holds it: often enough for a maximum, too often to count.
+    """
+    at, newest = F.col("date_time"), F.col("_newest")
+    # The last two follow from the first; they are what lets Spark forget bids and intervals.
+    held = (at.between(F.col("_from"), F.col("_to")) & (at >= newest - F.expr(f"INTERVAL {SLOT}"))
+            & (at <= newest + F.expr(f"INTERVAL {life}")))
+    return open_intervals(auctions, life).join(
+        bids.select("auction", "price", "date_time"), (F.col("id") == F.col("auction")) & held).select("auction", "price", "date_time", "category")
+
+
 class ClosingPrices:
     """The results below ``root`` and one step per micro-batch of matched bids."""
 
@@ -111,7 +174,8 @@ def run(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> Closin
     spark = auctions.sparkSession
     root = root or new_path(spark, "q4")
     prices = ClosingPrices(spark, root)
-    start_batches(matched_bids(auctions, bids), prices.step, f"{root}/checkpoint").awaitTermination()
+    # A step reads its micro-batch once, so that nothing of it needs to be held.
+    start_batches(bids_while_open(auctions, bids), prices.step, f"{root}/checkpoint", hold=False).awaitTermination()
     return prices
 
 

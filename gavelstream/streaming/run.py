@@ -107,10 +107,10 @@ def read_batches(spark: SparkSession, root: str, schema: StructType) -> DataFram
 
 
 def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
-                  mode: str = "append") -> StreamingQuery:
+                  mode: str = "append", hold: bool = True) -> StreamingQuery:
     """Call ``each`` with every micro-batch, computed once and held while it runs.
 
-    A stream turns adaptive planning off for its own plan. The rows of a micro-batch are
+    Without ``hold`` it is not kept, for an ``each`` that reads it only once. A stream turns adaptive planning off for its own plan. The rows of a micro-batch are
     settled by then, so the jobs over them plan as the session does. Stages that a micro-batch
     writes for itself are removed at its end.
     """
@@ -119,14 +119,16 @@ def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     def held(batch: DataFrame, batch_id: int) -> None:
         conf = batch.sparkSession.conf
         streaming = conf.get(ADAPTIVE)
-        batch.persist()
+        if hold:
+            batch.persist()
         conf.set(ADAPTIVE, adaptive)
         try:
             with staging(batch.sparkSession):
                 each(batch, batch_id)
         finally:
             conf.set(ADAPTIVE, streaming)
-            batch.unpersist()
+            if hold:
+                batch.unpersist()
 
     return (df.writeStream.foreachBatch(held).outputMode(mode)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -298,3 +298,15 @@ def test_a_task_passes_on_few_rows_of_a_key_from_many_batches():
     for k, some in whole.groupby("k", dropna=False):
         mine = made[0][made[0]["k"].isna() if k != k else made[0]["k"] == k]
         assert mine[["t", "v"]].values.tolist() == some.head(4)[["t", "v"]].values.tolist()
+
+
+def test_a_bid_meets_overlapping_auctions_of_a_category_once(spark, tmp_path, auctions, bids):
+    day = 86_400
+    many = [(1, 5, 10, i, i + 2 * day) for i in range(50)] + [(1, 5, 11, 5 * day, 6 * day), (1, 5, None, 30, 20), (1, 5, None, 40, 60), (1, 5, None, 50, 55), (1, 5, None, 70, 80)]
+    auctions(*many).repartition(5).write.parquet(str(tmp_path / "auction"))
+    made = [(1, 1, 9, 25), (1, 1, 8, 49 + 2 * day), (1, 1, 7, 50 + 2 * day), (1, 1, 6, 65), (1, 1, 5, 70), (1, 1, 4, 60), (2, 1, 3, 25), (1, 1, 2, 5 * day)]
+    bids(*made).write.parquet(str(tmp_path / "bid"))
+    streams = [parquet_files(spark, e, str(tmp_path / e), streaming=True, lateness=closing.LIFE) for e in ("auction", "bid")]
+    found = to_files(closing.bids_while_open(*streams), "open").select("category", "price").collect()
+    assert sorted(tuple(r) for r in found if r["category"]) == [(10, 4), (10, 5), (10, 6), (10, 8), (10, 9), (11, 2)]
+    assert sorted(r["price"] for r in found if r["category"] is None) == [4, 5]
