@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..session import small_side, written
 
+LISTED, HELD_ROWS = 1024, 200_000
+
 
 def _slot(time: str | Column, width: str) -> Column:
     """Start of the time slot that holds ``time``."""
@@ -71,6 +76,66 @@ def between_join(left: DataFrame, right: DataFrame, on: dict[str, str], start: s
     return left.join(right, condition, "inner").drop("_left_slot", "_right_slot")
 
 
+def _listed(rows: pa.Table, by: list[str], fields: list[str], newest: str | None, most: int) -> pa.RecordBatch:
+    rows = rows.sort_by([(c, "ascending") for c in (*by, *fields)]).combine_chunks()
+    values = [rows[c].cast(pa.int64()).to_numpy() for c in by]
+    begins = np.ones(len(rows), dtype=bool)
+    begins[1:] = np.any([v[1:] != v[:-1] for v in values], axis=0)
+    at = np.arange(len(rows))
+    since = at - np.maximum.accumulate(np.where(begins, at, 0))
+    first = np.flatnonzero(since % most == 0)
+    columns = {c: rows[c].combine_chunks().take(pa.array(first)) for c in by}
+    if newest:
+        latest = np.maximum.reduceat(rows[newest].cast(pa.int64()).to_numpy(), first)
+        columns["_newest"] = pa.array(latest).cast(rows[newest].type)
+    structs = pa.StructArray.from_arrays([rows[c].combine_chunks() for c in fields], names=fields)
+    columns["_listed"] = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), type=pa.int32()), structs)
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def listed(df: DataFrame, by: Sequence[str], fields: Sequence[str], newest: str | None = None) -> DataFrame:
+    """Rows of equal ``by`` in lists ``_listed`` of their ``fields``, sorted by these, and the latest ``newest`` of each list.
+
+    A task lists the rows it has, at most ``LISTED`` in one list, and holds a bounded number of rows; so there may be many
+    lists of the same ``by``. Those columns are whole numbers or times; rows where one of them or ``newest`` is null go.
+    """
+    by, fields = list(by), list(fields)
+    schema, most, hold = df.select(*by, *fields).schema, LISTED, HELD_ROWS
+    made = [schema[c] for c in by] + ([StructField("_newest", schema[newest].dataType)] if newest else [])
+    made.append(StructField("_listed", ArrayType(StructType([schema[c] for c in fields]))))
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= hold:
+                yield _listed(pa.Table.from_batches(held), by, fields, newest, most)
+                held = []
+        if any(b.num_rows for b in held):
+            yield _listed(pa.Table.from_batches(held), by, fields, newest, most)
+
+    present = df.dropna(subset=[*by, *([newest] if newest else [])]).select(*by, *fields)
+    return present.mapInArrow(lists, StructType(made))
+
+
+def listed_between_join(left: DataFrame, right: DataFrame, on: dict[str, str], start: str, end: str, time: str,
+                        others: Sequence[str], slot: str) -> DataFrame:
+    """``between_join`` by ``slot`` with the left rows of a key and slot in lists, sorted by ``others``, the columns they add.
+
+    A right row meets a list at a time, and its pairs come one after another.
+    """
+    keys = list(on)
+    slotted = (left.where(F.col(start) <= F.col(end)).withColumn("_low_slot", _slot(start, slot))
+               .withColumn("_left_slot", _slots(F.col("_low_slot"), F.col(end), slot)))
+    lists = listed(slotted.repartition(*keys, "_left_slot"), [*keys, "_left_slot"], [*others, start, end])
+    condition = F.col("_left_slot") == F.col("_right_slot")
+    for left_key, right_key in on.items():
+        condition = condition & (F.col(left_key) == F.col(right_key))
+    met = right.withColumn("_right_slot", _slot(time, slot)).join(lists, condition)
+    each = met.select(*keys, *right.columns, F.inline("_listed"))
+    return each.where(F.col(time).between(F.col(start), F.col(end)))
+
+
 def window_join(left: DataFrame, right: DataFrame, on: dict[str, str], window: str = "window") -> DataFrame:
     """Inner join on keys and the same window; both sides keep their key columns."""
     renamed = right.withColumnRenamed(window, "_other_window")

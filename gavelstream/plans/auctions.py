@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import between_join, inside_intervals, interval_join, merged_intervals, window_join
+from ..operators.joins import inside_intervals, interval_join, listed_between_join, merged_intervals, window_join
 from ..operators.ranking import arg_max, best_with_ties, first_value, top_k_per_group
 from ..operators.windows import distinct_per_window, hop_count, tumble, window_bounds
 from ..sources.tables import second_grain
@@ -63,10 +63,14 @@ def bid_in_auction(auctions: DataFrame, bids: DataFrame, grain: str = "ms") -> D
 
 
 def bid_auction_pairs(auctions: DataFrame, bids: DataFrame) -> DataFrame:
-    """Every bid with every auction of its id that was open at its time: as many rows as there are such pairs."""
+    """Every bid with every auction of its id that was open at its time: as many rows as there are such pairs.
+
+    Pairs come bid by bid and sorted by category within a list of auctions, so that written in columns they take
+    about the room of the bids.
+    """
     opened = auctions.select("id", "category", F.col("date_time").alias("_opened"), F.col("expires").alias("_until"))
-    return between_join(opened, bids.select("auction", "price", "date_time"), {"id": "auction"}, "_opened", "_until", "date_time",
-                        slot="1 day").select("auction", "price", "date_time", "category")
+    return listed_between_join(opened, bids.select("auction", "price", "date_time"), {"id": "auction"}, "_opened", "_until", "date_time",
+                               ["category"], slot="1 day").select("auction", "price", "date_time", "category")
 
 
 def closing_price(in_auction: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from gavelstream.plans import auctions as plan
+from gavelstream.operators import joins
 from gavelstream.operators.windows import tumble, window_bounds
 from gavelstream.registry import PriceSpread, Tables, late_rows
 from gavelstream.session import new_path
@@ -310,3 +311,29 @@ def test_a_bid_meets_overlapping_auctions_of_a_category_once(spark, tmp_path, au
     found = to_files(closing.bids_while_open(*streams), "open").select("category", "price").collect()
     assert sorted(tuple(r) for r in found if r["category"]) == [(10, 4), (10, 5), (10, 6), (10, 8), (10, 9), (11, 2)]
     assert sorted(r["price"] for r in found if r["category"] is None) == [4, 5]
+
+
+def test_pairs_of_auctions_in_full_lists(spark, auctions, bids, monkeypatch):
+    monkeypatch.setattr(joins, "LISTED", 3)
+    monkeypatch.setattr(joins, "HELD_ROWS", 5)
+    made = auctions(*[(i % 2, 5, None if i == 4 else i % 3, i, 20 + 90_000 * (i % 4)) for i in range(30)], (None, 5, 1, 2, 9), (1, 5, 1, 9, 2))
+    offered = bids(*[(i % 3, 1, i, 11 + 3_000 * i) for i in range(30)], (None, 1, 5, 7), (1, 1, None, 18), (1, 1, None, 18))
+    register(made=made, offered=offered)
+    expected = rows_with_nulls(spark.sql(
+        "SELECT b.auction, b.price, b.date_time, a.category FROM made a JOIN offered b ON a.id = b.auction AND b.date_time BETWEEN a.date_time AND a.expires"))
+    assert len(expected) > 50 and rows_with_nulls(plan.bid_auction_pairs(made, offered)) == expected
+
+
+def rows_with_nulls(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_written_pairs_grow_like_bids(spark, auctions, bids, tmp_path):
+    """Pairs of a bid come together, by category; so written in columns they take no more room than the bids."""
+    made = auctions(*[(1, 5, 10 + i % 5, i / 10, 90_000) for i in range(900)])
+    offered = bids(*[(1, 1, i * 7919 % 1000, 100 + i * 11.317) for i in range(1500)])
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan.bid_auction_pairs(made, offered).write.parquet(str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1_350_000
+    assert sum(f.stat().st_size for f in files) < 200_000
