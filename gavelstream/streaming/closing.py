@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import changelog, changelog_records, upsert_latest
-from ..operators.joins import between_join
+from ..operators.joins import listed
 from ..plans import auctions as plan
 from ..session import new_path, remove
 from ..sources.tables import zone_free
@@ -49,10 +49,24 @@ def _opened(auctions: DataFrame, life: str) -> DataFrame:
 
 
 def matched_bids(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> DataFrame:
-    """Every bid with every auction of its id that was open at its time, as a join of two streams; both need watermarks."""
-    made = bids.select("auction", "price", "date_time")
-    return between_join(_opened(auctions, life), made, {"id": "auction"}, "_opened", "_until", "date_time", at_most=life).select(
-        "auction", "price", "date_time", "category")
+    """Every bid with every auction of its id that was open at its time, as a join of two streams; both need watermarks.
+
+    Pairs are as many as the query asks for, but the state store is not asked for each: tasks put a micro-batch's auctions of an
+    id that opened in the same ``SLOT`` into lists, and its bids likewise; lists meet in the join and are taken apart behind
+    it, bid by bid. The watermark judges a list by its newest time, so rows are kept up to a ``SLOT`` longer.
+    """
+    opened = _opened(auctions, life).where(F.col("_opened") <= F.col("_until"))
+    opened = opened.withColumn("_slot", F.window("_opened", SLOT)["start"]).repartition("id", "_slot")
+    made = bids.select("auction", "price", "date_time", F.window("date_time", SLOT)["start"].alias("_slot"))
+    left, right = (listed(rows, [key, "_slot"], fields, newest).select(key, F.col("_newest").alias(name, metadata=EVENT_TIME), F.col("_listed").alias(held))
+                   for rows, key, fields, newest, name, held in (
+                       (opened, "id", ["category", "_opened", "_until"], "_opened", "_newest_opened", "_auctions"),
+                       (made, "auction", ["date_time", "price"], "date_time", "_newest_bid", "_bids")))
+    first, last = F.col("_newest_opened") - F.expr(f"INTERVAL {SLOT}"), F.col("_newest_opened") + F.expr(f"INTERVAL {life}") + F.expr(f"INTERVAL {SLOT}")
+    # Every pair of the query lies in lists that meet here; the bounds are what lets Spark forget lists.
+    met = left.join(right, (F.col("id") == F.col("auction")) & F.col("_newest_bid").between(first, last))
+    each = met.select("auction", "_auctions", F.inline("_bids")).select("auction", "price", "date_time", F.inline("_auctions"))
+    return each.where(F.col("date_time").between(F.col("_opened"), F.col("_until"))).select("auction", "price", "date_time", "category")
 
 
 def _covers(rows: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from gavelstream.plans import auctions as plan
 from gavelstream.operators import joins
 from gavelstream.operators.windows import tumble, window_bounds
 from gavelstream.registry import PriceSpread, Tables, late_rows
-from gavelstream.session import new_path
+from gavelstream.session import new_path, staging
 from gavelstream.sinks import discard, stream_json
 from gavelstream.sources import derive
 from gavelstream.sources.tables import as_stream, parquet_files, register, table_stream, zone_free
@@ -313,6 +313,20 @@ def test_a_bid_meets_overlapping_auctions_of_a_category_once(spark, tmp_path, au
     assert sorted(r["price"] for r in found if r["category"] is None) == [4, 5]
 
 
+def test_pairs_need_few_rows_of_state(spark, auctions, bids):
+    """200 auctions and 300 bids of an id are 60,000 pairs, but few rows for the state store to give out."""
+    made = auctions(*[(1, 5, 10 + i % 3, i / 10, 5000) for i in range(200)])
+    offered = bids(*[(1, 1, i, 100 + i) for i in range(300)], (2, 1, 5, 7))
+    with staging(spark), progress_log(spark) as log:
+        parts = [{"auction": made, "bid": offered}]
+        found = delivery.in_parts(spark, parts, {"auction": "date_time", "bid": "date_time"},
+                                  lambda s, root: closing.bid_in_auction(s["auction"], s["bid"], root), closing.LIFE)
+        assert rows(found) == rows(plan.bid_auction_pairs(made, offered))
+        assert found.count() == 60_000
+        states = [op["numRowsTotal"] for each in log.rows.values() for p in each for op in p["stateOperators"]]
+    assert max(states) < 60
+
+
 def test_pairs_of_auctions_in_full_lists(spark, auctions, bids, monkeypatch):
     monkeypatch.setattr(joins, "LISTED", 3)
     monkeypatch.setattr(joins, "HELD_ROWS", 5)
