@@ -16,6 +16,8 @@ from ..sources.tables import zone_free
 
 BATCH = "batch_id"
 ADAPTIVE = "spark.sql.adaptive.enabled"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+STATE_PER_CORE, LEAST_STATE = 2, 16
 
 
 class ProgressLog(StreamingQueryListener):
@@ -74,15 +76,26 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def start_files(df: DataFrame, out: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
-    """Append to Parquet files, exactly once per checkpoint; columns ``by`` become folders, each a sink of its own.
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside have ``STATE_PER_CORE`` state partitions per core, or as many as ``spark.sql.shuffle.partitions`` if fewer.
 
-    State has as many partitions as ``spark.sql.shuffle.partitions`` says at the first start;
-    the checkpoint keeps that number.
+    Every state operator commits files for each partition in every micro-batch, with or without rows, so further partitions
+    cost time and hold no more. The checkpoint keeps the number of the first start. At least ``LEAST_STATE``, for a
+    cluster whose executors have yet to come.
     """
-    return (df.writeStream.format("parquet").outputMode("append").partitionBy(*by)
-            .option("path", out).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    asked = int(spark.conf.get(SHUFFLE_PARTITIONS))
+    most = max(LEAST_STATE, STATE_PER_CORE * spark.sparkContext.defaultParallelism)
+    with setting(spark, SHUFFLE_PARTITIONS, str(min(asked, most))):
+        yield
+
+
+def start_files(df: DataFrame, out: str, checkpoint: str, by: Sequence[str] = ()) -> StreamingQuery:
+    """Append to Parquet files, exactly once per checkpoint; columns ``by`` become folders, each a sink of its own."""
+    with state_partitions(df.sparkSession):
+        return (df.writeStream.format("parquet").outputMode("append").partitionBy(*by)
+                .option("path", out).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
 
 
 def to_files(df: DataFrame, name: str, root: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -114,24 +127,22 @@ def start_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpo
     settled by then, so the jobs over them plan as the session does. Stages that a micro-batch
     writes for itself are removed at its end.
     """
-    adaptive = df.sparkSession.conf.get(ADAPTIVE)
+    adaptive, shuffled = (df.sparkSession.conf.get(k) for k in (ADAPTIVE, SHUFFLE_PARTITIONS))
 
     def held(batch: DataFrame, batch_id: int) -> None:
-        conf = batch.sparkSession.conf
-        streaming = conf.get(ADAPTIVE)
+        session = batch.sparkSession
         if hold:
             batch.persist()
-        conf.set(ADAPTIVE, adaptive)
         try:
-            with staging(batch.sparkSession):
+            with setting(session, ADAPTIVE, adaptive), setting(session, SHUFFLE_PARTITIONS, shuffled), staging(session):
                 each(batch, batch_id)
         finally:
-            conf.set(ADAPTIVE, streaming)
             if hold:
                 batch.unpersist()
 
-    return (df.writeStream.foreachBatch(held).outputMode(mode)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    with state_partitions(df.sparkSession):
+        return (df.writeStream.foreachBatch(held).outputMode(mode)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def to_batches(df: DataFrame, transform: Callable[[DataFrame], DataFrame], schema: StructType,

@@ -17,7 +17,7 @@ from gavelstream.streaming import auctions as live
 from gavelstream.streaming import carried, closing, delivery
 from gavelstream.streaming.measure import measured
 from gavelstream.streaming.keyed import newest, newest_of_task, reduced_window_process, window_process
-from gavelstream.streaming.run import dropped_as_late, finish, progress_log, setting, start_files, to_files
+from gavelstream.streaming.run import LEAST_STATE, STATE_PER_CORE, dropped_as_late, finish, progress_log, setting, start_batches, start_files, to_files
 
 EVENTS, PARTS = 6000, 4
 
@@ -351,3 +351,27 @@ def test_written_pairs_grow_like_bids(spark, auctions, bids, tmp_path):
     files = list((tmp_path / "out").glob("*.parquet"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1_350_000
     assert sum(f.stat().st_size for f in files) < 200_000
+
+
+def test_state_partitions_go_by_the_cores_and_not_by_the_shuffles(spark, bids, tmp_path):
+    bids(*[(i, 1, 100, i) for i in range(40)]).write.parquet(str(tmp_path / "in"))
+    source = parquet_files(spark, "bid", str(tmp_path / "in"), streaming=True)
+    most, key, inside = max(LEAST_STATE, STATE_PER_CORE * spark.sparkContext.defaultParallelism), "spark.sql.shuffle.partitions", []
+
+    def state(start):
+        return {op["numShufflePartitions"] for p in finish(spark, start) for op in p["stateOperators"]}
+
+    def each(batch, batch_id):
+        inside.append((batch.sparkSession.conf.get(key), batch.count()))
+
+    with setting(spark, key, str(most + 40)):
+        assert state(lambda: start_files(window_bounds(plan.bid_counts(source)), str(tmp_path / "out"), str(tmp_path / "files"))) == {most}
+        totals = source.groupBy("auction").agg(F.max("price").alias("highest"))
+        assert state(lambda: start_batches(totals, each, str(tmp_path / "batches"), "update")) == {most}
+        assert spark.conf.get(key) == str(most + 40)
+    assert {k for k, _ in inside} == {str(most + 40)} and sum(n for _, n in inside) == 40
+    # A further run keeps the number of the first; fewer asked for are as many.
+    with setting(spark, key, "3"):
+        bids((99, 1, 100, 400)).write.mode("append").parquet(str(tmp_path / "in"))
+        assert state(lambda: start_files(window_bounds(plan.bid_counts(source)), str(tmp_path / "out"), str(tmp_path / "files"))) == {most}
+        assert state(lambda: start_files(window_bounds(plan.bid_counts(source)), str(tmp_path / "out3"), str(tmp_path / "few"))) == {3}
