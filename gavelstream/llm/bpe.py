@@ -284,7 +284,7 @@ class Tokenizer:
         self.forget()
 
     def forget(self) -> None:
-        """Forget the pieces."""
+        """Forget the pieces: a worker that waits, or does other work, holds the ranks, states and pairs alone."""
         self._pieces: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._held = 0
@@ -407,7 +407,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     def make(texts: pa.Array) -> list[pa.Array]:
         return [pa.array(_tokenizer(file, pattern).encode_all(_plain(texts)), pa.binary())]
 
-    return add_columns(df, [text], f"`{ids}` binary", make)
+    return add_columns(df, [text], f"`{ids}` binary", make, done=lambda: _tokenizer(file, pattern).forget())
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -432,4 +432,4 @@ def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, text: str =
         token = tokenizer.transducer.token
         return [pa.array(packed, pa.binary()), pa.array(["".join(decoded(p, token)) for p in packed], pa.string())]
 
-    return add_columns(df, [text], f"`{ids}` binary, `{again}` string", make)
+    return add_columns(df, [text], f"`{ids}` binary, `{again}` string", make, done=lambda: _tokenizer(file, pattern).forget())

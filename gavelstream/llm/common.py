@@ -33,11 +33,13 @@ def ascii_lower(text: Column) -> Column:
 
 
 def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str,
-                function: Callable[..., Sequence[pa.Array]], keep: Sequence[str] | None = None) -> DataFrame:
+                function: Callable[..., Sequence[pa.Array]], keep: Sequence[str] | None = None,
+                done: Callable[[], object] | None = None) -> DataFrame:
     """Append columns that ``function`` makes from whole Arrow arrays of the input columns.
 
     No shuffle. ``outputs`` is a DDL schema. Kept columns pass through as they are; those
-    that bear the name of an output are replaced.
+    that bear the name of an output are replaced. Workers outlive their tasks: when a task ends, ``done`` is called and what
+    Arrow keeps for further batches goes back.
     """
     added = StructType.fromDDL(outputs)
     kept = without(df.select(*map(quoted, df.columns if keep is None else keep)), *added.fieldNames())
@@ -48,12 +50,19 @@ def add_columns(df: DataFrame, inputs: Sequence[str], outputs: str,
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            rows_each = max(1, min(whole.num_rows, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes)))
-            for start in range(0, whole.num_rows, rows_each):
-                batch = whole.slice(start, rows_each)
-                made = list(function(*batch.columns[n:]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+        whole = batch = made = None
+        try:
+            for whole in batches:
+                rows_each = max(1, min(whole.num_rows, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes)))
+                for start in range(0, whole.num_rows, rows_each):
+                    batch = whole.slice(start, rows_each)
+                    made = list(function(*batch.columns[n:]))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+        finally:
+            del whole, batch, made
+            if done is not None:
+                done()
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -297,6 +298,20 @@ def test_bpe_texts_at_once_and_within_bounds(reference, monkeypatch):
     assert not own._pieces and not own._older
 
 
+def test_bpe_worker_forgets_pieces_after_its_task(spark, docs):
+    assert bpe.encode_and_decode(docs(*[(k, f"worker{k} forgetting{k}") for k in range(40)]), RANKS, PATTERN).where("decoded = text").count() == 40
+    file = RANKS.rsplit("/", 1)[-1]
+
+    def held(batches):
+        for batch in batches:
+            known = bpe._tokenizer.cache_info().currsize
+            pieces = len(bpe._tokenizer(file, PATTERN)._pieces) + len(bpe._tokenizer(file, PATTERN)._older) if known else 0
+            yield pa.RecordBatch.from_pydict({"known": [known], "pieces": [pieces]})
+
+    found = spark.range(200).repartition(32).mapInArrow(held, "known bigint, pieces bigint").collect()
+    assert max(r.known for r in found) == 1 and max(r.pieces for r in found) == 0
+
+
 def test_utf8_machine_equals_whole_decoding():
     rng = random.Random(3)
     for _ in range(500):
