@@ -16,9 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.changes import changelog, changelog_records, upsert_latest
 from ..operators.joins import listed
@@ -32,6 +36,7 @@ from .run import batch_path, read_batches, start_batches, to_files
 LIFE = "7 days"  # the longest that an auction is open, and the lateness its streams should have
 SLOT = "1 day"  # auctions that opened in the same one may merge
 HELD_INTERVALS = 100_000
+HELD_LISTS, HELD_CELLS = 256, 1 << 18
 
 CLOSINGS = "auction bigint, category bigint, final bigint, max_bid_time timestamp"
 AVERAGES = "category bigint, avg_price double, max_date_time timestamp"
@@ -48,12 +53,66 @@ def _opened(auctions: DataFrame, life: str) -> DataFrame:
     return auctions.select("id", "category", F.col("date_time").alias("_opened"), checked.alias("_until"))
 
 
+def _counts(met: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Per row of an auction id, a list of bids of one ``SLOT`` in order of time and a list of auctions by category: how many
+    auctions of a category were open at each bid, where there was one.
+
+    Counts are sums of +1 at the first bid of an auction and -1 behind its last, so bids and auctions are not compared one by
+    one. At most ``HELD_CELLS`` sums of bids and categories are held, or those of one list of bids and one category.
+    """
+    ids, bids, auctions = met.columns
+    (time, price), (category, opened, closed) = bids.flatten().flatten(), auctions.flatten().flatten()
+    at, low, high = (c.cast(pa.int64()).to_numpy() for c in (time, opened, closed))
+    bid_counts, auction_counts = (pc.list_value_length(c).to_numpy().astype(np.int64) for c in (bids, auctions))
+    begin = np.cumsum(bid_counts) - bid_counts
+    of_bid, of_auction = (np.repeat(np.arange(met.num_rows), n) for n in (bid_counts, auction_counts))
+    # Times since the first bid of the list, each list in a range of its own: bids of all lists are in order.
+    since, low, high = at - at[begin][of_bid], low - at[begin][of_auction], high - at[begin][of_auction]
+    reach = since.max(initial=0)
+    keys, start = of_bid * (reach + 3) + since + 1, of_auction * (reach + 3) + 1
+    first = np.searchsorted(keys, start + np.clip(low, 0, reach + 1), "left") - begin[of_auction]
+    behind = np.searchsorted(keys, start + np.clip(high, -1, reach), "right") - begin[of_auction]
+    same = category.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    new = np.ones(len(same), dtype=bool)
+    new[1:] = (same[1:] != same[:-1]) | (of_auction[1:] != of_auction[:-1])
+    group, head = np.cumsum(new) - 1, np.flatnonzero(new)
+    row, ends = of_auction[head], np.append(head[1:], len(same))
+    width = bid_counts[row] + 1
+    until = np.cumsum(width)
+    cells = until - width
+    first, behind = cells[group] + first, cells[group] + behind
+    done = 0
+    while done < len(head):
+        to = max(done + 1, int(np.searchsorted(until, cells[done] + HELD_CELLS, "right")))
+        some = slice(head[done], ends[to - 1])
+        up, down = (np.bincount(x[some] - cells[done], minlength=until[to - 1] - cells[done]) for x in (first, behind))
+        total = np.cumsum(up - down)
+        cell = np.flatnonzero(total)
+        g = np.repeat(np.arange(done, to), width[done:to])[cell]
+        bid = begin[row[g]] + cell + cells[done] - cells[g]
+        order = np.argsort(bid, kind="stable")  # bid by bid and sorted by category
+        g, bid = g[order], pa.array(bid[order])
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(row[g])), price.take(bid), time.take(bid), category.take(pa.array(head[g])),
+             pa.array(total[cell[order]], type=pa.int32())], names=["auction", "price", "date_time", "category", "pairs"])
+        done = to
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD_LISTS):
+            yield from _counts(batch.slice(at, HELD_LISTS))
+
+
 def matched_bids(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> DataFrame:
     """Every bid with every auction of its id that was open at its time, as a join of two streams; both need watermarks.
 
-    Pairs are as many as the query asks for, but the state store is not asked for each: tasks put a micro-batch's auctions of an
-    id that opened in the same ``SLOT`` into lists, and its bids likewise; lists meet in the join and are taken apart behind
-    it, bid by bid. The watermark judges a list by its newest time, so rows are kept up to a ``SLOT`` longer.
+    A bid and a category come with the number of such auctions (``pairs``); ``each_pair`` makes one row of each. Pairs grow
+    with the square of the input where ids are reused, and those of a bid and category are alike.
+
+    The state store is not asked for each pair: tasks put a micro-batch's auctions of an id that opened in the same ``SLOT``
+    into lists, and its bids likewise; lists meet in the join and are counted behind it, so a bid and category may come once
+    for each list of auctions. The watermark judges a list by its newest time, so rows are kept up to a ``SLOT`` longer.
     """
     opened = _opened(auctions, life).where(F.col("_opened") <= F.col("_until"))
     opened = opened.withColumn("_slot", F.window("_opened", SLOT)["start"]).repartition("id", "_slot")
@@ -65,8 +124,14 @@ def matched_bids(auctions: DataFrame, bids: DataFrame, life: str = LIFE) -> Data
     first, last = F.col("_newest_opened") - F.expr(f"INTERVAL {SLOT}"), F.col("_newest_opened") + F.expr(f"INTERVAL {life}") + F.expr(f"INTERVAL {SLOT}")
     # Every pair of the query lies in lists that meet here; the bounds are what lets Spark forget lists.
     met = left.join(right, (F.col("id") == F.col("auction")) & F.col("_newest_bid").between(first, last))
-    each = met.select("auction", "_auctions", F.inline("_bids")).select("auction", "price", "date_time", F.inline("_auctions"))
-    return each.where(F.col("date_time").between(F.col("_opened"), F.col("_until"))).select("auction", "price", "date_time", "category")
+    kinds = StructType([*(made.schema[c] for c in ("auction", "price", "date_time")), opened.schema["category"], StructField("pairs", IntegerType())])
+    return met.select("auction", "_bids", "_auctions").mapInArrow(_counted, kinds)
+
+
+def each_pair(counted: DataFrame) -> DataFrame:
+    """A row for each of the pairs that ``matched_bids`` counted; what was appended one by one, without a number, stays so."""
+    pairs = F.array_repeat("category", F.coalesce("pairs", F.lit(1)))
+    return counted.select("auction", "price", "date_time", F.explode(pairs).alias("category"))
 
 
 def _covers(rows: pd.DataFrame) -> pd.DataFrame:
@@ -194,8 +259,8 @@ def run(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> Closin
 
 
 def bid_in_auction(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:
-    """Every bid with every auction open at its time, appended as soon as both are there."""
-    return to_files(matched_bids(auctions, bids), "bid-in-auction", root)
+    """Every bid with every auction open at its time, appended as soon as both are there: pairs that are alike once, with their number."""
+    return each_pair(to_files(matched_bids(auctions, bids), "bid-in-auction", root))
 
 
 def closing_price(auctions: DataFrame, bids: DataFrame, root: str | None = None) -> DataFrame:

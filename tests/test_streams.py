@@ -1,5 +1,7 @@
 """Streams over several micro-batches, late rows, restarts."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR, at, rows
 from pyspark.errors import StreamingQueryException
@@ -375,3 +377,49 @@ def test_state_partitions_go_by_the_cores_and_not_by_the_shuffles(spark, bids, t
         bids((99, 1, 100, 400)).write.mode("append").parquet(str(tmp_path / "in"))
         assert state(lambda: start_files(window_bounds(plan.bid_counts(source)), str(tmp_path / "out"), str(tmp_path / "files"))) == {most}
         assert state(lambda: start_files(window_bounds(plan.bid_counts(source)), str(tmp_path / "out3"), str(tmp_path / "few"))) == {3}
+
+
+def test_pairs_are_appended_as_counts(spark, auctions, bids, tmp_path):
+    """200 auctions in 3 categories and 300 bids of an id are 60,000 pairs, appended as 900 rows with a number."""
+    made = auctions(*[(1, 5, None if i % 3 else 10 + i % 2, i / 10, 5000) for i in range(200)])
+    offered = bids(*[(1, 1, i, 100 + i) for i in range(300)])
+    for name, df in (("auction", made), ("bid", offered)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    streams = [parquet_files(spark, e, str(tmp_path / e), streaming=True, lateness=closing.LIFE) for e in ("auction", "bid")]
+    found = closing.bid_in_auction(*streams, root=str(tmp_path / "run"))
+    appended = spark.read.parquet(str(tmp_path / "run" / "out"))
+    assert appended.count() == 900 and appended.agg(F.sum("pairs")).first()[0] == 60_000
+    assert found.columns == ["auction", "price", "date_time", "category"]
+    assert rows_with_nulls(found) == rows_with_nulls(plan.bid_auction_pairs(made, offered))
+    # What an earlier version appended pair by pair counts once.
+    appended.select("auction", "price", "date_time", F.lit(77).cast("bigint").alias("category")).write.mode("append").parquet(str(tmp_path / "run" / "earlier"))
+    old = spark.read.schema(appended.schema).parquet(str(tmp_path / "run" / "earlier"))
+    assert closing.each_pair(old).where("category = 77").count() == 900
+
+
+@pytest.mark.parametrize(("lists", "cells"), [(256, 1 << 18), (2, 1), (1, 40), (7, 1000)])
+def test_open_auctions_are_counted_at_each_bid(monkeypatch, lists, cells):
+    """As by comparing each bid with each auction, however the lists are cut up."""
+    monkeypatch.setattr(closing, "HELD_LISTS", lists)
+    monkeypatch.setattr(closing, "HELD_CELLS", cells)
+    made, time = np.random.default_rng(7), pa.timestamp("us", tz="UTC")
+    met = []
+    for i in range(40):
+        begin = int(made.integers(-(10**15), 10**17))  # lists far apart in time
+        offered = sorted((begin + int(made.integers(0, 30)), int(made.integers(0, 4))) for _ in range(made.integers(1, 20)))
+        opened = [(None if c == 3 else int(c), begin + int(a), begin + int(a + d)) for c, a, d in zip(
+            np.sort(made.integers(i % 4, 4, 12)), made.integers(-40, 50, 12), made.integers(0, 40, 12), strict=True)]
+        met.append((i % 5, offered, opened))
+    whole = pa.RecordBatch.from_arrays([
+        pa.array([m[0] for m in met], pa.int64()),
+        pa.array([[{"date_time": t, "price": p or None} for t, p in m[1]] for m in met], pa.list_(pa.struct({"date_time": time, "price": pa.int64()}))),
+        pa.array([[{"category": c, "_opened": a, "_until": b} for c, a, b in m[2]] for m in met],
+                 pa.list_(pa.struct({"category": pa.int64(), "_opened": time, "_until": time})))], names=["auction", "_bids", "_auctions"])
+    found = []
+    for batch in closing._counted(iter([whole.slice(0, 13), whole.slice(13)])):
+        columns = [batch["auction"], batch["price"], batch["date_time"].cast(pa.int64()), batch["category"], batch["pairs"]]
+        for auction, price, t, category, pairs in zip(*(c.to_pylist() for c in columns), strict=True):
+            assert pairs > 0
+            found += [(auction, price, t, category)] * pairs
+    expected = [(i, p or None, t, c) for i, offered, opened in met for t, p in offered for c, a, b in opened if a <= t <= b]
+    assert len(expected) > 500 and sorted(found, key=repr) == sorted(expected, key=repr)
